@@ -1,0 +1,148 @@
+"""Data-parallel training and batch scoring of the small networks.
+
+Rows are spread over shards by key hash and kept cached. An epoch is one job: every shard runs
+mini-batch Adam over its own rows, streaming them, and the weights and Adam moments are averaged
+with the shard sizes as weights (parallel SGD with averaging). The driver holds one model,
+whatever the number of rows or shards.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelkit.functions.hashing import digest
+from panelkit.models import network
+
+LOSSES = ("mse", "bce")
+SMALL = 16  # up to so many shard models are averaged on the driver
+
+
+@dataclass
+class Network:
+    """Layers, their weights (one flat array) and the mean loss of each epoch."""
+
+    layers: list
+    weights: np.ndarray
+    losses: list = field(default_factory=list)
+
+    @classmethod
+    def fresh(cls, layers, seed: int = 42) -> "Network":
+        return cls(list(layers), network.pack(network.initial(layers, seed)))
+
+    def params(self):
+        return network.unpack(self.layers, self.weights)
+
+    def head(self, n_layers: int) -> "Network":
+        """The first layers as a network of their own, e.g. the encoder of an autoencoder."""
+        layers = self.layers[:n_layers]
+        return Network(layers, self.weights[:network.count(layers)])
+
+
+def _batches(frames, columns, size):
+    """Re-cut Arrow batches into training batches; the last one may be short."""
+    rest = None
+    for pdf in frames:
+        block = pdf[columns].to_numpy("float64")
+        rest = block if rest is None else np.vstack([rest, block])
+        while len(rest) >= size:
+            yield rest[:size]
+            rest = rest[size:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _epoch_kernel(layers, columns, width, loss, batch, rate, seed, epoch, sent):
+    def run(frames):
+        flat, first, second, t = sent.value
+        params = network.unpack(layers, flat)
+        m, v = network.unpack(layers, first), network.unpack(layers, second)
+        rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
+        rows, total = 0, 0.0
+        for block in _batches(frames, columns, batch * 8):
+            block = block[rng.permutation(len(block))]
+            for at in range(0, len(block), batch):
+                x = block[at:at + batch, :width]
+                want = x if loss == "mse" else block[at:at + batch, width:]
+                out, tape = network.forward(layers, params, x, rng)
+                value, slope = (network.squared_error if loss == "mse" else network.cross_entropy)(out, want)
+                grads, _, _ = network.backward(layers, params, tape, slope)
+                t += 1
+                network.adam_step(params, grads, m, v, t, rate)
+                rows, total = rows + len(x), total + value * len(x)
+        if rows:
+            state = np.concatenate([network.pack(p) for p in (params, m, v)])
+            yield pd.DataFrame({"n": [rows], "t": [t], "loss": [total], "state": [state * rows]})
+    return run
+
+
+def _average(shards: DataFrame, parts: int, size: int):
+    """Row-weighted mean of the shard models, summed on Spark unless they are few."""
+    if parts <= SMALL:
+        rows = shards.collect()
+        n = sum(r["n"] for r in rows)
+        state = np.sum([np.asarray(r["state"]) for r in rows], axis=0)
+        return state / n, max(r["t"] for r in rows), sum(r["loss"] for r in rows) / n
+    kept = shards.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        head = kept.agg(F.sum("n").alias("n"), F.max("t").alias("t"), F.sum("loss").alias("loss")).first()
+        sums = kept.select(F.posexplode("state").alias("i", "v")).groupBy("i").agg(
+            F.sum("v").alias("v")).toPandas()
+    finally:
+        kept.unpersist()
+    state = np.zeros(size)
+    state[sums["i"].to_numpy()] = sums["v"].to_numpy()
+    return state / head["n"], head["t"], head["loss"] / head["n"]
+
+
+def train(df: DataFrame, features: Sequence[str], key: str, net: Network, loss: str = "mse",
+          label: str | None = None, epochs: int = 15, batch: int = 128, rate: float = 1e-3,
+          shards: int | None = None, seed: int = 42) -> Network:
+    """Train on all rows; ``mse`` rebuilds the features, ``bce`` predicts the 0/1 label."""
+    if loss not in LOSSES:
+        raise ValueError(f"unknown loss {loss!r}")
+    columns = list(features) + ([label] if loss == "bce" else [])
+    shards = shards or df.sparkSession.sparkContext.defaultParallelism
+    data = (df.select(digest(key, f"train:{seed}").alias("_hash"),
+                      *[F.col(c).cast("double").alias(c) for c in columns])
+            .repartition(shards, "_hash").sortWithinPartitions("_hash")
+            .drop("_hash").persist(StorageLevel.MEMORY_AND_DISK))
+    context = df.sparkSession.sparkContext
+    flat, first, second, t = net.weights, np.zeros_like(net.weights), np.zeros_like(net.weights), 0
+    losses, width = [], len(flat)
+    try:
+        for epoch in range(epochs):
+            sent = context.broadcast((flat, first, second, t))
+            kernel = _epoch_kernel(net.layers, columns, len(features), loss, batch, rate, seed, epoch, sent)
+            out = data.mapInPandas(kernel, "n bigint, t bigint, loss double, state array<double>")
+            state, t, value = _average(out, shards, 3 * width)
+            flat, first, second = np.split(state, 3)
+            losses.append(value)
+            sent.destroy()
+    finally:
+        data.unpersist()
+    return Network(net.layers, flat, losses)
+
+
+def score(df: DataFrame, features: Sequence[str], net: Network, outputs: Sequence[str],
+          probability: bool = False) -> DataFrame:
+    """Append the network's outputs as double columns, in Arrow batches."""
+    names, layers, outputs = list(features), net.layers, list(outputs)
+    sent = df.sparkSession.sparkContext.broadcast(net.weights)
+    schema = T.StructType(df.schema.fields + [T.StructField(o, T.DoubleType()) for o in outputs])
+
+    def run(frames):
+        params = network.unpack(layers, sent.value)
+        for pdf in frames:
+            out, _ = network.forward(layers, params, pdf[names].to_numpy("float64"))
+            out = network.sigmoid(out) if probability else out
+            yield pdf.assign(**{name: out[:, i] for i, name in enumerate(outputs)})
+
+    return df.mapInPandas(run, schema)
