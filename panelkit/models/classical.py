@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.operators import metrics, neighbors, profile
+from panelkit.session import right_size, sum_arrays
 
 VEC, PRED = "_features", "prediction"
 
@@ -101,7 +102,8 @@ def fourier_features(df: DataFrame, features: Sequence[str], gamma: float, width
 def _rbf_svm(train, test, features, label, key):
     variance = train.agg(*[F.var_pop(f).alias(f) for f in features]).first()
     gamma = 1.0 / (len(features) * max(sum(variance) / len(features), 1e-12))
-    machine = LinearSVC(maxIter=50, regParam=1e-3, featuresCol=VEC, labelCol=label)
+    # The hinge loss makes for long line searches: few, costly iterations.
+    machine = LinearSVC(maxIter=20, regParam=1e-3, featuresCol=VEC, labelCol=label)
     model = machine.fit(fourier_features(train, features, gamma))
     return model.transform(fourier_features(test, features, gamma)).select(
         key, label, F.col(PRED).cast("int").alias(PRED))
@@ -140,12 +142,9 @@ def adaboost(train: DataFrame, test: DataFrame, features: Sequence[str], label:
                 for j, c in enumerate(cuts):
                     cell = np.searchsorted(c, x[:, j], side="left") * 2 + y
                     total[j] += np.bincount(cell, weights=w, minlength=bins * 2)[:bins * 2].reshape(bins, 2)
-            yield pd.DataFrame({"i": np.arange(size, dtype="int32"), "v": total.ravel()})
+            yield pd.DataFrame({"v": [total.ravel()]})
 
-        sums = data.mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-        flat = np.zeros(size)
-        flat[sums["i"].to_numpy()] = sums["v"].to_numpy()
-        return flat.reshape(len(names), bins, 2)
+        return sum_arrays(data.mapInPandas(partial, "v array<double>"), size).reshape(len(names), bins, 2)
 
     for _ in range(rounds):
         counts = histogram()
@@ -196,9 +195,10 @@ def benchmark(train: DataFrame, test: DataFrame, features: Sequence[str], label:
     order = ("Accuracy", "F1 Score", "Precision", "Recall")
     train, test = train.persist(), test.persist()
     try:
+        small = right_size(train)
         for name, fit in (chosen or models()).items():
             try:
-                scored = metrics.binary_metrics(fit(train, test, list(features), label, key), label, PRED).first()
+                scored = metrics.binary_metrics(fit(small, test, list(features), label, key), label, PRED).first()
                 rows.append((name, *[float(scored[m]) for m in order], None))
             except Exception as problem:
                 rows.append((name, 0.0, 0.0, 0.0, 0.0, str(problem)[:500]))

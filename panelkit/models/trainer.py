@@ -20,9 +20,10 @@ from pyspark.sql import types as T
 
 from panelkit.functions.hashing import digest
 from panelkit.models import network
+from panelkit.session import sum_arrays
 
 LOSSES = ("mse", "bce")
-SMALL = 16  # up to so many shard models are averaged on the driver
+ROWS_PER_SHARD = 5_000  # fewer shards than cores when there is little data
 
 
 @dataclass
@@ -79,27 +80,16 @@ def _epoch_kernel(layers, columns, width, loss, batch, rate, seed, epoch, sent):
                 rows, total = rows + len(x), total + value * len(x)
         if rows:
             state = np.concatenate([network.pack(p) for p in (params, m, v)])
-            yield pd.DataFrame({"n": [rows], "t": [t], "loss": [total], "state": [state * rows]})
+            # Weighted by rows, so that the sums divide into means.
+            yield pd.DataFrame({"v": [np.concatenate([[rows, t * rows, total], state * rows])]})
     return run
 
 
-def _average(shards: DataFrame, parts: int, size: int):
-    """Row-weighted mean of the shard models, summed on Spark unless they are few."""
-    if parts <= SMALL:
-        rows = shards.collect()
-        n = sum(r["n"] for r in rows)
-        state = np.sum([np.asarray(r["state"]) for r in rows], axis=0)
-        return state / n, max(r["t"] for r in rows), sum(r["loss"] for r in rows) / n
-    kept = shards.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        head = kept.agg(F.sum("n").alias("n"), F.max("t").alias("t"), F.sum("loss").alias("loss")).first()
-        sums = kept.select(F.posexplode("state").alias("i", "v")).groupBy("i").agg(
-            F.sum("v").alias("v")).toPandas()
-    finally:
-        kept.unpersist()
-    state = np.zeros(size)
-    state[sums["i"].to_numpy()] = sums["v"].to_numpy()
-    return state / head["n"], head["t"], head["loss"] / head["n"]
+def _average(shards: DataFrame, size: int):
+    """Row-weighted mean of the shard models, the last step number, and the mean loss."""
+    total = sum_arrays(shards, size + 3)
+    n, t, loss = total[:3]
+    return total[3:] / n, t / n, loss / n
 
 
 def train(df: DataFrame, features: Sequence[str], key: str, net: Network, loss: str = "mse",
@@ -109,7 +99,8 @@ def train(df: DataFrame, features: Sequence[str], key: str, net: Network, loss:
     if loss not in LOSSES:
         raise ValueError(f"unknown loss {loss!r}")
     columns = list(features) + ([label] if loss == "bce" else [])
-    shards = shards or df.sparkSession.sparkContext.defaultParallelism
+    if shards is None:
+        shards = max(1, min(df.sparkSession.sparkContext.defaultParallelism, df.count() // ROWS_PER_SHARD))
     data = (df.select(digest(key, f"train:{seed}").alias("_hash"),
                       *[F.col(c).cast("double").alias(c) for c in columns])
             .repartition(shards, "_hash").sortWithinPartitions("_hash")
@@ -121,8 +112,7 @@ def train(df: DataFrame, features: Sequence[str], key: str, net: Network, loss:
         for epoch in range(epochs):
             sent = context.broadcast((flat, first, second, t))
             kernel = _epoch_kernel(net.layers, columns, len(features), loss, batch, rate, seed, epoch, sent)
-            out = data.mapInPandas(kernel, "n bigint, t bigint, loss double, state array<double>")
-            state, t, value = _average(out, shards, 3 * width)
+            state, t, value = _average(data.mapInPandas(kernel, "v array<double>"), 3 * width)
             flat, first, second = np.split(state, 3)
             losses.append(value)
             sent.destroy()

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.operators import profile
+from panelkit.session import right_size, sum_arrays
 
 LOWEST, HIGHEST = -50.0, 300.0  # fixed values: range imputed cells must stay in
 
@@ -122,12 +123,10 @@ def gram_matrix(df: DataFrame, columns: Sequence[str], prepare=None, parts: int
                 rows = select(x, pdf, p) if select else x[~np.isnan(x).any(axis=1)]
                 z = np.hstack([np.ones((len(rows), 1)), rows])
                 total[p] += z.T @ z
-        yield pd.DataFrame({"i": np.arange(total.size, dtype="int32"), "v": total.ravel()})
+        yield pd.DataFrame({"v": [total.ravel()]})
 
-    sums = df.mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    flat = np.zeros(parts * size * size)
-    flat[sums["i"].to_numpy()] = sums["v"].to_numpy()
-    return flat.reshape(parts, size, size)
+    total = sum_arrays(df.mapInPandas(partial, "v array<double>"), parts * size * size)
+    return total.reshape(parts, size, size)
 
 
 @dataclass
@@ -159,8 +158,9 @@ class ChainedImputer:
         if not self.features:
             self.columns = [c for c in self.columns if c != key]
         names, width = list(self.columns), len(self.columns)
-        data = self._rows(df, key).persist(StorageLevel.MEMORY_AND_DISK)
+        cached = self._rows(df, key).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            data = right_size(cached)
             middle = {r["feature"]: r["median"] for r in profile.medians(data, names).collect()}
             self.start = np.array([middle.get(c) if middle.get(c) is not None else 0.0 for c in names])
             known = data.agg(*[F.count(c).alias(c) for c in names]).first()
@@ -170,7 +170,7 @@ class ChainedImputer:
                 for targets in [order] if self.schedule == "block" else [[j] for j in order]:
                     self.steps += self._moments(data, names, targets)
         finally:
-            data.unpersist()
+            cached.unpersist()
         return self
 
     def _moments(self, data: DataFrame, names: list, targets: Sequence[int]) -> list[Step]:

@@ -138,8 +138,10 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: str,
         chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``(q_id, rank, n_id, dist)``: each query's k nearest reference rows, all of them exact."""
     id_type = dict(refs.select(id_col).dtypes)[id_col]
+    if dict(queries.select(id_col).dtypes)[id_col] != id_type:
+        id_type = "string"
     def shape(df):
-        return df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+        return df.select(F.col(id_col).cast(id_type).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     queries, refs = shape(queries), shape(refs)
     size = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     volume = size["n"] * (size["d"] or 0) * 8

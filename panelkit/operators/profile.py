@@ -78,14 +78,13 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: n, mean, sample and population sd, and bias-corrected skewness, in one pass."""
-    stats = df.agg(*[
-        F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                 F.stddev_pop(x).alias("std_pop"), F.skewness(x).alias("skew_pop")).alias(c)
-        for c in columns for x in [F.col(c).cast("double")]])
-    long = stats.unpivot([], list(columns), "feature", "s")
-    n = F.col("s.n").cast("double")
-    corrected = F.when(n > 2, F.col("s.skew_pop") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
-    return long.select("feature", "s.n", "s.mean", "s.std", "s.std_pop", corrected.alias("skew"))
+    x = F.col("value")
+    stats = melt(df, columns).groupBy("feature").agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.stddev_pop(x).alias("std_pop"), F.skewness(x).alias("skew_pop"))
+    n = F.col("n").cast("double")
+    corrected = F.when(n > 2, F.col("skew_pop") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
+    return stats.select("feature", "n", "mean", "std", "std_pop", corrected.alias("skew"))
 
 
 def column_profile(df: DataFrame, columns: Sequence[str], skew_limit: float = 0.75,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +45,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recompute."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def right_size(cached: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """Fewer tasks over a cached frame that is small, for jobs that read it again and again.
+
+    Large frames keep their partitions.
+    """
+    tasks = max(1, -(-cached.count() // rows_per_task))
+    return cached.coalesce(tasks) if tasks < cached.sparkSession.sparkContext.defaultParallelism else cached
+
+
+def sum_arrays(partials: DataFrame, size: int, few: int = 16) -> np.ndarray:
+    """Element-wise sum of one ``array<double>`` column ``v`` of fixed length.
+
+    There is one array per task. A few of them are added up on the driver, more on Spark; what
+    reaches the driver is bounded by the length, not by the number of tasks.
+    """
+    if partials.rdd.getNumPartitions() <= few:
+        return np.sum([np.asarray(r["v"]) for r in partials.collect()] or [np.zeros(size)], axis=0)
+    sums = partials.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    total = np.zeros(size)
+    total[sums["i"].to_numpy()] = sums["v"].to_numpy()
+    return total
