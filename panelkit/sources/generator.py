@@ -43,7 +43,7 @@ def _draw(spec, key: str, salt: str) -> Column:
     return F.lit(spec[0]) + F.lit(spec[1]) * hashing.normal(key, salt)
 
 
-def inject_missing(df: DataFrame, key: str, columns, rate: float, seed: int = 42) -> DataFrame:
+def inject_missing(df: DataFrame, key, columns, rate: float, seed: int = 42) -> DataFrame:
     """Blank each cell independently with the given probability."""
     return df.withColumns({
         c: F.when(hashing.uniform(key, f"miss:{seed}:{c}") >= rate, F.col(c)) for c in columns})
