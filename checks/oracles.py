@@ -22,28 +22,28 @@ def q(name: str) -> str:
     return f'"{name}"'
 
 
-def r6(expr: str, name: str | None = None) -> str:
-    return f"round({expr}, 6) AS {q(name or expr.strip(chr(34)))}"
+def r6(expr: str, name: str | None = None, digits: int = 6) -> str:
+    return f"round({expr}, {digits}) AS {q(name or expr.strip(chr(34)))}"
 
 
 def cols(names, form="{}") -> str:
     return ", ".join(form.format(q(n)) for n in names)
 
 
-def rounds(names) -> str:
-    return ", ".join(r6(q(n), n) for n in names)
+def rounds(names, digits: int = 6) -> str:
+    return ", ".join(r6(q(n), n, digits) for n in names)
 
 
 def digest(keys: str, salt: str) -> str:
     return f"md5(concat_ws(':', {keys}, '{salt}'))"
 
 
-def word(keys: str, salt: str) -> str:
-    return f"(('0x' || substr({digest(keys, salt)}, 1, 8))::BIGINT)"
+def word(keys: str, salt: str, place: int = 1) -> str:
+    return f"(('0x' || substr({digest(keys, salt)}, {8 * place - 7}, 8))::BIGINT)"
 
 
-def uniform(keys: str, salt: str) -> str:
-    return f"({word(keys, salt)} / 4294967296e0)"
+def uniform(keys: str, salt: str, place: int = 1) -> str:
+    return f"({word(keys, salt, place)} / 4294967296e0)"
 
 
 def uniform_open(keys: str, salt: str) -> str:
@@ -51,8 +51,8 @@ def uniform_open(keys: str, salt: str) -> str:
 
 
 def normal(keys: str, salt: str) -> str:
-    return (f"(sqrt(-2e0 * ln({uniform_open(keys, salt + ':r')})) * "
-            f"cos({num(2 * math.pi)} * {uniform(keys, salt + ':a')}))")
+    return (f"(sqrt(-2e0 * ln({uniform_open(keys, salt)})) * "
+            f"cos({num(2 * math.pi)} * {uniform(keys, salt, 2)}))")
 
 
 def pick(keys: str, salt: str, n: str) -> str:
@@ -314,12 +314,12 @@ dhm AS (SELECT user_id, feature, sum(CASE i WHEN 1 THEN {num(0.9)} WHEN 2 THEN {
         "risk_band": with_(VEC, f"SELECT user_id, {band('p')}, CAST(p >= 0.5e0 AS BIGINT) AS above_half FROM (SELECT user_id, {RULE} AS p FROM vec)"),
         "inject_missing": with_(PANEL, "SELECT user_id, h, " + ", ".join(
             r6(f"CASE WHEN {uniform('user_id, h', f'miss:42:{c}')} >= 0.3e0 THEN {q(c)} END", c) for c in MEASURED) + " FROM panel"),
-        "column_profile": with_(PANEL + ",\n" + profile_rows(), "SELECT feature, n, " + rounds(["mean", "std", "std_pop", "skew", "q25", "median", "q75", "fence_lo", "fence_hi"]) + ", rule FROM prof"),
+        "column_profile": with_(PANEL + ",\n" + profile_rows(), "SELECT feature, n, " + rounds(["mean", "std", "std_pop", "skew", "q25", "median", "q75", "fence_lo", "fence_hi"], 9) + ", rule FROM prof"),
         "outlier_flags": with_(PANEL + ",\n" + profile_rows() + f""",
 flags AS (SELECT user_id, h, feature, CAST(coalesce(CASE rule WHEN 'zscore' THEN abs((value - mean) / std) > 3.5e0
   WHEN 'iqr' THEN value < fence_lo OR value > fence_hi END, false) AS BIGINT) AS flag FROM melted JOIN prof USING (feature))""",
             "SELECT user_id, h, " + ", ".join(f"max(flag) FILTER (WHERE feature = '{c}') AS {q(c + '_outlier')}" for c in MEASURED) + " FROM flags GROUP BY user_id, h"),
-        "median_impute": with_(PANEL, "SELECT user_id, h, " + ", ".join(r6(f"coalesce({q(c)}, (SELECT quantile_cont({q(c)}, 0.5) FROM panel), 0e0)", c) for c in MEASURED) + " FROM panel"),
+        "median_impute": with_(PANEL, "SELECT user_id, h, " + ", ".join(r6(f"coalesce({q(c)}, (SELECT quantile_cont({q(c)}, 0.5) FROM panel), 0e0)", c, 9) for c in MEASURED) + " FROM panel"),
         "standard_scale": with_(PANEL + ",\nst AS (SELECT " + ", ".join(
             f"avg({q(c)}) AS {q('m_' + c)}, CASE WHEN stddev_pop({q(c)}) > 0 THEN stddev_pop({q(c)}) ELSE 1 END AS {q('s_' + c)}" for c in MEASURED) + " FROM panel)",
             "SELECT user_id, h, " + ", ".join(r6(f"({q(c)} - {q('m_' + c)}) / {q('s_' + c)}", c) for c in MEASURED) + " FROM panel CROSS JOIN st"),

@@ -197,7 +197,7 @@ def inject_missing(spark, sf):
 
 
 def column_profile(spark, sf):
-    return rounded(profile.column_profile(events_panel(spark, sf), MEASURED))
+    return rounded(profile.column_profile(events_panel(spark, sf), MEASURED), 9)
 
 
 def outlier_flags(spark, sf):
@@ -206,7 +206,7 @@ def outlier_flags(spark, sf):
 
 
 def median_impute(spark, sf):
-    return rounded(profile.fill_median(events_panel(spark, sf), MEASURED).drop(LABEL))
+    return rounded(profile.fill_median(events_panel(spark, sf), MEASURED).drop(LABEL), 9)
 
 
 def standard_scale(spark, sf):

@@ -117,29 +117,36 @@ def above(prob: Column, threshold: float) -> Column:
     return (prob >= F.lit(threshold)).cast("int")
 
 
+# The wording, colours and labels of a score record, by alert level.
+COLOURS = {"HIGH": "#ef4444", "MODERATE": "#f59e0b", "LOW": "#10b981"}
+LABELS = {"HIGH": "High Risk", "MODERATE": "Moderate Risk", "LOW": "Low Risk"}
+WORDING = {
+    "HIGH": "Elevated risk of sepsis onset within the next 6 hours. Intensive surveillance and diagnostic workup indicated.",
+    "MODERATE": "Elevated risk of sepsis onset within the next 6 hours (probability {p}% exceeds operational threshold of {t}%). Close clinical observation indicated.",
+    "LOW": "Low risk of sepsis onset within the next 6 hours (probability {p}% is below operational threshold of {t}%). Routine ICU monitoring indicated.",
+}
+
+
 def risk_band(prob, high: float = catalog.HIGH_RISK,
               moderate: float = catalog.DECISION_THRESHOLD) -> dict[str, Column]:
     """The columns a scored record reports: level, colour, label, decision and wording."""
     p = _c(prob)
     level = alert_level(p, high, moderate)
-    percent = number_text(p * 100.0, 1)
-    limit = f"{moderate * 100:.0f}"
-    def by_level(hi, mid, lo):
-        return F.when(level == "HIGH", hi).when(level == "MODERATE", mid).otherwise(lo)
+    percent, limit = number_text(p * 100.0, 1), f"{moderate * 100:.0f}"
+
+    def by_level(texts):
+        return F.element_at(F.create_map(*[x for k, v in texts.items() for x in (F.lit(k), v)]), level)
+
+    def worded(text):
+        before, mark, after = text.replace("{t}", limit).partition("{p}")
+        return F.concat(F.lit(before), percent, F.lit(after)) if mark else F.lit(before)
+
     return {
         "alert_level": level,
-        "alert_color": by_level(F.lit("#ef4444"), F.lit("#f59e0b"), F.lit("#10b981")),
-        "risk_classification": by_level(F.lit("High Risk"), F.lit("Moderate Risk"), F.lit("Low Risk")),
+        "alert_color": by_level({k: F.lit(v) for k, v in COLOURS.items()}),
+        "risk_classification": by_level({k: F.lit(v) for k, v in LABELS.items()}),
         "is_above_threshold": p >= F.lit(moderate),
-        "interpretation_6h": by_level(
-            F.lit("Elevated risk of sepsis onset within the next 6 hours. Intensive surveillance "
-                  "and diagnostic workup indicated."),
-            F.concat(F.lit("Elevated risk of sepsis onset within the next 6 hours (probability "),
-                     percent, F.lit(f"% exceeds operational threshold of {limit}%). Close clinical "
-                                    "observation indicated.")),
-            F.concat(F.lit("Low risk of sepsis onset within the next 6 hours (probability "),
-                     percent, F.lit(f"% is below operational threshold of {limit}%). Routine ICU "
-                                    "monitoring indicated."))),
+        "interpretation_6h": by_level({k: worded(v) for k, v in WORDING.items()}),
     }
 
 

@@ -19,24 +19,25 @@ def digest(key, salt: str) -> Column:
     return F.md5(F.concat_ws(":", *cols, F.lit(salt)))
 
 
-def _word(key, salt: str) -> Column:
-    return F.conv(F.substring(digest(key, salt), 1, 8), 16, 10).cast("bigint")
+def _word(key, salt: str, place: int = 1) -> Column:
+    """32 bits of the digest as a number, from its ``place``-th group of eight digits."""
+    return F.conv(F.substring(digest(key, salt), 8 * place - 7, 8), 16, 10).cast("bigint")
 
 
-def uniform(key, salt: str) -> Column:
+def uniform(key, salt: str, place: int = 1) -> Column:
     """Uniform draw in [0, 1)."""
-    return _word(key, salt) / F.lit(4294967296.0)
+    return _word(key, salt, place) / F.lit(4294967296.0)
 
 
-def uniform_open(key, salt: str) -> Column:
+def uniform_open(key, salt: str, place: int = 1) -> Column:
     """Uniform draw in (0, 1], safe under a logarithm."""
-    return (_word(key, salt) + F.lit(1)) / F.lit(4294967296.0)
+    return (_word(key, salt, place) + F.lit(1)) / F.lit(4294967296.0)
 
 
 def normal(key, salt: str) -> Column:
-    """Standard normal draw (Box-Muller)."""
-    radius = F.sqrt(F.lit(-2.0) * F.ln(uniform_open(key, salt + ":r")))
-    return radius * F.cos(F.lit(2.0 * math.pi) * uniform(key, salt + ":a"))
+    """Standard normal draw (Box-Muller), from two groups of one digest."""
+    radius = F.sqrt(F.lit(-2.0) * F.ln(uniform_open(key, salt)))
+    return radius * F.cos(F.lit(2.0 * math.pi) * uniform(key, salt, 2))
 
 
 def exponential(key, salt: str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SLICES = 256  # a bracket is cut into so many slices of equal width
 ACCURACY = 10000  # rank error of the bracketing sketch: at most rows / ACCURACY
 
 
@@ -51,10 +52,20 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
     inside = F.filter(
         F.array(*[F.when(F.col("value").between(F.col("_b")[2 * i], F.col("_b")[2 * i + 1]), F.lit(i))
                   for i in range(len(probs))]), lambda x: x.isNotNull())
-    counted = (cells.select("feature", "value", F.explode(inside).alias("_q"))
-               .groupBy("feature", "_q", "value").agg(F.count(F.lit(1)).alias("_c")))
-    upto = Window.partitionBy("feature", "_q").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(upto))
+    lo, hi = F.get("_b", 2 * F.col("_q")), F.get("_b", 2 * F.col("_q") + 1)
+    # A bracket is ranked in slices, so none of it has to be sorted in one task.
+    place = F.coalesce(F.try_divide(F.col("value") - lo, hi - lo), F.lit(0.0))
+    slice_ = F.least(F.lit(SLICES - 1), F.floor(place * SLICES)).cast("int")
+    cell = ["feature", "_q", "_slice"]
+    counted = (cells.select("feature", "value", "_b", F.explode(inside).alias("_q"))
+               .withColumn("_slice", slice_).groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("_c")))
+    head = Window.unboundedPreceding
+    along = Window.partitionBy("feature", "_q").orderBy("_slice").rowsBetween(head, -1)
+    starts = counted.groupBy(*cell).agg(F.sum("_c").alias("_n")).select(
+        *cell, F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*cell).orderBy("value").rowsBetween(head, 0)
+    ranked = counted.withColumn("_in", F.sum("_c").over(within)).join(starts, cell).withColumn(
+        "_upto", F.col("_start") + F.col("_in"))
     placed = ranked.join(F.broadcast(sizes), "feature")
     def of(columns):
         return F.element_at(F.array(*columns), F.col("_q") + 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelkit import catalog
 from panelkit.functions import clinical
 from panelkit.operators import balance, impute, panel
+from panelkit.session import cut_lineage
 from panelkit.sources import patient_files
 
 SMALL_SAMPLE = 5000  # fewer files than this scale the class targets down
@@ -47,7 +48,7 @@ def paper_cohort(rows: DataFrame, target_normal: int = catalog.COHORT_TARGETS[0]
     normal = balance.downsample_exact(rows.filter(F.col(label) == 0), key, target_normal, seed)
     both = normal.unionByName(rows.filter(F.col(label) == 1)).select(key, *features, label)
     imputer = imputer or impute.ChainedImputer(features, 5 if small else 10, seed)
-    clean = clinical.clip_limits(imputer.fit_transform(both, key))
+    clean = cut_lineage(clinical.clip_limits(imputer.fit_transform(both, key)))
     return balance.balance(clean, key, label, features, target_normal, target_sepsis, seed)
 
 

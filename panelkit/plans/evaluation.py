@@ -13,6 +13,7 @@ from panelkit.functions import clinical
 from panelkit.models import classical
 from panelkit.operators import balance, impute, metrics, profile, split
 from panelkit.plans.model import LatentModel
+from panelkit.session import cut_lineage
 
 FEATURES = list(catalog.FEATURES)
 
@@ -27,6 +28,8 @@ def prepare(train: DataFrame, test: DataFrame, key: str, label: str, seed: int =
     train = clinical.clip_limits(imputer.transform(train.select(key, *features, label), key))
     test = clinical.clip_limits(imputer.transform(test.select(key, *features, label), key))
     if rule is not None:
+        # Balancing reads the imputed rows several times: written out once, in the shared folder.
+        train = cut_lineage(train)
         if targets is None:
             goal = balance.targets(balance.class_sizes(train, label), rule).first()
             targets = (goal["t0"], goal["t1"])

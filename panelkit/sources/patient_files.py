@@ -89,10 +89,10 @@ def scan_lines(spark: SparkSession, paths, recursive: bool = True,
 
 
 def file_table(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
-    """``(file_path, file_name, length)`` from the listing alone."""
+    """``(file_path, length)`` from the listing alone; no content is read."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", FILES)
             .option("recursiveFileLookup", recursive).load(_roots(paths))
-            .select(F.col("path").alias("file_path"), "length"))
+            .select("_metadata.file_path", "length"))
 
 
 def header_names(lines: DataFrame) -> list[str]:
@@ -112,13 +112,12 @@ def scan_panel(spark: SparkSession, paths, channels: Sequence[str] | None = cata
     keeps every column found in any header. ``max_files`` draws that many files first. Raises if
     there is no input or nothing usable.
     """
-    lines = scan_lines(spark, paths, recursive, whole_file_bytes)
-    if file_table(spark, paths, recursive).isEmpty():
+    lines, files = scan_lines(spark, paths, recursive, whole_file_bytes), file_table(spark, paths, recursive)
+    if files.isEmpty():
         raise FileNotFoundError(f"no .psv or .csv patient files in {paths}")
     if max_files is not None:
-        files = ranking.take_exact(lines.select("file_path").distinct(), max_files, "file_path",
-                                   f"files:{seed}")
-        lines = lines.join(files, "file_path", "left_semi")
+        drawn = ranking.take_exact(files.select("file_path"), max_files, "file_path", f"files:{seed}")
+        lines = lines.join(drawn, "file_path", "left_semi")
     if channels is None:
         channels = [c for c in header_names(lines) if c not in (ORDER, label)]
     wanted = [ORDER, *channels] + ([label] if label else [])
