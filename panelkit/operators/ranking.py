@@ -73,9 +73,14 @@ def mark_exact(df: DataFrame, quota: Callable[[Column], Column], key, salt: str,
     totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"), F.max("_quota").alias("_q"))
     plan = totals.join(ends, groups, "left").select(
         *groups, (F.col("_q") >= F.col("_total")).alias("_everything"), "_end")
-    flagged = marked.join(F.broadcast(plan), groups)
+    if strata:
+        flagged = marked.join(F.broadcast(plan), groups)
+    else:
+        only = plan.select(F.struct("_everything", "_end").alias("p")).scalar()
+        flagged = marked.withColumn("_plan", only).select("*", "_plan._everything", "_plan._end")
     taken = F.col("_everything") | F.coalesce(F.struct("_hash", *keys) <= F.col("_end"), F.lit(False))
-    return flagged.select(*df.columns, taken.alias(column))
+    # No plan row at all: there was nothing to take from.
+    return flagged.select(*df.columns, F.coalesce(taken, F.lit(False)).alias(column))
 
 
 def take_exact(df: DataFrame, n: int, key, salt: str) -> DataFrame:

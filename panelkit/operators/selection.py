@@ -47,7 +47,7 @@ def mi_binned(df: DataFrame, features: Sequence[str], label: str, bins: int = 10
 
     Missing values take the median. One aggregate after the exact bin edges are known.
     """
-    filled = profile.fill_median(df.select(label, *features), features)
+    filled = _filled(df, features, label)
     def bin_of(cuts, c):
         return F.size(F.filter(cuts, lambda e: e < F.col(c))).cast("double")
     edges = profile.quantiles(filled, features, [i / bins for i in range(1, bins)]).select("feature", "q")
@@ -64,6 +64,14 @@ def mi_binned(df: DataFrame, features: Sequence[str], label: str, bins: int = 10
         F.greatest(F.sum("term"), F.lit(0.0)).alias("mi"))
 
 
+def _filled(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Missing values take the column's median: one number per column, put in as a constant."""
+    known = {r["feature"]: r["median"] for r in profile.medians(df, features).collect()}
+    def fill(c):
+        return F.coalesce(F.col(c).cast("double"), F.lit(known.get(c)).cast("double"), F.lit(0.0))
+    return df.select(label, *[fill(c).alias(c) for c in features])
+
+
 def _block_count(rows: int) -> int:
     return max(1, min(MAX_BLOCKS, -(-rows // BLOCK_ROWS)))
 
@@ -102,7 +110,7 @@ def mi_knn(df: DataFrame, features: Sequence[str], label: str, k: int = 3) -> Da
     ranges around them; points within a radius are counted with running sums. All of it is
     linear in the distinct values, and no class or value is sorted in one task.
     """
-    filled = profile.fill_median(df.select(label, *features), features)
+    filled = _filled(df, features, label)
     long = profile.melt(filled, features, [label])
     counts = long.groupBy("feature", label).agg(F.count(F.lit(1)).alias("n_class"))
     counts = counts.filter("n_class > 1")  # a class of one has no neighbour and is left out
