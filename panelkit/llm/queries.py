@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import minhash, simhash
+from panelkit.llm import language, minhash, mixing, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mixing": mixing.query,
+        "op4_quality": quality.query,
+        "op5_language": language.query,
         "op6_simhash": simhash.query,
+        "op7_secrets": secrets.query,
         "op10_minhash": minhash.query,
     }
 
