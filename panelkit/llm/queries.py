@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import language, minhash, mixing, quality, secrets, simhash
+from panelkit.llm import language, licenses, minhash, mixing, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_licenses": licenses.query,
         "op3_mixing": mixing.query,
         "op4_quality": quality.query,
         "op5_language": language.query,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_licenses": licenses.sql()}
