@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import language, licenses, minhash, mixing, quality, secrets, simhash
+from panelkit.llm import language, licenses, minhash, mixing, neighbors, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language": language.query,
         "op6_simhash": simhash.query,
         "op7_secrets": secrets.query,
+        "op9_neighbors": neighbors.query,
         "op10_minhash": minhash.query,
     }
 
