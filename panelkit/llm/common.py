@@ -18,17 +18,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests), one beside the
-    warehouse.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests), a folder beside the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        set_to = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(set_to or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+        given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(given or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

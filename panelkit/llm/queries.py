@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import language, licenses, minhash, mixing, neighbors, quality, secrets, simhash
+from panelkit.llm import language, licenses, minhash, mixing, neighbors, pieces, quality, secrets, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pieces": pieces.query,
         "op2_licenses": licenses.query,
         "op3_mixing": mixing.query,
         "op4_quality": quality.query,
         "op5_language": language.query,
         "op6_simhash": simhash.query,
         "op7_secrets": secrets.query,
+        "op8_tokens": tokens.query,
         "op9_neighbors": neighbors.query,
         "op10_minhash": minhash.query,
     }
