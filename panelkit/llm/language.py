@@ -59,9 +59,9 @@ class Network:
         """State of a direction at every position: [SPAN, spans, units]. Beyond a span's size it stays as it was."""
         table, rec = self.w[f"W{d}"], self.w[f"U{d}"]
         n, units = len(spans), rec.shape[1]
-        out = np.empty((SPAN, n, units), np.float32)
-        gates, pull = np.empty((3, n, units), np.float32), np.empty((3, n, units), np.float32)
-        h = np.zeros((n, units), np.float32)
+        out = np.empty((SPAN, n, units), table.dtype)
+        gates, pull = np.empty((3, n, units), table.dtype), np.empty((3, n, units), table.dtype)
+        h = np.zeros((n, units), table.dtype)
         full = int(sizes.min(initial=SPAN))
         for t in range(SPAN) if d == "f" else range(SPAN - 1, -1, -1):
             codes = spans[:, t]

@@ -24,7 +24,7 @@ SHARE = 1.5
 MOST = 2
 #: Words of a block, words of a shard, seed of the order and of the first block.
 BLOCK = 8
-SHARD = 2_000_000
+SHARD = 500_000
 SEED = 20
 
 

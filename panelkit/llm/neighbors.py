@@ -45,7 +45,7 @@ def choose_pivots(rows: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
     """Distinct vectors among the ``4 * pivots`` of the smallest id hashes, scaled to length one."""
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(4 * pivots).collect()
     found = list(dict.fromkeys(tuple(r["v"]) for r in sample))[:pivots]
-    chosen = np.array(found, np.float64).reshape(len(found), -1)
+    chosen = np.array(found, np.float64) if found else np.zeros((0, 0))
     return chosen / np.maximum(np.linalg.norm(chosen, axis=1, keepdims=True), 1e-300)
 
 
