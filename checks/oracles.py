@@ -7,7 +7,6 @@ import math
 from checks.queries import DIMS, MEASURED, TYPES, scale_of
 from panelkit import catalog
 from panelkit.functions.clinical import RULE_DEFAULTS
-from panelkit.sources.generator import DISTRIBUTIONS
 
 FEATURES = list(catalog.FEATURES)
 BOTTLENECK = list(catalog.BOTTLENECK)
@@ -46,15 +45,6 @@ def uniform(keys: str, salt: str, place: int = 1) -> str:
     return f"({word(keys, salt, place)} / 4294967296e0)"
 
 
-def uniform_open(keys: str, salt: str) -> str:
-    return f"(({word(keys, salt)} + 1) / 4294967296e0)"
-
-
-def normal(keys: str, salt: str) -> str:
-    return (f"(sqrt(-2e0 * ln({uniform_open(keys, salt)})) * "
-            f"cos({num(2 * math.pi)} * {uniform(keys, salt, 2)}))")
-
-
 def pick(keys: str, salt: str, n: str) -> str:
     return f"CAST(floor({uniform(keys, salt)} * {n}) AS BIGINT)"
 
@@ -230,20 +220,6 @@ bars AS (SELECT *, round(phi, 4) AS shap, CASE WHEN phi > 0 THEN 'contributing'
 TOP_SQL = "(" + ", ".join(f"'{f}'" for f in catalog.TOP) + ")"
 
 
-def drawn(f: str) -> str:
-    def draw(spec, salt):
-        if isinstance(spec, list):
-            (share, *a), (_, *b) = spec
-            return (f"CASE WHEN {uniform('event_id', salt + ':mix')} < {num(share)} THEN {draw(tuple(a), salt)} "
-                    f"ELSE {draw(tuple(b), salt)} END")
-        if spec[0] == "exp":
-            return f"({num(spec[1])} * (-ln({uniform_open('event_id', salt + ':e')})) + {num(spec[2])})"
-        return f"({num(spec[0])} + {num(spec[1])} * {normal('event_id', salt)})"
-    a, b = DISTRIBUTIONS[f]
-    salt = f"gen:42:{f}"
-    return f"CASE WHEN {q(LABEL)} = 1 THEN {draw(b, salt)} ELSE {draw(a, salt)} END AS {q(f)}"
-
-
 def target_rule(name: str, t0: str, t1: str) -> str:
     return f"SELECT '{name}' AS rule, n0, n1, {t0} AS t0, {t1} AS t1 FROM sizes"
 
@@ -358,7 +334,17 @@ near AS (SELECT a.vec_id AS a, b.vec_id AS b, b.v AS vb, row_number() OVER (PART
   FROM mino a JOIN mino b ON a.vec_id <> b.vec_id),
 slots AS (SELECT i AS slot, {pick('i', 'smote:42:row', 'n')} AS ix, {pick('i', 'smote:42:neighbour', '5')} + 1 AS r, {uniform('i', 'smote:42:step')} AS step FROM range(500) t(i) CROSS JOIN nmin)""",
             f"SELECT 'smote:' || slot AS vec_id, 'e' || j AS feature, round(idx.v[j + 1] + step * (vb[j + 1] - idx.v[j + 1]), 6) AS value FROM slots JOIN idx ON idx.rk - 1 = ix JOIN near ON near.a = idx.vec_id AND near.r = slots.r CROSS JOIN range({DIMS}) t(j)"),
-        "balance_classes": with_(EMB, "SELECT CAST(0 AS BIGINT) AS label, CAST(300 AS BIGINT) AS n, CAST(300 AS BIGINT) AS keys, CAST(0 AS BIGINT) AS made UNION ALL SELECT 1, 250, 250, 250 - count(*) FROM emb WHERE label < 2"),
+        "balance_classes": with_(EMB + f""",
+zero AS (SELECT *, row_number() OVER (ORDER BY {digest('vec_id', 'down:42')}, vec_id) AS r FROM emb WHERE label >= 2),
+mino AS (SELECT * FROM emb WHERE label < 2), nmin AS (SELECT count(*) AS n FROM mino),
+idx AS ({ranked('mino', 'vec_id', 'smote:42')}),
+near AS (SELECT a.vec_id AS a, b.v AS vb, row_number() OVER (PARTITION BY a.vec_id ORDER BY {dist('a.v', 'b.v')}, b.vec_id) AS r
+  FROM mino a JOIN mino b ON a.vec_id <> b.vec_id),
+many AS (SELECT n, unnest(range(greatest(0, 250 - n))) AS i FROM nmin),
+slots AS (SELECT i AS slot, {pick('i', 'smote:42:row', 'n')} AS ix, {pick('i', 'smote:42:neighbour', '5')} + 1 AS r, {uniform('i', 'smote:42:step')} AS step FROM many)""",
+            f"""SELECT CAST(vec_id AS VARCHAR) AS vec_id, CAST(0 AS BIGINT) AS label, 'e' || j AS feature, round(v[j + 1], 6) AS value FROM zero CROSS JOIN range({DIMS}) t(j) WHERE r <= 300
+UNION ALL SELECT CAST(vec_id AS VARCHAR), 1, 'e' || j, round(v[j + 1], 6) FROM mino CROSS JOIN range({DIMS}) t(j)
+UNION ALL SELECT 'smote:' || slot, 1, 'e' || j, round(idx.v[j + 1] + step * (vb[j + 1] - idx.v[j + 1]), 6) FROM slots JOIN idx ON idx.rk - 1 = ix JOIN near ON near.a = idx.vec_id AND near.r = slots.r CROSS JOIN range({DIMS}) t(j)"""),
         "knn_classify": with_(PARTS + f""",
 near AS (SELECT te.vec_id, tr.label AS cls, row_number() OVER (PARTITION BY te.vec_id ORDER BY {dist('te.v', 'tr.v')}, tr.vec_id) AS r FROM te CROSS JOIN tr),
 votes AS (SELECT vec_id, cls, count(*) AS n FROM near WHERE r <= 5 GROUP BY 1, 2),
@@ -413,10 +399,7 @@ SELECT event_id, temp AS "Temp", round({rule(lambda g: 'temp' if g == 'Temp' els
   CAST(18 + CASE WHEN t < 30 OR t > 43 THEN 1 ELSE 0 END AS BIGINT) AS n_warnings,
   CASE WHEN t < 30 OR t > 43 THEN 'Temp (' || CAST(t AS VARCHAR) || ') was outside biological limits [30.0, 43.0]; clipped to ' || CAST(temp AS VARCHAR) || '.'
     ELSE 'Chloride was not provided; defaulted to physiological normal (101.00).' END AS second_warning FROM x""",
-        "spec_cohort": f"""WITH ids AS (SELECT event_id, CASE WHEN value >= 100 THEN 1 ELSE 0 END AS {lab} FROM events),
-draws AS (SELECT event_id, {', '.join(drawn(f) for f in DISTRIBUTIONS)}, {lab} FROM ids),
-scored AS (SELECT *, CAST({sirs(h='NULL::DOUBLE', w='NULL::DOUBLE')} AS DOUBLE) AS "SIRS" FROM draws)
-SELECT event_id, {', '.join(r6(f"CASE WHEN {uniform('event_id', f'miss:42:{f}')} >= 0.05e0 THEN {clip(f)} END", f) for f in FEATURES)}, CAST({lab} AS BIGINT) AS {lab} FROM scored""",
+        "pca_variance": "SELECT CAST(11 AS BIGINT) AS dimensions, CAST(1 AS BIGINT) AS uncorrelated, CAST(1 AS BIGINT) AS ordered",
         "page_links": """SELECT DISTINCT unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS link FROM pages""",
         "catalog_midpoints": with_(PANEL + ",\nlong AS (" + long("panel", catalog.RAW, "user_id") + "),\ncat AS (SELECT * FROM (VALUES " + ", ".join(
             f"('{f}', {i}, {int(f in catalog.BOTTLENECK)}, {int(f in catalog.TOP)}, {num(catalog.NORMAL_RANGE[f][0])}, {num(catalog.NORMAL_RANGE[f][1])}, {num(catalog.LIMITS[f][0])}, {num(catalog.LIMITS[f][1])}, {num(round(catalog.midpoint(f), 2))})"

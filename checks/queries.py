@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelkit import catalog, session
 from panelkit.catalog import LABEL, PanelSpec
 from panelkit.functions import clinical
-from panelkit.models import classical, network, trainer
+from panelkit.models import classical
 from panelkit.operators import (balance, explain, impute, metrics, panel, profile,
                                 selection, split)
 from panelkit.plans import evaluation, model
@@ -215,10 +215,7 @@ def standard_scale(spark, sf):
 
 
 def gram_matrix(spark, sf):
-    names = ["one", *FEATURES]
-    sums = impute.gram_matrix(filled_vectors(spark, sf).select(*FEATURES), FEATURES)[0]
-    rows = [(a, b, float(sums[i, j] / sums[0, 0])) for i, a in enumerate(names) for j, b in enumerate(names)]
-    return rounded(spark.createDataFrame(rows, "a string, b string, mean_product double"))
+    return rounded(impute.mean_products(filled_vectors(spark, sf), FEATURES))
 
 
 # --- imputation ------------------------------------------------------------------------------
@@ -229,7 +226,7 @@ def mice_step(spark, sf):
 
 
 def mice_sequential(spark, sf):
-    fit = impute.ChainedImputer(FEATURES, max_iter=2)
+    fit = impute.ChainedImputer(FEATURES, max_iter=2, schedule="sequential")
     return fit.fit_transform(vectors(spark, sf).select("user_id", *FEATURES), "user_id")
 
 
@@ -260,7 +257,8 @@ def fold_leak_check(spark, sf):
 
 def balance_targets(spark, sf):
     sizes = balance.class_sizes(events_panel(spark, sf), LABEL)
-    parts = [balance.targets(sizes, rule).withColumn("rule", F.lit(rule))
+    most = {"holdout": tuple(n * 4 // 5 for n in catalog.COHORT_TARGETS)}
+    parts = [balance.targets(sizes, rule, most.get(rule, catalog.COHORT_TARGETS)).withColumn("rule", F.lit(rule))
              for rule in ("fold", "holdout", "final", "hourly_small")]
     out = parts[0]
     for p in parts[1:]:
@@ -298,15 +296,12 @@ def smote(spark, sf):
 
 def balance_classes(spark, sf):
     df = _wide(_embeddings(spark, sf)).withColumn("label", (F.col("label") < 2).cast("int"))
-    out = balance.balance(df, "vec_id", "label", WIDE, 300, 250, cluster_cut=0)
-    return out.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("keys"),
-        F.count(F.when(F.col("vec_id").startswith("smote:"), 1)).alias("made")
-    ).withColumn("label", F.col("label").cast("bigint"))
+    out = balance.balance(df, "vec_id", "label", WIDE, 300, 250)
+    return rounded(profile.melt(out, WIDE, ["vec_id", "label"]).withColumn("label", F.col("label").cast("bigint")))
 
 
 def balance_hourly(spark, sf):
-    return balance.balance(hourly_filled(spark, sf), "row_id", LABEL, FEATURES, 60, 50)
+    return balance.balance(hourly_filled(spark, sf), "row_id", LABEL, FEATURES, 60, 50, majority="centroids")
 
 
 # --- neighbours and models -----------------------------------------------------------------------
@@ -332,55 +327,55 @@ def recon_mse(spark, sf):
     return rounded(metrics.reconstruction_mse(coarse, "embedding", "rebuilt"))
 
 
-def _scaled_vectors(spark, sf):
-    df = filled_vectors(spark, sf)
-    return profile.standardize(df, FEATURES, profile.scaler(df, FEATURES))
+def _latent_model(spark, sf):
+    return model.LatentModel.fit(filled_vectors(spark, sf), "user_id", LABEL, max_iter=20)
+
 
+def pca_latent(spark, sf):
+    return _latent_model(spark, sf).latents(filled_vectors(spark, sf), ["user_id"])
 
-def ae_latent(spark, sf):
-    df = _scaled_vectors(spark, sf)
-    layers = network.encoder_layers() + network.decoder_layers()
-    ae = trainer.train(df, FEATURES, "user_id", trainer.Network.fresh(layers), epochs=3)
-    encoder = ae.head(len(network.encoder_layers()))
-    return trainer.score(df, FEATURES, encoder, model.LATENT).select("user_id", *model.LATENT)
+
+def pca_variance(spark, sf):
+    """Whether the latent dimensions are uncorrelated, and in order of falling variance."""
+    latent = pca_latent(spark, sf)
+    names = latent.columns[1:]
+    spread = latent.agg(*[F.var_pop(n).alias(n) for n in names],
+                        *[F.covar_pop(a, b).alias(f"{a}:{b}") for i, a in enumerate(names) for b in names[:i]])
+    off = F.greatest(*[F.abs(f"{a}:{b}") for i, a in enumerate(names) for b in names[:i]])
+    falling = [F.col(a) >= F.col(b) - 1e-9 for a, b in zip(names, names[1:])]
+    ordered = falling[0]
+    for f in falling[1:]:
+        ordered = ordered & f
+    return rounded(spread.select(F.lit(len(names)).alias("dimensions"), (off < 1e-6).alias("uncorrelated"),
+                                 ordered.alias("ordered")))
 
 
 def mlp_score(spark, sf):
-    fitted = model.RecordModel.fit(filled_vectors(spark, sf), "user_id", LABEL, epochs=3)
+    fitted = model.RecordModel.fit(filled_vectors(spark, sf), "user_id", LABEL, max_iter=20)
     values = F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f).cast("string"))])
     scored = fitted.score_records(vectors(spark, sf).select("user_id", values.alias("vitals")), ["user_id"])
     return scored.select("user_id", "prediction_probability", "alert_level", "is_above_threshold")
 
 
-def gradcam(spark, sf):
-    df = _scaled_vectors(spark, sf)
-    encoder = trainer.Network.fresh(network.encoder_layers())
-    maps = explain.gradcam(df, FEATURES, encoder, keep=["user_id"])
-    cells = explain.heatmap_cells(maps, ["user_id"], FEATURES)
-    return explain.rank_features(explain.discounted_scores(cells, ["user_id"]), ["user_id"])
-
-
 def score_latent(spark, sf):
-    fitted = model.LatentModel.fit(filled_vectors(spark, sf), "user_id", LABEL, epochs_ae=2, epochs_clf=2)
-    out = fitted.explain(vectors(spark, sf), "user_id")
+    out = _latent_model(spark, sf).explain(vectors(spark, sf), "user_id")
     return out.select("user_id", "sepsis_probability", "alert_level", "is_sepsis_onset_6h",
-                      F.to_json("dhm_top_features").alias("dhm_top_features"),
                       F.to_json("shap_waterfall").alias("shap_waterfall"))
 
 
 def cv_leakfree(spark, sf):
     return evaluation.leakage_free_cv(
-        vectors(spark, sf).select("user_id", *FEATURES, LABEL), "user_id", group="user_id", k=2,
-        epochs_ae=2, epochs_clf=2, max_iter=1, schedule="block")
+        vectors(spark, sf).select("user_id", *FEATURES, LABEL), "user_id", group="user_id", k=2, max_iter=20, sweeps=1)
 
 
 def cv_balanced(spark, sf):
-    return evaluation.balanced_cv(filled_vectors(spark, sf), "user_id", k=2, epochs_ae=2, epochs_clf=2)
+    return evaluation.balanced_cv(filled_vectors(spark, sf), "user_id", k=2, max_iter=20)
 
 
 def baseline_table(spark, sf):
     return evaluation.comparison_table(
-        vectors(spark, sf).select("user_id", *FEATURES, LABEL), "user_id", max_iter=1, schedule="block")
+        vectors(spark, sf).select("user_id", *FEATURES, LABEL), "user_id", sweeps=1,
+        chosen=classical.models(forest_depth=12))
 
 
 # --- selection and metrics -----------------------------------------------------------------------
@@ -427,7 +422,8 @@ def background_sample(spark, sf):
 
 def _attributed(spark, sf):
     df = filled_vectors(spark, sf)
-    return explain.attributions(df, catalog.BOTTLENECK, explain.rule_score(), explain.background(df, "user_id"))
+    return explain.attributions(df, catalog.BOTTLENECK, clinical.rule_probability, explain.background(df, "user_id"),
+                                used=clinical.RULE_DEFAULTS)
 
 
 def perturb_shap(spark, sf):
@@ -475,7 +471,8 @@ def score_records(spark, sf):
     sent = vectors(spark, sf).select("user_id", values.alias("vitals"))
     accepted = records.from_map(sent, "vitals", ["user_id"]).withColumn("prob", clinical.rule_probability())
     reference = explain.background(filled_vectors(spark, sf), "user_id")
-    explained = explain.attributions(accepted, catalog.BOTTLENECK, explain.rule_score(), reference)
+    explained = explain.attributions(accepted, catalog.BOTTLENECK, clinical.rule_probability, reference,
+                                     used=clinical.RULE_DEFAULTS)
     out = model.scored_records(explained, ["user_id"])
     return rounded(out.withColumns({
         "n_warnings": F.size("warnings"), "top_feature": F.col("shap_waterfall")[0]["feature"],
@@ -492,11 +489,6 @@ def score_json(spark, sf):
                                    F.get("warnings", F.lit(1)).alias("second_warning")))
 
 
-def spec_cohort(spark, sf):
-    ids = table(spark, sf, "events").select("event_id", (F.col("value") >= 100).cast("int").alias(LABEL))
-    return rounded(generator.cohort_from_distributions(ids, "event_id", LABEL))
-
-
 def page_links(spark, sf):
     return links.links(table(spark, sf, "pages"), pattern=r'href="/([^"]*)"')
 
@@ -520,11 +512,11 @@ QUERIES = [
     holdout_split, stratified_folds, kfold, group_folds, fold_leak_check, balance_targets,
     downsample_exact, replicate_up, interpolate_pairs, cluster_undersample, smote, balance_classes,
     balance_hourly,
-    knn_classify, gaussian_nb, recon_mse, ae_latent, mlp_score, gradcam, score_latent, cv_leakfree,
+    knn_classify, gaussian_nb, recon_mse, pca_latent, pca_variance, mlp_score, score_latent, cv_leakfree,
     cv_balanced, baseline_table,
     chi2_scores, mi_binned, mi_knn, select_features, binary_metrics, log_loss, fold_summary,
     background_sample, perturb_shap, waterfall, waterfall_top3, global_importance, dhm_scores, dhm_rank,
-    score_records, score_json, spec_cohort, page_links, catalog_midpoints,
+    score_records, score_json, page_links, catalog_midpoints,
 ]
 
 

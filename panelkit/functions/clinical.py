@@ -89,10 +89,10 @@ def accept_record(df: DataFrame, values: Mapping[str, Column] | None = None,
         else:
             raw = values.get(f, F.lit(None).cast("string"))
         text = raw.cast("string")
-        number = text.try_cast("double")
+        number = F.when(text.rlike(NUMBER), text.try_cast("double"))
         lo, hi = catalog.LIMITS[f]
         mid = catalog.midpoint(f)
-        absent = text.isNull() | (text == "") | F.isnan(F.coalesce(number, F.lit(0.0)))
+        absent = text.isNull() | F.lower(F.trim(text)).isin("", "nan")
         invalid = number.isNull()
         outside = (number < lo) | (number > hi)
         clipped = F.least(F.lit(hi), F.greatest(F.lit(lo), number))
@@ -101,12 +101,23 @@ def accept_record(df: DataFrame, values: Mapping[str, Column] | None = None,
             F.when(absent, F.lit(f"{f} was not provided; defaulted to physiological normal ({mid:.2f})."))
             .when(invalid, F.lit(f"{f} was invalid; defaulted to physiological normal ({mid:.2f})."))
             .when(outside, F.concat(
-                F.lit(f"{f} ("), number.cast("string"),
+                F.lit(f"{f} ("), plain(number),
                 F.lit(f") was outside biological limits [{lo}, {hi}]; clipped to "),
                 clipped.cast("string"), F.lit("."))))
     return df.select(*keep, *out, F.array_compact(F.array(*notes)).alias(warnings))
 
 
+# What counts as a number in a record, and beyond what a double prints with an exponent.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+LONG = 1e7
+
+
+def plain(number: Column) -> Column:
+    """A number in digits, without an exponent where it has at most 30 of them."""
+    digits = number.try_cast("decimal(38,2)").cast("string")
+    return F.when(F.abs(number) >= LONG, F.coalesce(digits, number.cast("string"))).otherwise(number.cast("string"))
+
+
 def alert_level(prob: Column, high: float = catalog.HIGH_RISK,
                 moderate: float = catalog.DECISION_THRESHOLD) -> Column:
     return F.when(prob >= high, "HIGH").when(prob >= moderate, "MODERATE").otherwise("LOW")

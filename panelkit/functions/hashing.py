@@ -6,16 +6,14 @@ row key do not: every sample, fold, noise term and shuffle here is a pure functi
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def digest(key, salt: str) -> Column:
-    """Hex digest of one key column (or several) and a salt."""
+    """Hex digest of one key column (or several) and a salt; a null has a mark of its own."""
     keys = key if isinstance(key, (list, tuple)) else [key]
-    cols = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    cols = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("\\N")) for k in keys]
     return F.md5(F.concat_ws(":", *cols, F.lit(salt)))
 
 
@@ -29,22 +27,6 @@ def uniform(key, salt: str, place: int = 1) -> Column:
     return _word(key, salt, place) / F.lit(4294967296.0)
 
 
-def uniform_open(key, salt: str, place: int = 1) -> Column:
-    """Uniform draw in (0, 1], safe under a logarithm."""
-    return (_word(key, salt, place) + F.lit(1)) / F.lit(4294967296.0)
-
-
-def normal(key, salt: str) -> Column:
-    """Standard normal draw (Box-Muller), from two groups of one digest."""
-    radius = F.sqrt(F.lit(-2.0) * F.ln(uniform_open(key, salt)))
-    return radius * F.cos(F.lit(2.0 * math.pi) * uniform(key, salt, 2))
-
-
-def exponential(key, salt: str) -> Column:
-    """Exponential draw with mean 1."""
-    return -F.ln(uniform_open(key, salt))
-
-
 def pick(key, salt: str, n) -> Column:
     """Uniform integer in [0, n)."""
     n = n if isinstance(n, Column) else F.lit(n)

@@ -14,12 +14,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit import catalog
 from panelkit.functions.hashing import pick, uniform
 from panelkit.operators import neighbors, ranking
 
-CLUSTER_CUT = 1000  # more centroids than this: sample instead
-
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
     """One row ``(n0, n1)``."""
@@ -27,22 +24,22 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
                   F.count(F.when(F.col(label) == 1, 1)).alias("n1"))
 
 
-def targets(sizes: DataFrame, rule: str = "fold",
-            full: tuple[int, int] = catalog.COHORT_TARGETS) -> DataFrame:
+def targets(sizes: DataFrame, rule: str = "fold", most: tuple[int, int] | None = None) -> DataFrame:
     """Add the class targets ``t0, t1`` a protocol calls for to a row of class sizes.
 
     ``fold``: keep the majority, lift the minority to 78 % of it. ``holdout`` and ``final``:
     56/44 of the rows. ``hourly_small``: 80 % of the majority, 78 % of that for the minority.
+    ``most`` bounds the rows of each class; by default nothing does.
     """
     n0, n1 = F.col("n0"), F.col("n1")
+    full = (1 << 62, 1 << 62) if most is None else most
     def share(x, p):
         return F.floor(x * F.lit(p))
     if rule == "fold":
         t0 = F.least(F.lit(full[0]), n0)
         t1 = F.least(F.lit(full[1]), F.greatest(n1, share(t0, 0.78)))
     elif rule in ("holdout", "final"):
-        cap = (25600, 20000) if rule == "holdout" else full
-        t0, t1 = F.least(F.lit(cap[0]), share(n0 + n1, 0.56)), F.least(F.lit(cap[1]), share(n0 + n1, 0.44))
+        t0, t1 = F.least(F.lit(full[0]), share(n0 + n1, 0.56)), F.least(F.lit(full[1]), share(n0 + n1, 0.44))
     elif rule == "hourly_small":
         t0 = F.least(F.lit(full[0]), F.greatest(F.lit(10), share(n0, 0.8)))
         t1 = F.least(F.lit(full[1]), F.greatest(F.lit(5), share(t0, 0.78)))
@@ -65,24 +62,26 @@ def _made(prefix: str):
 
 
 def smote(rows: DataFrame, key: str, features: Sequence[str], n: int, k: int = 5,
-          seed: int = 42, **knn_options) -> DataFrame:
+          seed: int = 42, size: int | None = None, **knn_options) -> DataFrame:
     """``n`` synthetic rows, each between a random row and one of its k nearest neighbours.
 
-    ``rows`` are the minority class only. Returns ``(key, features)``.
+    ``rows`` are the minority class only, ``size`` their number if known. Neighbours are searched for the rows
+    that are drawn. Returns ``(key, features)``.
     """
     features = list(features)
-    size = rows.count()
+    size = rows.count() if size is None else size
     k = min(k, size - 1)
     if k < 1:
         raise ValueError("too few rows for neighbours")
     base = _indexed(rows, key, f"smote:{seed}")
-    near = neighbors.knn(rows.select(key, F.array(*features).alias("_v")),
-                         rows.select(key, F.array(*features).alias("_v")),
-                         k, key, "_v", exclude_self=True, **knn_options)
     slots = _slots(rows, n).select(
         "_slot", pick("_slot", f"smote:{seed}:row", size).alias("_i"),
         (pick("_slot", f"smote:{seed}:neighbour", k) + 1).alias("_rank"),
         uniform("_slot", f"smote:{seed}:step").alias("_step"))
+    asked = base.join(slots.select("_i").distinct(), "_i", "left_semi")
+    near = neighbors.knn(asked.select(key, F.array(*features).alias("_v")),
+                         rows.select(key, F.array(*features).alias("_v")),
+                         k, key, "_v", exclude_self=True, **knn_options)
     a = base.select("_i", F.col(key).alias("_a"), *[F.col(f).alias(f"_a_{f}") for f in features])
     b = rows.select(F.col(key).alias("_b"), *[F.col(f).alias(f"_b_{f}") for f in features])
     pairs = (slots.join(a, "_i")
@@ -95,10 +94,10 @@ def smote(rows: DataFrame, key: str, features: Sequence[str], n: int, k: int = 5
 
 
 def interpolate_pairs(rows: DataFrame, key: str, features: Sequence[str], n: int,
-                      seed: int = 42) -> DataFrame:
+                      seed: int = 42, size: int | None = None) -> DataFrame:
     """``n`` synthetic rows between two random rows, 10-90 % of the way."""
     features = list(features)
-    size = rows.count()
+    size = rows.count() if size is None else size
     base = _indexed(rows, key, f"pairs:{seed}")
     slots = _slots(rows, n).select(
         "_slot", pick("_slot", f"pairs:{seed}:a", size).alias("_ia"),
@@ -117,9 +116,9 @@ def downsample_exact(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataF
 
 
 def replicate_up(rows: DataFrame, key: str, features: Sequence[str], n: int,
-                 seed: int = 42) -> DataFrame:
+                 seed: int = 42, size: int | None = None) -> DataFrame:
     """``n`` copies of rows drawn with replacement."""
-    size = rows.count()
+    size = rows.count() if size is None else size
     base = _indexed(rows, key, f"copy:{seed}").select("_i", *features)
     slots = _slots(rows, n).withColumn("_i", pick("_slot", f"copy:{seed}:row", size))
     return slots.join(base, "_i").select(_made("copy").alias(key), *features)
@@ -127,24 +126,29 @@ def replicate_up(rows: DataFrame, key: str, features: Sequence[str], n: int,
 
 def cluster_centroids(rows: DataFrame, key: str, features: Sequence[str], n: int,
                       seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """``n`` k-means centroids in place of the rows they stand for."""
+    """``n`` k-means centroids in place of the rows they stand for; needs ``n`` distinct rows, else raises."""
     features = list(features)
     vectors = VectorAssembler(inputCols=features, outputCol="_vec").transform(rows).select("_vec")
     model = KMeans(k=n, seed=seed, featuresCol="_vec", maxIter=max_iter).fit(vectors)
+    if len(model.clusterCenters()) < n:
+        raise ValueError(f"{n} centroids asked of {len(model.clusterCenters())} distinct rows")
     centres = [(f"centroid:{i}", *[float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     schema = f"`{key}` string, " + ", ".join(f"`{f}` double" for f in features)
     return rows.sparkSession.createDataFrame(centres, schema)
 
 
 def balance(df: DataFrame, key: str, label: str, features: Sequence[str], target_normal: int,
-            target_sepsis: int, seed: int = 42, cluster_cut: int = CLUSTER_CUT,
+            target_sepsis: int, seed: int = 42, minority: str = "smote", majority: str = "sample",
             **knn_options) -> DataFrame:
     """Exactly ``target_normal`` zeros and ``target_sepsis`` ones (if both classes occur).
 
-    Minority: synthetic neighbours, or random pairs if there are too few rows, or a sample.
-    Majority: centroids up to ``cluster_cut`` of them, else a sample, or copies drawn with
-    replacement. A class already at its target stays as it is.
+    Too few ones are filled up by ``minority``: ``smote`` (synthetic neighbours, at least two rows) or ``pairs``
+    (between random rows). Too many zeros are reduced by ``majority``: ``sample`` or ``centroids`` (k-means on that
+    many distinct rows). A method that cannot be carried out raises. Too many ones are sampled, too few zeros
+    filled up with copies. A class already at its target stays as it is.
     """
+    if minority not in ("smote", "pairs") or majority not in ("sample", "centroids"):
+        raise ValueError(f"unknown method {minority!r} or {majority!r}")
     features = list(features)
     frame = df.select(F.col(key).cast("string").alias(key), *features, label)
     size = class_sizes(frame, label).first()
@@ -155,24 +159,20 @@ def balance(df: DataFrame, key: str, label: str, features: Sequence[str], target
     zeros = frame.filter(F.col(label) == 0).select(*plain)
 
     missing = target_sepsis - size["n1"]
-    if missing > 0 and size["n1"] > 1:
-        pos = [ones, smote(ones, key, features, missing, seed=seed, **knn_options)]
+    if missing > 0 and minority == "smote":
+        pos = [ones, smote(ones, key, features, missing, seed=seed, size=size["n1"], **knn_options)]
     elif missing > 0:
-        pos = [ones, interpolate_pairs(ones, key, features, missing, seed)]
-    elif missing < 0:
-        pos = [downsample_exact(ones, key, target_sepsis, seed)]
+        pos = [ones, interpolate_pairs(ones, key, features, missing, seed, size["n1"])]
     else:
-        pos = [ones]
+        pos = [downsample_exact(ones, key, target_sepsis, seed) if missing else ones]
 
     extra = size["n0"] - target_normal
-    if extra > 0 and target_normal <= cluster_cut:
+    if extra > 0 and majority == "centroids":
         neg = [cluster_centroids(zeros, key, features, target_normal, seed)]
     elif extra > 0:
         neg = [downsample_exact(zeros, key, target_normal, seed)]
-    elif extra < 0:
-        neg = [zeros, replicate_up(zeros, key, features, -extra, seed)]
     else:
-        neg = [zeros]
+        neg = [zeros, replicate_up(zeros, key, features, -extra, seed, size["n0"])] if extra else [zeros]
 
     parts = ([p.withColumn(label, F.lit(1)) for p in pos] + [p.withColumn(label, F.lit(0)) for p in neg])
     return reduce(DataFrame.unionByName, parts)

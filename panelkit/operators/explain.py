@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelkit import catalog
-from panelkit.functions import clinical
 from panelkit.functions.hashing import digest
-from panelkit.models import network
-from panelkit.models.trainer import Network
 
-BACKGROUND_ROWS = 100  # the reference population attributions compare with
+BACKGROUND_ROWS = 100  # usual size of the reference population that attributions compare with
 
 
 def background(df: DataFrame, key: str, n: int = BACKGROUND_ROWS, seed: int = 42) -> DataFrame:
@@ -23,27 +18,6 @@ def background(df: DataFrame, key: str, n: int = BACKGROUND_ROWS, seed: int = 42
     return df.orderBy(digest(key, f"background:{seed}"), key).limit(n)
 
 
-def gradcam(df: DataFrame, features: Sequence[str], encoder: Network, column: str = "heatmaps",
-            keep: Sequence[str] | None = None) -> DataFrame:
-    """Append ``map<layer, array<double>>``: one heatmap over the features per convolution."""
-    names, layers = list(features), encoder.layers
-    sent = df.sparkSession.sparkContext.broadcast(encoder.weights)
-    source = df if keep is None else df.select(*keep, *[c for c in names if c not in keep])
-    kept = source.columns if keep is None else list(keep)
-    schema = T.StructType([source.schema[c] for c in kept] + [
-        T.StructField("_maps", T.ArrayType(T.ArrayType(T.DoubleType())))])
-
-    def run(frames):
-        params = network.unpack(layers, sent.value)
-        for pdf in frames:
-            maps = network.heatmaps(layers, params, pdf[names].to_numpy("float64"))
-            yield pdf[kept].assign(_maps=[m.tolist() for m in maps])
-
-    layer_names = F.array(*[F.lit(x) for x in catalog.HEATMAP_LAYERS])
-    return source.mapInPandas(run, schema).withColumn(
-        column, F.map_from_arrays(layer_names, "_maps")).drop("_maps")
-
-
 def heatmap_cells(df: DataFrame, keep: Sequence[str], features: Sequence[str],
                   column: str = "heatmaps") -> DataFrame:
     """One row per (row, layer, feature) with the heatmap value."""
@@ -89,53 +63,52 @@ def _by_size(items: Column, field: str, absolute: bool = False) -> Column:
     return F.transform(F.array_sort(placed), lambda p: p["x"])
 
 
-def attributions(df: DataFrame, features: Sequence[str], score: Callable[[np.ndarray], np.ndarray],
-                 reference, column: str = "attributions") -> DataFrame:
-    """Append perturbation attributions of ``score`` for every row, in Arrow batches.
+def attributions(df: DataFrame, features: Sequence[str], score: Callable[[Mapping[str, Column]], Column],
+                 reference: DataFrame | Sequence[Sequence[float]], column: str = "attributions",
+                 used: Sequence[str] | None = None) -> DataFrame:
+    """Append perturbation attributions of ``score``, a function from feature columns to a column.
+
+    A feature's drop is the mean fall of the score when the feature takes its values in the background instead.
+    Drops are rescaled so that they add up to the row's score minus the mean score of the background; if they
+    cancel out, that difference is shared equally. An empty background gives null.
 
-    ``score`` maps a matrix of the features to one number per row (see ``network_score`` and
-    ``rule_score``). ``reference`` is the background: at most ``BACKGROUND_ROWS`` rows, a
-    DataFrame or a matrix, sent to the executors once.
+    ``reference`` is the background as the caller chose it (see ``background``), all of it: a DataFrame, which
+    becomes one array beside the rows, or rows of numbers, for streams. ``used`` names the features that the score
+    depends on, if not all do; the others' drop is zero.
     """
     names = list(features)
+    used = set(names if used is None else used)
     if isinstance(reference, DataFrame):
-        reference = reference.select(*names).limit(BACKGROUND_ROWS).toPandas()[names].to_numpy("float64")
-    sent = df.sparkSession.sparkContext.broadcast(np.asarray(reference)[:BACKGROUND_ROWS])
-    schema = T.StructType(df.schema.fields + [T.StructField(column, T.ArrayType(T.DoubleType()))])
-
-    def run(frames):
-        for pdf in frames:
-            x = pdf[names].to_numpy("float64")
-            # Blocks keep rows x features x background within a few megabytes.
-            parts = [network.perturbation(score, x[at:at + 256], sent.value)
-                     for at in range(0, len(x), 256)]
-            values = np.vstack(parts).tolist() if parts else []
-            yield pdf.assign(**{column: values})
-
-    return df.mapInPandas(run, schema)
-
-
-def network_score(net: Network) -> Callable[[np.ndarray], np.ndarray]:
-    """A classifier as a function of a matrix."""
-    layers, weights = net.layers, net.weights
-
-    def score(x):
-        params = network.unpack(layers, weights)
-        return network.sigmoid(network.forward(layers, params, x)[0][:, 0])
-    return score
-
-
-def rule_score(features: Sequence[str] = catalog.BOTTLENECK) -> Callable[[np.ndarray], np.ndarray]:
-    """The bedside rule as a function of a matrix."""
-    at = {f: list(features).index(f) for f in clinical.RULE_DEFAULTS}
-
-    def score(x):
-        v = {f: np.where(np.isnan(x[:, i]), clinical.RULE_DEFAULTS[f], x[:, i]) for f, i in at.items()}
-        logit = (clinical.RULE_INTERCEPT + 2.0 * (v["Temp"] > 38.3) + 1.5 * (v["Temp"] < 36.0)
-                 + 1.2 * (v["Resp"] > 22.0) + 0.8 * (v["SIRS"] >= 2.0)
-                 + 0.9 * (np.abs(v["BaseExcess"]) > 3.0) + 0.8 * (v["Creatinine"] > 1.3))
-        return 1.0 / (1.0 + np.exp(-logit))
-    return score
+        one = F.struct(*[F.col(f).cast("double").alias(f) for f in names])
+        rows = reference.agg(F.collect_list(one)).scalar()
+    else:
+        rows = F.array(*[F.struct(*[F.lit(float(v)).alias(f) for f, v in zip(names, r)]) for r in reference])
+    own = {f: F.col(f) for f in names}
+
+    def mean(term: Callable[[Column], Column]) -> Column:
+        total = F.aggregate("_reference", F.lit(0.0), lambda s, b: s + term(b))
+        return F.try_divide(total, F.size("_reference"))
+
+    def drops(fx: Column) -> Column:
+        return F.array(*[mean(lambda b, f=f: fx - score({**own, f: b[f]})) if f in used else F.lit(0.0)
+                         for f in names])
+
+    def rescaled(gap: Column, fallen: Column, total: Column) -> Column:
+        factor = gap / F.nullif(total, F.lit(0.0))
+        return F.when(gap.isNotNull(), F.when(F.abs(total) > 1e-6, F.transform(fallen, lambda d: d * factor))
+                      .otherwise(F.transform(fallen, lambda d: gap / len(names))))
+
+    base = mean(lambda b: score({f: b[f] for f in names}))
+    out = _let(score(own), lambda fx: _let(
+        F.struct((fx - base).alias("gap"), drops(fx).alias("fallen")), lambda s: _let(
+            F.aggregate(s["fallen"], F.lit(0.0), lambda t, d: t + d),
+            lambda total: rescaled(s["gap"], s["fallen"], total))))
+    return df.withColumn("_reference", rows).withColumn(column, out).drop("_reference")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def waterfall(features: Sequence[str], attributions: str = "attributions",

@@ -15,11 +15,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.operators import profile
 from panelkit.session import right_size, sum_arrays
+from panelkit.sources import artifacts
 
 LOWEST, HIGHEST = -50.0, 300.0  # fixed values: range imputed cells must stay in
 
@@ -129,20 +130,35 @@ def gram_matrix(df: DataFrame, columns: Sequence[str], prepare=None, parts: int
     return total.reshape(parts, size, size)
 
 
+def mean_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(a, b, mean_product)`` for all pairs of ``[one, *columns]``, over the rows without a missing value.
+
+    One aggregate of products, then one row per pair.
+    """
+    names = ["one", *columns]
+    rows = df.select(F.lit(1.0).alias("one"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = rows.agg(*[F.avg(F.col(names[i]) * F.col(names[j])).alias(f"_{i}_{j}") for i, j in pairs])
+    cells = F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"),
+                               F.col(f"_{min(i, j)}_{max(i, j)}").alias("mean_product"))
+                      for i in range(len(names)) for j in range(len(names))])
+    return sums.select(F.inline(cells))
+
+
 @dataclass
 class ChainedImputer:
     """MICE with Bayesian ridge regressions, median start and posterior draws.
 
-    ``schedule="sequential"`` refits after every column, as the method is defined: one job per
-    column and sweep. ``"block"`` fits all columns of a sweep from one job, which is the schedule
-    for data that is costly to read.
+    ``schedule="block"`` fits all columns of a sweep from one job. ``"sequential"`` refits after every
+    column, as the method is defined: one job per column and sweep, each of which replays the steps so far; it is
+    for few rows. Without a missing cell there is nothing to fit and no job beyond counting.
     """
 
     features: Sequence[str] | None = None
     max_iter: int = 10
     seed: int = 42
     sample_posterior: bool = True
-    schedule: str = "sequential"
+    schedule: str = "block"
     steps: list = field(default_factory=list)
     start: np.ndarray | None = None
     columns: list | None = None
@@ -161,9 +177,13 @@ class ChainedImputer:
         cached = self._rows(df, key).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             data = right_size(cached)
+            counts = data.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(names)]).first()
+            known = counts[1:]
+            if min(known, default=counts[0]) == counts[0]:
+                self.start, self.steps = np.zeros(width), []
+                return self
             middle = {r["feature"]: r["median"] for r in profile.medians(data, names).collect()}
             self.start = np.array([middle.get(c) if middle.get(c) is not None else 0.0 for c in names])
-            known = data.agg(*[F.count(c).alias(c) for c in names]).first()
             order = sorted((j for j in range(width) if known[j] > 0), key=lambda j: (-known[j], j))
             self.steps = []
             for _ in range(self.max_iter):
@@ -218,5 +238,25 @@ class ChainedImputer:
 
         return source.mapInPandas(fill, df.schema)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted steps as one small table; columns are named in order."""
+        arrays = {"start": self.start, "seed": np.array([self.seed]), "count": np.array([len(self.steps)])}
+        arrays |= {f"column:{c}": np.array([i]) for i, c in enumerate(self.columns)}
+        for i, s in enumerate(self.steps):
+            arrays |= {f"{i}:one": np.array([s.target, s.intercept, s.noise]), f"{i}:coef": s.coef,
+                       f"{i}:centre": s.centre}
+            if s.spread is not None:
+                arrays[f"{i}:spread"] = s.spread
+        artifacts.save(spark, path, arrays)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "ChainedImputer":
+        a = artifacts.load(spark, path)
+        columns = sorted((n for n in a if n.startswith("column:")), key=lambda n: a[n][0])
+        steps = [Step(int(a[f"{i}:one"][0]), float(a[f"{i}:one"][1]), a[f"{i}:coef"], a[f"{i}:centre"],
+                      a.get(f"{i}:spread"), float(a[f"{i}:one"][2])) for i in range(int(a["count"][0]))]
+        names = [c.partition(":")[2] for c in columns]
+        return cls(names, seed=int(a["seed"][0]), steps=steps, start=a["start"], columns=names)
+
     def fit_transform(self, df: DataFrame, key: str) -> DataFrame:
         return self.fit(df, key).transform(df, key)

@@ -31,15 +31,11 @@ def boundary(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def truncate_history(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Drop what comes after an entity's first positive row; entities without one stay whole."""
-    if spec.block is None:
-        first = F.min(F.when(_positive(spec), F.col(spec.order))).over(Window.partitionBy(spec.entity))
-        marked = df.withColumn("_boundary", first)
-    else:
-        # The boundary comes from a partial aggregation and only positive entities are joined,
-        # so a hot entity's rows can be split over tasks (adaptive skew join).
-        firsts = boundary(df, spec).filter("is_positive = 1").select(
-            spec.entity, F.col("boundary").alias("_boundary"))
-        marked = df.join(firsts, spec.entity, "left")
+    # The boundary comes from a partial aggregation and only positive entities are joined,
+    # so a hot entity's rows can be split over tasks (adaptive skew join).
+    firsts = boundary(df, spec).filter("is_positive = 1").select(
+        spec.entity, F.col("boundary").alias("_boundary"))
+    marked = df.join(firsts, spec.entity, "left")
     return marked.filter(
         F.col("_boundary").isNull() | (F.col(spec.order) <= F.col("_boundary"))).drop("_boundary")
 
@@ -122,7 +118,18 @@ def sample_entities(df: DataFrame, spec: PanelSpec, n: int, seed: int = 42) -> D
 
 
 def first_entities(df: DataFrame, spec: PanelSpec, n: int = 20) -> DataFrame:
-    """All rows of the ``n`` entities that sort first, with the hour's ordinal per entity."""
+    """All rows of the ``n`` entities that sort first, with the hour's ordinal per entity.
+
+    With a block column, hours are numbered within blocks and shifted by the rows of the blocks before.
+    """
     ids = df.select(spec.entity).distinct().orderBy(spec.entity).limit(n)
-    hour = F.row_number().over(Window.partitionBy(spec.entity).orderBy(spec.order))
-    return df.join(ids, spec.entity, "left_semi").withColumn("Hour", hour)
+    rows = df.join(ids, spec.entity, "left_semi")
+    if spec.block is None:
+        return rows.withColumn("Hour", F.row_number().over(Window.partitionBy(spec.entity).orderBy(spec.order)))
+    cell = [spec.entity, spec.block]
+    before = Window.partitionBy(spec.entity).orderBy(spec.block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).select(
+        *cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy(spec.order))
+    return rows.withColumn("_in", inside).join(starts, cell).select(
+        *df.columns, (F.col("_in") + F.col("_before")).cast("int").alias("Hour"))

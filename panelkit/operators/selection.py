@@ -186,9 +186,10 @@ class TwoTierSelector:
     mi_scores: dict = field(default_factory=dict)
     chi2: dict = field(default_factory=dict)
     selected: list = field(default_factory=list)
+    fitted: bool = False
 
     def scores(self, df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-        """``(feature, kind, score, significant, rank)`` for every candidate, as one DataFrame."""
+        """``(feature, kind, score, significant, p_value, rank)`` for every candidate, as one DataFrame."""
         cat = [c for c in self.categorical if c in features]
         cont = [c for c in features if c not in cat]
         tables = []
@@ -196,11 +197,11 @@ class TwoTierSelector:
             estimate = mi_knn if self.method == "knn" else mi_binned
             tables.append(estimate(df, cont, label).select(
                 "feature", F.lit("continuous").alias("kind"), F.col("mi").alias("score"),
-                F.lit(True).alias("significant")))
+                F.lit(True).alias("significant"), F.lit(None).cast("double").alias("p_value")))
         if cat:
             tables.append(chi2_scores(df, cat, label).select(
                 "feature", F.lit("categorical").alias("kind"), F.col("statistic").alias("score"),
-                (F.col("p_value") < self.alpha).alias("significant")))
+                (F.col("p_value") < self.alpha).alias("significant"), "p_value"))
         both = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
         best = Window.partitionBy("kind").orderBy(F.desc("significant"), F.desc("score"), "feature")
         return both.withColumn("rank", F.row_number().over(best))
@@ -210,22 +211,24 @@ class TwoTierSelector:
         return scores.filter(F.col("significant") & (F.col("rank") <= limit))
 
     def fit(self, df: DataFrame, label: str, features: Sequence[str] | None = None) -> "TwoTierSelector":
-        features = list(features or [c for c in profile.numeric_columns(df) if c != label])
-        rows = self.scores(df, label, features).collect()
+        """Keep scores, p-values and the selection: features in catalogue order, then others by kind and rank."""
+        table = self.scores(df, label, list(features or [c for c in profile.numeric_columns(df) if c != label]))
+        place = F.array_position(F.array(*[F.lit(f) for f in catalog.FEATURES]), F.col("feature"))
+        limit = F.when(F.col("kind") == "continuous", F.lit(self.n_continuous)).otherwise(F.lit(1))
+        rows = table.select("*", (F.col("significant") & (F.col("rank") <= limit)).alias("kept")).orderBy(
+            F.when(place > 0, place), F.desc("kind"), "rank", "feature").collect()
+        # Catalogue features sort with the others after them: nulls of an ascending order come first.
+        rows = [r for r in rows if r["feature"] in catalog.FEATURES] + [
+            r for r in rows if r["feature"] not in catalog.FEATURES]
         self.mi_scores = {r["feature"]: r["score"] for r in rows if r["kind"] == "continuous"}
-        self.chi2 = {r["feature"]: {"statistic": r["score"], "significant": r["significant"]}
+        self.chi2 = {r["feature"]: {"statistic": r["score"], "p_value": r["p_value"], "significant": r["significant"]}
                      for r in rows if r["kind"] == "categorical"}
-        limit = {"continuous": self.n_continuous, "categorical": 1}
-        kept = [r for r in sorted(rows, key=lambda r: (r["kind"] == "categorical", r["rank"]))
-                if r["significant"] and r["rank"] <= limit[r["kind"]]]
-        self.selected = [r["feature"] for r in kept]
-        if set(self.selected) == set(catalog.FEATURES):
-            self.selected = list(catalog.FEATURES)
+        self.selected = [r["feature"] for r in rows if r["kept"]]
+        self.fitted = True
         return self
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        names = self.selected or list(catalog.FEATURES)
-        return df.select(*keep, *[c for c in names if c in df.columns])
-
-    def fit_transform(self, df: DataFrame, label: str, keep: Sequence[str] = ()) -> DataFrame:
-        return self.fit(df, label).transform(df, keep)
+        """The selected columns; a selector that was not fitted raises, as does a missing column."""
+        if not self.fitted:
+            raise RuntimeError("fit the selector before transforming")
+        return df.select(*keep, *self.selected)

@@ -48,9 +48,9 @@ def group_fold_table(df: DataFrame, group: str, label: str | None = None, k: int
 
 def group_kfold(df: DataFrame, group: str, label: str | None = None, k: int = 5,
                 seed: int = 42) -> DataFrame:
-    """Add ``fold`` such that all rows of a group share it."""
+    """Add ``fold`` such that all rows of a group share it; rows without a group are one group."""
     table = group_fold_table(df, group, label, k, seed).select(group, "fold")
-    return df.join(table, group)
+    return ranking.same(df, table, [group])
 
 
 def leaking_groups(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:

@@ -13,8 +13,6 @@ from panelkit.operators import balance, impute, panel
 from panelkit.session import cut_lineage
 from panelkit.sources import patient_files
 
-SMALL_SAMPLE = 5000  # fewer files than this scale the class targets down
-
 
 def _stem(path: str = "file_path"):
     return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
@@ -37,27 +35,32 @@ def hourly_rows(spark: SparkSession, paths, max_patients: int | None = None, see
 
 
 def paper_cohort(rows: DataFrame, target_normal: int = catalog.COHORT_TARGETS[0],
-                 target_sepsis: int = catalog.COHORT_TARGETS[1], small: bool = False, seed: int = 42,
-                 imputer: impute.ChainedImputer | None = None) -> DataFrame:
-    """Sample the majority, impute, clip and balance hourly samples into one training cohort."""
+                 target_sepsis: int = catalog.COHORT_TARGETS[1], rule: str | None = None, seed: int = 42,
+                 imputer: impute.ChainedImputer | None = None, **methods) -> DataFrame:
+    """Sample the majority, impute, clip and balance hourly samples into one training cohort.
+
+    The targets are exact sizes; with a ``rule`` of ``balance.targets`` they are what it gives, bounded by them.
+    ``methods`` (``minority``, ``majority``) go to ``balance.balance``.
+    """
     label, key, features = catalog.LABEL, "row_id", list(catalog.FEATURES)
-    if small:
-        goal = balance.targets(balance.class_sizes(rows, label), "hourly_small",
-                               (target_normal, target_sepsis)).first()
+    if rule is not None:
+        goal = balance.targets(balance.class_sizes(rows, label), rule, (target_normal, target_sepsis)).first()
         target_normal, target_sepsis = goal["t0"], goal["t1"]
     normal = balance.downsample_exact(rows.filter(F.col(label) == 0), key, target_normal, seed)
     both = normal.unionByName(rows.filter(F.col(label) == 1)).select(key, *features, label)
-    imputer = imputer or impute.ChainedImputer(features, 5 if small else 10, seed)
+    imputer = imputer or impute.ChainedImputer(features, seed=seed)
     clean = cut_lineage(clinical.clip_limits(imputer.fit_transform(both, key)))
-    return balance.balance(clean, key, label, features, target_normal, target_sepsis, seed)
+    return balance.balance(clean, key, label, features, target_normal, target_sepsis, seed, **methods)
 
 
 def load_paper_cohort(spark: SparkSession, paths, target_normal: int = catalog.COHORT_TARGETS[0],
                       target_sepsis: int = catalog.COHORT_TARGETS[1],
-                      max_patients: int | None = None, seed: int = 42) -> DataFrame:
-    small = max_patients is not None and max_patients < SMALL_SAMPLE
+                      max_patients: int | None = None, seed: int = 42, rule: str | None = None,
+                      sweeps: int = 10, **methods) -> DataFrame:
+    """``paper_cohort`` from files; ``max_patients`` draws a sample of them, and changes nothing else."""
     rows = hourly_rows(spark, paths, max_patients, seed)
-    return paper_cohort(rows, target_normal, target_sepsis, small, seed)
+    imputer = impute.ChainedImputer(list(catalog.FEATURES), sweeps, seed)
+    return paper_cohort(rows, target_normal, target_sepsis, rule, seed, imputer, **methods)
 
 
 def hour_extract(spark: SparkSession, paths, n: int = 20,

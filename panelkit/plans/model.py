@@ -1,191 +1,167 @@
-"""The trained model end to end: scale, encode, classify, explain; and its two scoring paths."""
+"""The trained models end to end: scale, reduce, classify, explain; and their two scoring paths.
+
+Fitting is ``pyspark.ml``'s; fitted models are a few arrays, applied as Column arithmetic to batches and streams.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelkit import catalog
 from panelkit.functions import clinical
-from panelkit.models import network, trainer
-from panelkit.models.trainer import Network
+from panelkit.models.perceptron import Components, Perceptron
 from panelkit.operators import explain, profile
 from panelkit.sources import artifacts
 
-LATENT = tuple(f"latent_{i}" for i in range(11))
+DIMENSIONS = 11
 
 
-def _scaler_arrays(df: DataFrame, features: Sequence[str]):
-    fitted = {r["feature"]: r for r in profile.scaler(df, features).collect()}
-    return (np.array([fitted[f]["mean"] for f in features]), np.array([fitted[f]["scale"] for f in features]))
+def latent_names(k: int) -> list[str]:
+    return [f"latent_{i}" for i in range(k)]
 
 
-def _scaled(df: DataFrame, features, mean, scale) -> DataFrame:
-    return df.withColumns({f: (F.col(f) - float(m)) / float(s) for f, m, s in zip(features, mean, scale)})
+def _scaler_arrays(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    fitted = {r["feature"]: r for r in profile.scaler(df, features).collect()}
+    return (np.array([fitted[f]["mean"] for f in features]), np.array([fitted[f]["scale"] for f in features]))
 
 
-def _matrix(df: DataFrame, columns) -> np.ndarray:
+def _matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return df.select(*columns).toPandas().to_numpy("float64")
 
 
 @dataclass
 class LatentModel:
-    """Autoencoder on all features, classifier on its latent vector."""
+    """Principal components of all scaled features, and a perceptron on them."""
 
     features: list
     mean: np.ndarray
     scale: np.ndarray
-    autoencoder: Network
-    classifier: Network
+    components: Components
+    classifier: Perceptron
     background: np.ndarray
 
-    @property
-    def encoder(self) -> Network:
-        return self.autoencoder.head(len(network.encoder_layers(len(self.features))))
-
     @classmethod
     def fit(cls, df: DataFrame, key: str, label: str, features: Sequence[str] = catalog.FEATURES,
-            epochs_ae: int = 15, epochs_clf: int = 15, seed: int = 42, hidden=(128, 64, 32),
-            dropout: float = 0.0, batch_norm: bool = False, **training) -> "LatentModel":
+            k: int = DIMENSIONS, hidden: Sequence[int] = (8,), max_iter: int = 100, seed: int = 42,
+            background_rows: int = explain.BACKGROUND_ROWS) -> LatentModel:
         features = list(features)
-        mean, scale = _scaler_arrays(df, features)
-        data = _scaled(df.select(key, label, *features), features, mean, scale)
-        layers = network.encoder_layers(len(features)) + network.decoder_layers(len(features))
-        ae = trainer.train(data, features, key, Network.fresh(layers, seed), epochs=epochs_ae,
-                           seed=seed, **training)
-        model = cls(features, mean, scale, ae, Network.fresh(
-            network.classifier_layers(len(LATENT), hidden, dropout, batch_norm), seed), np.zeros((0, len(LATENT))))
-        latent = trainer.score(data, features, model.encoder, LATENT).select(key, label, *LATENT)
-        model.classifier = trainer.train(latent, LATENT, key, model.classifier, "bce", label,
-                                         epochs=epochs_clf, seed=seed, **training)
-        first = explain.background(data, key, seed=seed)
-        model.background = _matrix(trainer.score(first, features, model.encoder, LATENT), LATENT)
+        df = df.select(key, label, *features).persist(StorageLevel.MEMORY_AND_DISK)
+        model = cls(features, *_scaler_arrays(df, features), None, None, None)
+        data = df.select(key, label, *[c.alias(f) for f, c in zip(features, model._scaled())])
+        model.components = Components.fit(data, features, min(k, len(features)))
+        latent = model.latents(df, [key, label])
+        names = latent_names(model.components.matrix.shape[1])
+        model.classifier = Perceptron.fit(latent, names, label, hidden, max_iter, seed)
+        model.background = _matrix(explain.background(latent, key, background_rows, seed), names)
+        df.unpersist()
         return model
 
-    def probabilities(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """``keep`` columns plus ``prob``: both networks in one pass over the rows."""
-        both = Network(self.encoder.layers + self.classifier.layers,
-                       np.concatenate([self.encoder.weights, self.classifier.weights]))
-        data = _scaled(df, self.features, self.mean, self.scale)
-        return trainer.score(data, self.features, both, ["prob"], True).select(*keep, "prob")
+    def _scaled(self) -> list[Column]:
+        return [(F.col(f) - float(m)) / float(s) for f, m, s in zip(self.features, self.mean, self.scale)]
 
     def latents(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        data = _scaled(df, self.features, self.mean, self.scale)
-        return trainer.score(data, self.features, self.encoder, LATENT).select(*keep, *LATENT)
+        columns = self.components.latents(self._scaled())
+        return df.select(*keep, *[c.alias(n) for n, c in zip(latent_names(len(columns)), columns)])
+
+    def probabilities(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``keep`` columns plus ``prob``."""
+        latent = self.latents(df, keep)
+        names = [c for c in latent.columns if c not in keep]
+        return latent.select(*keep, self.classifier.probability([F.col(n) for n in names]).alias("prob"))
 
     def explain(self, df: DataFrame, key: str) -> DataFrame:
-        """Score records and say why: band, latent vector, heatmaps, top features, waterfall.
+        """Score records and say why: band, latent vector, waterfall.
 
-        Missing features take the lower bound of their normal range. Attributions are of the
-        latent dimensions and named so.
+        Missing features take the lower bound of their normal range. Attributions are of the latent dimensions
+        and named so.
         """
         filled = df.select(key, *[clinical.default_fill(
             F.col(f) if f in df.columns else F.lit(None), f, "lower").alias(f) for f in self.features])
-        scaled = _scaled(filled, self.features, self.mean, self.scale)
-        names, encoder, classifier, rows = list(self.features), self.encoder, self.classifier, self.background
-        sent = df.sparkSession.sparkContext.broadcast((encoder.weights, classifier.weights, rows))
-        enc_layers, clf_layers = encoder.layers, classifier.layers
-        schema = T.StructType([scaled.schema[key]] + [
-            T.StructField("prob", T.DoubleType()), T.StructField("latent", T.ArrayType(T.DoubleType())),
-            T.StructField("attributions", T.ArrayType(T.DoubleType())),
-            T.StructField("_maps", T.ArrayType(T.ArrayType(T.DoubleType())))])
-
-        def run(frames):
-            enc, clf, back = sent.value
-            enc, clf = network.unpack(enc_layers, enc), network.unpack(clf_layers, clf)
-            def score(z):
-                return network.sigmoid(network.forward(clf_layers, clf, z)[0][:, 0])
-            for pdf in frames:
-                for at in range(0, len(pdf), 256):
-                    part = pdf.iloc[at:at + 256]
-                    x = part[names].to_numpy("float64")
-                    latent, _ = network.forward(enc_layers, enc, x)
-                    yield part[[key]].assign(
-                        prob=score(latent), latent=latent.tolist(),
-                        attributions=network.perturbation(score, latent, back).tolist(),
-                        _maps=network.heatmaps(enc_layers, enc, x).tolist())
-
-        out = scaled.mapInPandas(run, schema)
-        layers = F.array(*[F.lit(n) for n in catalog.HEATMAP_LAYERS])
-        out = out.withColumn("heatmaps", F.map_from_arrays(layers, "_maps"))
+        names = latent_names(self.components.matrix.shape[1])
+        latent = self.latents(filled, [key])
+
+        def score(values: Mapping[str, Column]) -> Column:
+            return self.classifier.probability([values[n] for n in names])
+
+        out = explain.attributions(latent.withColumn("prob", score({n: F.col(n) for n in names})), names, score,
+                                   self.background)
         return out.select(
             key, F.round("prob", 4).alias("sepsis_probability"),
             clinical.alert_level(F.col("prob")).alias("alert_level"),
             (F.col("prob") >= catalog.DECISION_THRESHOLD).alias("is_sepsis_onset_6h"),
             F.lit(catalog.DECISION_THRESHOLD).alias("decision_threshold"),
-            F.transform("latent", lambda v: F.round(v, 4)).alias("latent_representation"),
-            F.slice(explain.ranked_heatmap(features=self.features), 1, 11).alias("dhm_top_features"),
-            F.transform_values("heatmaps", lambda _, m: F.transform(m, lambda v: F.round(v, 4))
-                               ).alias("gradcam_layer_heatmaps"),
-            explain.waterfall(LATENT).alias("shap_waterfall"))
+            F.array(*[F.round(n, 4) for n in names]).alias("latent_representation"),
+            explain.waterfall(names).alias("shap_waterfall"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         artifacts.save(spark, path, {
-            "mean": self.mean, "scale": self.scale, "autoencoder": self.autoencoder.weights,
-            "classifier": self.classifier.weights, "background": self.background})
+            "mean": self.mean, "scale": self.scale, "components": self.components.matrix,
+            "layers": np.array(self.classifier.layers), "classifier": self.classifier.weights,
+            "background": self.background} | {f"feature:{f}": np.array([i]) for i, f in enumerate(self.features)})
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, features: Sequence[str] = catalog.FEATURES,
-             classifier_layers=None) -> "LatentModel":
-        a, features = artifacts.load(spark, path), list(features)
-        layers = network.encoder_layers(len(features)) + network.decoder_layers(len(features))
-        return cls(features, a["mean"], a["scale"], Network(layers, a["autoencoder"]),
-                   Network(classifier_layers or network.classifier_layers(len(LATENT)), a["classifier"]),
-                   a["background"])
+    def load(cls, spark: SparkSession, path: str) -> LatentModel:
+        a = artifacts.load(spark, path)
+        features = sorted((n for n in a if n.startswith("feature:")), key=lambda n: a[n][0])
+        return cls([f.partition(":")[2] for f in features], a["mean"], a["scale"], Components(a["components"]),
+                   Perceptron([int(n) for n in a["layers"]], a["classifier"]), a["background"])
 
 
 @dataclass
 class RecordModel:
-    """The service path: a classifier straight on the eleven raw bottleneck features."""
+    """The service path: a classifier straight on the eleven raw bottleneck features.
 
-    mean: np.ndarray
-    scale: np.ndarray
-    classifier: Network
-    background: np.ndarray
-    features: tuple = catalog.BOTTLENECK
+    Without a classifier, as when none was fitted yet, the bedside rule scores.
+    """
 
-    @classmethod
-    def untrained(cls, seed: int = 42) -> "RecordModel":
-        """Unit scaling and fresh weights, for when no artifacts exist."""
-        n = len(catalog.BOTTLENECK)
-        return cls(np.zeros(n), np.ones(n), Network.fresh(network.classifier_layers(n), seed), np.zeros((20, n)))
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(len(catalog.BOTTLENECK)))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(len(catalog.BOTTLENECK)))
+    classifier: Perceptron | None = None
+    background: np.ndarray = field(default_factory=lambda: np.zeros((1, len(catalog.BOTTLENECK))))
 
     @classmethod
-    def fit(cls, df: DataFrame, key: str, label: str, epochs: int = 15, seed: int = 42,
-            **training) -> "RecordModel":
+    def fit(cls, df: DataFrame, key: str, label: str, hidden: Sequence[int] = (8,), max_iter: int = 100,
+            seed: int = 42, background_rows: int = explain.BACKGROUND_ROWS) -> RecordModel:
         names = list(catalog.BOTTLENECK)
+        df = df.select(key, label, *names).persist(StorageLevel.MEMORY_AND_DISK)
         mean, scale = _scaler_arrays(df, names)
-        data = _scaled(df.select(key, label, *names), names, mean, scale)
-        clf = trainer.train(data, names, key, Network.fresh(network.classifier_layers(len(names)), seed),
-                            "bce", label, epochs=epochs, seed=seed, **training)
-        return cls(mean, scale, clf, _matrix(explain.background(data, key, seed=seed), names))
+        data = df.select(label, *[((F.col(f) - float(m)) / float(s)).alias(f) for f, m, s in zip(names, mean, scale)])
+        fitted = cls(mean, scale, Perceptron.fit(data, names, label, hidden, max_iter, seed),
+                     _matrix(explain.background(df, key, background_rows, seed), names))
+        df.unpersist()
+        return fitted
+
+    def score(self, values: Mapping[str, Column]) -> Column:
+        """Probability as a function of the features' columns."""
+        if self.classifier is None:
+            return clinical.rule_probability(values)
+        return self.classifier.probability([(values[f] - float(m)) / float(s) for f, m, s in zip(
+            catalog.BOTTLENECK, self.mean, self.scale)])
 
     def score_records(self, df: DataFrame, keep: Sequence[str], vitals: str = "vitals") -> DataFrame:
         """Score a map of vitals per record: checks, probability, band, wording, waterfall."""
-        values = {f: F.col(vitals)[f] for f in catalog.FEATURES}
-        accepted = clinical.accept_record(df, values, keep)
-        inputs = [f"_z{i}" for i in range(len(self.features))]
-        scaled = accepted.withColumns({
-            z: (F.col(f) - float(m)) / float(s)
-            for z, f, m, s in zip(inputs, self.features, self.mean, self.scale)})
-        scored = trainer.score(scaled, inputs, self.classifier, ["prob"], True)
-        explained = explain.attributions(scored, inputs, explain.network_score(self.classifier), self.background)
-        return scored_records(explained, keep)
+        accepted = clinical.accept_record(df, {f: F.col(vitals)[f] for f in catalog.FEATURES}, keep)
+        scored = accepted.withColumn("prob", self.score({f: F.col(f) for f in catalog.BOTTLENECK}))
+        used = clinical.RULE_DEFAULTS if self.classifier is None else None
+        return scored_records(explain.attributions(scored, catalog.BOTTLENECK, self.score, self.background,
+                                                   used=used), keep)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        artifacts.save(spark, path, {"mean": self.mean, "scale": self.scale,
-                                     "classifier": self.classifier.weights, "background": self.background})
+        fitted = {} if self.classifier is None else {
+            "layers": np.array(self.classifier.layers), "classifier": self.classifier.weights}
+        artifacts.save(spark, path, {"mean": self.mean, "scale": self.scale, "background": self.background} | fitted)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "RecordModel":
+    def load(cls, spark: SparkSession, path: str) -> RecordModel:
         a = artifacts.load(spark, path)
-        return cls(a["mean"], a["scale"], Network(network.classifier_layers(len(catalog.BOTTLENECK)),
-                                                  a["classifier"]), a["background"])
+        known = Perceptron([int(n) for n in a["layers"]], a["classifier"]) if "classifier" in a else None
+        return cls(a["mean"], a["scale"], known, a["background"])
 
 
 def scored_records(df: DataFrame, keep: Sequence[str]) -> DataFrame:

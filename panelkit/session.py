@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,45 +26,41 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a scratch folder only in local mode."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelkit-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recompute."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the cluster's shared ``spark.checkpoint.dir``, so lost executors cost no recompute.
 
+    Without that setting ``df`` is persisted instead: what an executor loses is computed again.
+    """
+    sc = df.sparkSession.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None and configured:
+        sc.setCheckpointDir(configured)
+    if sc.getCheckpointDir() is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.checkpoint(eager=True)
 
-def right_size(cached: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
-    """Fewer tasks over a cached frame that is small, for jobs that read it again and again.
 
-    Large frames keep their partitions.
-    """
-    tasks = max(1, -(-cached.count() // rows_per_task))
-    return cached.coalesce(tasks) if tasks < cached.sparkSession.sparkContext.defaultParallelism else cached
+def right_size(cached: DataFrame) -> DataFrame:
+    """No more tasks over a cached frame than the cluster runs at once, for jobs that read it again and again."""
+    at_once = cached.sparkSession.sparkContext.defaultParallelism
+    return cached.coalesce(at_once) if cached.rdd.getNumPartitions() > at_once else cached
 
 
-def sum_arrays(partials: DataFrame, size: int, few: int = 16) -> np.ndarray:
-    """Element-wise sum of one ``array<double>`` column ``v`` of fixed length.
+def sum_arrays(partials: DataFrame, size: int, fan: int = 16) -> np.ndarray:
+    """Element-wise sum of one ``array<double>`` column ``v`` of fixed length, one array per task.
 
-    There is one array per task. A few of them are added up on the driver, more on Spark; what
-    reaches the driver is bounded by the length, not by the number of tasks.
+    Arrays are added in a tree of fixed order, ``fan`` neighbours at a time, so the result is the same at every
+    run; what reaches the driver are ``fan`` arrays at most.
     """
-    if partials.rdd.getNumPartitions() <= few:
-        return np.sum([np.asarray(r["v"]) for r in partials.collect()] or [np.zeros(size)], axis=0)
-    sums = partials.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    total = np.zeros(size)
-    total[sums["i"].to_numpy()] = sums["v"].to_numpy()
-    return total
+    width, level = partials.rdd.getNumPartitions(), partials.withColumn("n", F.spark_partition_id().cast("long"))
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("n")
+        return pd.DataFrame({"v": [np.sum(np.stack(group["v"].to_list()), axis=0)], "n": [group["n"].iloc[0] // fan]})
+
+    while width > fan:
+        level = level.groupBy(F.floor(F.col("n") / fan).alias("g")).applyInPandas(
+            lambda key, group: add(group), "v array<double>, n long")
+        width = -(-width // fan)
+    rows = sorted(level.collect(), key=lambda r: r["n"])
+    return np.sum([np.asarray(r["v"]) for r in rows] or [np.zeros(size)], axis=0)

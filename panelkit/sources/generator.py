@@ -1,71 +1,14 @@
-"""A cohort drawn from a distribution table, for load tests and demonstrations."""
+"""Missing cells for tests of imputation on data that has none."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit import catalog
-from panelkit.functions import clinical, hashing
-
-# Per feature the (mean, sd) of the normal and of the sepsis class; ("exp", scale,
-# shift) is an exponential tail; a list mixes (share, mean, sd) parts.
-DISTRIBUTIONS = {
-    "BaseExcess": ((0.0, 1.4), (-4.5, 3.5)),
-    "Temp": ((36.8, 0.35), [(0.7, 39.2, 1.1), (0.3, 35.5, 0.8)]),
-    "Chloride": ((101.0, 3.0), (106.0, 6.0)),
-    "Hct": ((40.0, 3.8), (28.5, 4.5)),
-    "Hgb": ((13.5, 1.4), (9.5, 1.8)),
-    "Resp": ((16.5, 2.4), (26.5, 5.0)),
-    "HCO3": ((25.0, 2.0), (18.5, 4.0)),
-    "Potassium": ((4.1, 0.38), (4.6, 0.8)),
-    "Creatinine": ((0.85, 0.18), ("exp", 1.4, 1.2)),
-    "Phosphate": ((3.4, 0.48), (4.5, 1.2)),
-    "FiO2": ((0.28, 0.08), (0.55, 0.18)),
-    "O2Sat": ((98.0, 1.5), (92.5, 4.0)),
-    "Magnesium": ((2.0, 0.22), (1.8, 0.4)),
-    "SaO2": ((97.5, 1.8), (91.0, 5.0)),
-    "Lactate": ((1.2, 0.38), ("exp", 1.8, 2.2)),
-    "pH": ((7.4, 0.035), (7.28, 0.08)),
-    "Calcium": ((9.2, 0.55), (8.0, 1.1)),
-    "BUN": ((15.0, 3.8), (38.0, 14.0)),
-}
-MISSING_RATE = 0.05
-
-
-def _draw(spec, key: str, salt: str) -> Column:
-    if isinstance(spec, list):
-        (share, *first), (_, *second) = spec
-        return F.when(hashing.uniform(key, salt + ":mix") < share, _draw(tuple(first), key, salt)
-                      ).otherwise(_draw(tuple(second), key, salt))
-    if spec[0] == "exp":
-        return F.lit(spec[1]) * hashing.exponential(key, salt + ":e") + F.lit(spec[2])
-    return F.lit(spec[0]) + F.lit(spec[1]) * hashing.normal(key, salt)
+from panelkit.functions import hashing
 
 
 def inject_missing(df: DataFrame, key, columns, rate: float, seed: int = 42) -> DataFrame:
     """Blank each cell independently with the given probability."""
     return df.withColumns({
         c: F.when(hashing.uniform(key, f"miss:{seed}:{c}") >= rate, F.col(c)) for c in columns})
-
-
-def cohort_from_distributions(ids: DataFrame, key: str, label: str,
-                              missing_rate: float = MISSING_RATE, seed: int = 42) -> DataFrame:
-    """Draw all features for rows that already carry a key and a class label."""
-    def value(f):
-        normal, sepsis = DISTRIBUTIONS[f]
-        salt = f"gen:{seed}:{f}"
-        return F.when(F.col(label) == 1, _draw(sepsis, key, salt)).otherwise(_draw(normal, key, salt))
-    drawn = ids.select(key, *[value(f).alias(f) for f in DISTRIBUTIONS], label)
-    scored = clinical.clip_limits(clinical.with_sirs(drawn))
-    return inject_missing(scored.select(key, *catalog.FEATURES, label), key, catalog.FEATURES,
-                          missing_rate, seed)
-
-
-def generate_cohort(spark: SparkSession, n_normal: int = catalog.COHORT_TARGETS[0],
-                    n_sepsis: int = catalog.COHORT_TARGETS[1], missing_rate: float = MISSING_RATE,
-                    seed: int = 42) -> DataFrame:
-    """``row_id``, the 19 features and the label for ``n_normal + n_sepsis`` rows."""
-    ids = spark.range(n_normal + n_sepsis).select(
-        F.col("id").alias("row_id"), (F.col("id") >= n_normal).cast("int").alias(catalog.LABEL))
-    return cohort_from_distributions(ids, "row_id", catalog.LABEL, missing_rate, seed)

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from panelkit import catalog
 from panelkit.functions import clinical
-from panelkit.models import classical, network, trainer
+from panelkit.models import classical, perceptron
 from panelkit.operators import balance, explain, impute, neighbors, profile, split
 from panelkit.plans import evaluation, model
-from panelkit.sources import generator
+from tests.conftest import made_cohort
 
 FEATURES = list(catalog.FEATURES)
 LABEL = catalog.LABEL
@@ -16,79 +16,52 @@ LABEL = catalog.LABEL
 
 @pytest.fixture(scope="module")
 def clean(spark):
-    df = generator.generate_cohort(spark, 160, 120, 0.0).cache()
-    df.count()
-    return df
-
-
-@pytest.mark.parametrize("layers,width,loss", [
-    (network.encoder_layers() + network.decoder_layers(), 19, network.squared_error),
-    (network.classifier_layers(batch_norm=True, dropout=0.2), 11, network.cross_entropy)])
-def test_gradients_by_finite_differences(layers, width, loss):
-    x = np.random.default_rng(0).normal(size=(5, width))
-    want = x if loss is network.squared_error else (x[:, :1] > 0).astype(float)
-    params = network.initial(layers, 1)
-    def value():
-        fresh = [p.copy() for p in params]
-        return loss(network.forward(layers, fresh, x, np.random.default_rng(5))[0], want)[0]
-    out, tape = network.forward(layers, [p.copy() for p in params], x, np.random.default_rng(5))
-    grads, _, _ = network.backward(layers, params, tape, loss(out, want)[1])
-    for k, p in enumerate(params):
-        at = np.unravel_index(np.random.default_rng(k).integers(p.size), p.shape)
-        old, step = p[at], 1e-6
-        p[at] = old + step
-        up = value()
-        p[at] = old - step
-        down = value()
-        p[at] = old
-        if grads[k][at] or abs(up - down) > 1e-12:
-            assert grads[k][at] == pytest.approx((up - down) / (2 * step), abs=1e-6)
-
-
-def test_network_shapes_and_size():
-    enc, dec = network.encoder_layers(), network.decoder_layers()
-    assert network.count(enc + dec) == 55534
-    z, _ = network.forward(enc, network.initial(enc, 0), np.zeros((16, 19)))
-    assert z.shape == (16, 11)
-    assert network.forward(dec, network.initial(dec, 0), z)[0].shape == (16, 19)
-    clf = network.classifier_layers()
-    p = network.sigmoid(network.forward(clf, network.initial(clf, 0), np.ones((8, 11)))[0])
-    assert p.shape == (8, 1) and ((p >= 0) & (p <= 1)).all()
-
-
-def test_training_lowers_the_loss_and_shards_agree(spark, clean):
+    return made_cohort(spark, 160, 120)
+
+
+def test_perceptron_as_columns_equals_the_fitted_model(spark, clean):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import VectorAssembler
+    data = profile.standardize(clean, FEATURES, profile.scaler(clean, FEATURES))
+    net = perceptron.Perceptron.fit(data, FEATURES[:5], LABEL, (4, 3), 30)
+    machine = MultilayerPerceptronClassifier(layers=[5, 4, 3, 2], maxIter=30, seed=42, featuresCol="v", labelCol=LABEL)
+    vectors = VectorAssembler(inputCols=FEATURES[:5], outputCol="v").transform(data)
+    want = machine.fit(vectors).transform(vectors).select("row_id", "probability").collect()
+    got = data.select("row_id", net.probability([F.col(f) for f in FEATURES[:5]]).alias("p")).collect()
+    assert np.allclose([r["p"] for r in got], [r["probability"][1] for r in want])
+
+
+def test_components_equal_the_decomposition(spark, clean):
     data = profile.standardize(clean, FEATURES, profile.scaler(clean, FEATURES))
-    net = trainer.Network.fresh(network.classifier_layers(19))
-    one = trainer.train(data, FEATURES, "row_id", net, "bce", LABEL, epochs=6, shards=1)
-    two = trainer.train(data, FEATURES, "row_id", net, "bce", LABEL, epochs=6, shards=2)
-    again = trainer.train(data.repartition(3), FEATURES, "row_id", net, "bce", LABEL, epochs=6, shards=2)
-    for t in (one, two):
-        assert t.losses[-1] < t.losses[0]
-    assert np.allclose(two.weights, again.weights)
+    fitted = perceptron.Components.fit(data, FEATURES, 11)
+    x = data.select(*FEATURES).toPandas().to_numpy()
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(np.abs(fitted.matrix), np.abs(vectors[:, ::-1][:, :11]), atol=1e-6)
+    latent = data.select(*[c.alias(f"l{i}") for i, c in enumerate(fitted.latents([F.col(f) for f in FEATURES]))])
+    assert np.allclose(latent.toPandas().to_numpy(), x @ fitted.matrix)
 
 
 def test_latent_model_end_to_end(spark, clean, tmp_path):
-    fitted = model.LatentModel.fit(clean, "row_id", LABEL, epochs_ae=2, epochs_clf=2)
+    fitted = model.LatentModel.fit(clean, "row_id", LABEL, hidden=(5,), max_iter=20, background_rows=30)
     fitted.save(spark, str(tmp_path / "m"))
     back = model.LatentModel.load(spark, str(tmp_path / "m"))
-    assert np.array_equal(back.autoencoder.weights, fitted.autoencoder.weights)
+    assert back.features == fitted.features and back.classifier.layers == [11, 5, 2]
+    scored = [m.probabilities(clean, ["row_id", LABEL]).toPandas() for m in (fitted, back)]
+    assert np.array_equal(scored[0]["prob"], scored[1]["prob"])
+    assert ((scored[0]["prob"] > 0.5) == scored[0][LABEL]).mean() > 0.95
     row = back.explain(clean.limit(1), "row_id").first()
     assert 0 <= row["sepsis_probability"] <= 1 and len(row["latent_representation"]) == 11
-    maps = row["gradcam_layer_heatmaps"]
-    assert set(maps) == set(catalog.HEATMAP_LAYERS)
-    assert all(len(m) == 19 and min(m) >= 0 and max(m) <= 1 for m in maps.values())
-    scores = [f["score"] for f in row["dhm_top_features"]]
-    assert len(scores) == 11 and scores == sorted(scores, reverse=True)
     assert len(row["shap_waterfall"]) == 11
     assert {w["impact"] for w in row["shap_waterfall"]} <= {"contributing", "offsetting"}
     size = [abs(w["shap_value"]) for w in row["shap_waterfall"]]
     assert size == sorted(size, reverse=True)
 
 
-def test_record_model(spark, tmp_path):
+@pytest.mark.parametrize("trained", [False, True])
+def test_record_model(spark, clean, tmp_path, trained):
     vitals = dict(zip(FEATURES, (6, 40.22, 105, 26.5, 9, 28, 24, 0, 3.8, .7, 4.2, .6, 91, 1.7, 90, 3.8, 7.25, 7.9, 42)))
     df = spark.createDataFrame([(1, {k: str(v) for k, v in vitals.items()})], "id int, vitals map<string,string>")
-    fitted = model.RecordModel.untrained()
+    fitted = model.RecordModel.fit(clean, "row_id", LABEL, max_iter=5) if trained else model.RecordModel()
     fitted.save(spark, str(tmp_path / "r"))
     row = model.RecordModel.load(spark, str(tmp_path / "r")).score_records(df, ["id"]).first()
     assert 0 <= row["prediction_probability"] <= 1 and row["decision_threshold"] == 0.30
@@ -96,11 +69,39 @@ def test_record_model(spark, tmp_path):
     assert {w["feature"]: w["patient_value"] for w in row["shap_waterfall"]}["Temp"] == 40.22
 
 
+def brute_attributions(score, x, background):
+    """The definition, cell by cell."""
+    base, out = np.mean([score(b) for b in background]), []
+    for row in x:
+        drops = []
+        for i in range(len(row)):
+            drops.append(np.mean([score(row) - score(np.r_[row[:i], b[i], row[i + 1:]]) for b in background]))
+        gap, total = score(row) - base, sum(drops)
+        out.append(np.array(drops) * gap / total if abs(total) > 1e-6 else np.full(len(row), gap / len(row)))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("rows", [3, 300])
+def test_attributions_use_the_whole_background(spark, rows):
+    rng = np.random.default_rng(1)
+    x, background = rng.normal(size=(6, 3)).round(3), np.arange(rows * 3).reshape(rows, 3).astype(float)
+    x[0] = 0
+    names = ["a", "b", "c"]
+    frame = lambda m: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(m)], "id int, a double, b double, c double")
+    want = brute_attributions(lambda v: v[0] * v[1] + v[2] ** 2, x, background)
+    score = lambda v: v["a"] * v["b"] + v["c"] * v["c"]
+    for reference in (frame(background), background):
+        got = explain.attributions(frame(x), names, score, reference).orderBy("id").toPandas()
+        assert np.allclose(np.stack(got["attributions"]), want)
+    assert explain.attributions(frame(x), names, score, frame(background).limit(0)).first()["attributions"] is None
+
+
 def test_attributions_add_up(spark, clean):
-    ref = explain.background(clean, "row_id")
-    out = explain.attributions(clean, catalog.BOTTLENECK, explain.rule_score(), ref).withColumn(
-        "f", clinical.rule_probability()).toPandas()
-    base = explain.rule_score()(ref.toPandas()[list(catalog.BOTTLENECK)].to_numpy()).mean()
+    ref = explain.background(clean, "row_id", 250)
+    out = explain.attributions(clean, catalog.BOTTLENECK, clinical.rule_probability, ref,
+                               used=clinical.RULE_DEFAULTS).withColumn("f", clinical.rule_probability()).toPandas()
+    base = ref.select(clinical.rule_probability().alias("p")).toPandas()["p"].mean()
+    assert len(ref.collect()) == 250
     assert np.allclose(np.stack(out["attributions"]).sum(axis=1), out["f"] - base)
 
 
@@ -129,11 +130,15 @@ def test_balancing_reaches_exact_sizes(spark):
         counts = {r[LABEL]: (r["n"], r["k"]) for r in out.groupBy(LABEL).agg(
             F.count("*").alias("n"), F.countDistinct("row_id").alias("k")).collect()}
         return counts
-    assert sizes(50, 40) == {0: (50, 50), 1: (40, 40)}
-    assert sizes(50, 5, cluster_cut=10) == {0: (50, 50), 1: (5, 5)}
+    assert sizes(50, 40, majority="centroids") == {0: (50, 50), 1: (40, 40)}
+    assert sizes(50, 5) == {0: (50, 50), 1: (5, 5)}
     assert sizes(250, 10) == {0: (250, 250), 1: (10, 10)}
     one = df.filter("row_id < 191")
-    assert balance.balance(one, "row_id", LABEL, FEATURES, 190, 4).filter(F.col(LABEL) == 1).count() == 4
+    assert balance.balance(one, "row_id", LABEL, FEATURES, 190, 4, minority="pairs").filter(F.col(LABEL) == 1).count() == 4
+    with pytest.raises(ValueError):
+        balance.balance(one, "row_id", LABEL, FEATURES, 190, 4)
+    with pytest.raises(ValueError):
+        balance.cluster_centroids(df.withColumns({f: F.lit(1.0) for f in FEATURES}), "row_id", FEATURES, 5)
     assert balance.balance(df.filter(F.col(LABEL) == 0), "row_id", LABEL, FEATURES, 5, 5).count() == 190
 
 
@@ -143,8 +148,8 @@ def test_synthetic_rows_lie_between_originals(spark):
     assert len(made) == 200 and np.allclose(made.a, -made.b) and made.a.between(0, 29).all()
 
 
-def test_imputation_leaves_observed_cells_alone(spark, cohort):
-    im = impute.ChainedImputer(FEATURES, max_iter=1, schedule="block")
+def test_imputation_leaves_observed_cells_alone(spark, cohort, tmp_path):
+    im = impute.ChainedImputer(FEATURES, max_iter=1)
     with pytest.raises(RuntimeError):
         im.transform(cohort, "row_id")
     out = im.fit_transform(cohort, "row_id").toPandas().set_index("row_id").sort_index()
@@ -153,6 +158,11 @@ def test_imputation_leaves_observed_cells_alone(spark, cohort):
     seen = before[FEATURES].notna()
     assert (out[FEATURES].where(seen) == before[FEATURES].where(seen)).where(seen, True).all().all()
     assert out[FEATURES].to_numpy().min() >= -50 and out[FEATURES].to_numpy().max() <= 300
+    im.save(cohort.sparkSession, str(tmp_path / "im"))
+    again = impute.ChainedImputer.load(cohort.sparkSession, str(tmp_path / "im")).transform(cohort, "row_id")
+    assert np.allclose(again.toPandas().set_index("row_id").sort_index()[FEATURES], out[FEATURES])
+    whole = impute.ChainedImputer(FEATURES).fit(im.transform(cohort, "row_id"), "row_id")
+    assert whole.steps == []
     fewer = im.transform(cohort.drop("BUN"), "row_id")
     assert "BUN" in fewer.columns and fewer.filter("BUN is null").isEmpty()
 
@@ -193,8 +203,8 @@ def test_group_folds_keep_entities_apart(spark):
 
 def test_grouped_cross_validation(spark, cohort):
     df = cohort.withColumn("g", F.col("row_id") % 12)
-    out = evaluation.leakage_free_cv(df, "row_id", group="g", k=2, epochs_ae=1, epochs_clf=1, max_iter=1,
-                                     schedule="block", targets=(60, 50)).collect()
+    out = evaluation.leakage_free_cv(df, "row_id", group="g", k=2, max_iter=5, sweeps=1,
+                                     targets=(60, 50)).collect()
     assert [r["Fold"] for r in out] == ["1", "2", "Mean ± SD"]
     assert " ± " in out[2]["Accuracy"]
 
@@ -202,11 +212,34 @@ def test_grouped_cross_validation(spark, cohort):
 def test_comparison_models(spark, clean):
     data = profile.standardize(clean, FEATURES, profile.scaler(clean, FEATURES))
     tagged = split.holdout(data, "row_id", LABEL)
+    chosen = {n: m for n, m in classical.models().items() if n in ("KNN", "Naïve Bayes", "Decision Tree", "ADA Boost")}
+    parts = tagged.filter("not is_test"), tagged.filter("is_test"), FEATURES, LABEL, "row_id"
+    got = {r["Model"]: r for r in classical.benchmark(*parts, chosen).collect()}
+    assert all(got[n]["Accuracy"] > 0.9 for n in chosen)
+
     def broken(*_):
         raise ValueError("no fit")
-    chosen = {n: m for n, m in classical.models().items()
-              if n in ("KNN", "Naïve Bayes", "Decision Tree", "ADA Boost")} | {"Broken": broken}
-    got = {r["Model"]: r for r in classical.benchmark(
-        tagged.filter("not is_test"), tagged.filter("is_test"), FEATURES, LABEL, "row_id", chosen).collect()}
-    assert got["Broken"]["Accuracy"] == 0 and got["Broken"]["Error"] == "no fit"
-    assert all(got[n]["Accuracy"] > 0.9 for n in chosen if n != "Broken")
+    with pytest.raises(ValueError):
+        classical.benchmark(*parts, {"Broken": broken})
+
+
+def test_splits_keep_null_labels_and_groups_and_repeated_keys(spark):
+    rows = [(i // 2, None if i % 10 == 0 else i % 3, None if i % 7 == 0 else i % 5) for i in range(200)] + [(3, 1, 1)] * 30
+    df = spark.createDataFrame(rows, "id int, y int, g int")
+    held = split.holdout(df, "id", "y").groupBy("y").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()
+    assert sum(r["n"] for r in held) == 230 and all(r["t"] == r["n"] // 5 for r in held)
+    folds = split.stratified_kfold(df, "id", "y", 4).groupBy("y", "fold").count().collect()
+    assert sum(r["count"] for r in folds) == 230
+    for y in (None, 0, 1, 2):
+        sizes = [r["count"] for r in folds if r["y"] == y]
+        assert max(sizes) - min(sizes) <= 1
+    grouped = split.group_kfold(df, "g", "y", 2)
+    assert grouped.count() == 230 and split.leaking_groups(grouped, "g").isEmpty()
+    for n in (0, 1, 17, 229, 230, 500):
+        assert balance.downsample_exact(df, "id", n).count() == min(n, 230)
+
+
+def test_selector_must_be_fitted(spark, clean):
+    from panelkit.operators import selection
+    with pytest.raises(RuntimeError):
+        selection.TwoTierSelector().transform(clean)

@@ -4,14 +4,13 @@ import os
 
 import pytest
 
-from checks import compare
+from checks import compare, oracles
+from checks import queries as registry
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-CHOSEN = ["boundary", "truncate_history", "locf_bfill", "locf_blocks", "patient_vector", "default_and_clip",
-          "risk_band", "column_profile", "holdout_split", "group_folds", "knn_classify", "waterfall",
-          "dhm_rank", "score_json", "page_links"]
+CHOSEN = sorted(set(registry.queries()) & set(oracles.oracle_sql()))
 
 
 @pytest.mark.parametrize("name", CHOSEN)

@@ -50,7 +50,7 @@ def test_old_values_never_overwrite_newer_ones():
 def test_json_records_are_scored_alike_in_stream_and_batch(spark, tmp_path):
     bodies = [{"vitals": {"Temp": 39.5, "Resp": 28}}, {"vitals": {"Temp": None, "pH": 9.0}}]
     (tmp_path / "a.txt").write_text("\n".join(map(json.dumps, bodies)))
-    model = RecordModel.untrained()
+    model = RecordModel()
     batch = online.score_stream(spark.read.text(str(tmp_path)), model, ["value"])
     got = run(online.score_stream(spark.readStream.schema("value string").text(str(tmp_path)), model, ["value"]),
               "scored", spark, "append")
