@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from checks.queries import DIMS, MEASURED, TYPES, scale_of
+from checks.queries import DIMS, EPOCH_HOURS, MEASURED, TYPES, scale_of
 from panelkit import catalog
 from panelkit.functions.clinical import RULE_DEFAULTS
 
@@ -56,7 +56,7 @@ def _channel(i: int, c: str) -> str:
 
 _KIND = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TYPES))
 PANEL = f"""cells AS (
-  SELECT user_id, CAST((dayofyear(ts) - 1) * 24 + hour(ts) AS BIGINT) AS h,
+  SELECT user_id, CAST(floor(epoch(ts) / 3600) - {EPOCH_HOURS} AS BIGINT) AS h,
          (CASE event_type {_KIND} END) * 4 + CAST(json_extract(props, '$.k') AS BIGINT) // 25 AS cell,
          value, event_type = 'purchase' AND value >= 200 AS hit
   FROM events),

@@ -25,6 +25,7 @@ FEATURES = list(catalog.FEATURES)
 MEASURED = list(catalog.MEASURED)
 ROW = ["user_id", "h"]
 DIMS = 64
+EPOCH_HOURS = 438_288  # hours are counted from the start of 2020
 
 
 def scale_of(channel: str) -> tuple[float, float]:
@@ -43,9 +44,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def events_panel(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("event_type")).cast("int") - 1
+    place = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("event_type")), F.lit(0))
+    unknown = F.raise_error(F.concat(F.lit("unknown event type "), F.coalesce("event_type", F.lit("null"))))
+    kind = F.when(place > 0, place.cast("int") - 1).otherwise(unknown.cast("int"))
     hours = table(spark, sf, "events").select(
-        "user_id", ((F.dayofyear("ts") - 1) * 24 + F.hour("ts")).cast("bigint").alias("h"),
+        "user_id", (F.floor(F.unix_timestamp("ts") / 3600) - EPOCH_HOURS).cast("bigint").alias("h"),
         (kind * 4 + F.floor(k / 25)).alias("cell"), "value",
         ((F.col("event_type") == "purchase") & (F.col("value") >= 200)).alias("hit"))
     def channel(i, c):

@@ -22,6 +22,7 @@ DECIMALS = 9
 BROADCAST_BYTES = 64 * 1024 * 1024
 CHUNK_ROWS = 50_000
 BLOCK = 512
+REFERENCES = 4096  # reference rows compared at once: 16 MiB of distances
 OUT = "q_id {t}, n_id {t}, dist double"
 
 
@@ -33,22 +34,30 @@ def _distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.round(np.sqrt(total), DECIMALS)
 
 
+def _best(ids, rows, cols, dist, k):
+    """The first k of each query row by distance, then column."""
+    order = np.lexsort((cols, dist, rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    first = np.searchsorted(rows, np.arange(len(ids)))
+    keep = np.arange(len(rows)) - first[rows] < k
+    return rows[keep], cols[keep], dist[keep]
+
+
 def _nearest(q_ids, q, r_ids, r, k, exclude_self):
-    """Best k of ``r`` (sorted by id) for each row of ``q``, block by block."""
+    """Best k of ``r`` (sorted by id, so that columns order ties) for each row of ``q``, in blocks of both."""
     for start in range(0, len(q), BLOCK):
-        ids, d = q_ids[start:start + BLOCK], _distances(q[start:start + BLOCK], r)
-        if exclude_self:
-            d[ids[:, None] == r_ids[None, :]] = np.inf
-        kk = min(k, d.shape[1])
-        limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        # Rows are grouped and columns ascend, so a stable sort by distance keeps ties by id.
-        order = np.lexsort((cols, d[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        first = np.searchsorted(rows, np.arange(len(ids)))
-        keep = np.arange(len(rows)) - first[rows] < kk
-        rows, cols = rows[keep], cols[keep]
-        yield pd.DataFrame({"q_id": ids[rows], "n_id": r_ids[cols], "dist": d[rows, cols]})
+        ids, found = q_ids[start:start + BLOCK], []
+        for at in range(0, len(r), REFERENCES):
+            d = _distances(q[start:start + BLOCK], r[at:at + REFERENCES])
+            if exclude_self:
+                d[ids[:, None] == r_ids[None, at:at + REFERENCES]] = np.inf
+            kk = min(k, d.shape[1])
+            limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+            rows, cols = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+            found.append(_best(ids, rows, cols + at, d[rows, cols], kk))
+        if found:
+            rows, cols, dist = _best(ids, *map(np.concatenate, zip(*found)), k)
+            yield pd.DataFrame({"q_id": ids[rows], "n_id": r_ids[cols], "dist": dist})
 
 
 def _matrix(pdf: pd.DataFrame, vec: str) -> np.ndarray:

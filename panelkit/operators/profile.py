@@ -36,29 +36,35 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
     step = 3.0 / ACCURACY
     wanted = [q for p in probs for q in (max(0.0, p - step), min(1.0, p + step))]
     # Brackets for all columns in one wide partial aggregate: a row of a few arrays.
-    wide = df.agg(*[F.percentile_approx(F.col(c).cast("double"), wanted, ACCURACY).alias(c)
-                    for c in columns])
-    brackets = wide.unpivot([], list(columns), "feature", "_b")
-    long = melt(df, columns).filter(F.col("value").isNotNull())
-    cells = long.join(F.broadcast(brackets), "feature")
-    below = [F.count(F.when(F.col("value") < F.col("_b")[2 * i], 1)).alias(f"_below{i}")
-             for i in range(len(probs))]
-    # The neighbours of each bracket: with few rows a position may fall just outside it.
-    edges = [e for i in range(len(probs)) for e in (
-        F.max(F.when(F.col("value") < F.col("_b")[2 * i], F.col("value"))).alias(f"_under{i}"),
-        F.min(F.when(F.col("value") > F.col("_b")[2 * i + 1], F.col("value"))).alias(f"_over{i}"))]
-    sizes = cells.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *below, *edges)
-
-    inside = F.filter(
-        F.array(*[F.when(F.col("value").between(F.col("_b")[2 * i], F.col("_b")[2 * i + 1]), F.lit(i))
-                  for i in range(len(probs))]), lambda x: x.isNotNull())
-    lo, hi = F.get("_b", 2 * F.col("_q")), F.get("_b", 2 * F.col("_q") + 1)
+    value = [F.col(c).cast("double") for c in columns]
+    wide = df.agg(*[F.percentile_approx(v, wanted, ACCURACY).alias(f"_{i}") for i, v in enumerate(value)])
+    marked = df.select(*[v.alias(f"_v{i}") for i, v in enumerate(value)]).withColumn(
+        "_b", wide.select(F.struct("*").alias("b")).scalar())
+    low = lambda i, k: F.col(f"_b._{i}")[2 * k]
+    high = lambda i, k: F.col(f"_b._{i}")[2 * k + 1]
+
+    def counts(i, c):
+        v, ks = F.col(f"_v{i}"), range(len(probs))
+        # The neighbours of each bracket: with few rows a position may fall just outside it.
+        return F.struct(
+            F.lit(c).alias("feature"), F.count(v).alias("n"),
+            *[F.count(F.when(v < low(i, k), 1)).alias(f"_below{k}") for k in ks],
+            *[F.max(F.when(v < low(i, k), v)).alias(f"_under{k}") for k in ks],
+            *[F.min(F.when(v > high(i, k), v)).alias(f"_over{k}") for k in ks])
+
+    sizes = marked.agg(*[counts(i, c).alias(f"_{i}") for i, c in enumerate(columns)]).select(
+        F.inline(F.array(*[f"_{i}" for i in range(len(columns))])))
+    # Only the cells inside a bracket become rows.
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_v{i}").alias("value"), F.lit(k).alias("_q"),
+                               low(i, k).alias("_lo"), high(i, k).alias("_hi"))
+                      for i, c in enumerate(columns) for k in range(len(probs))])
+    inside = marked.select(F.explode(F.filter(cells, lambda x: x["value"].between(x["_lo"], x["_hi"]))).alias("c"))
+    lo, hi = F.col("_lo"), F.col("_hi")
     # A bracket is ranked in slices, so none of it has to be sorted in one task.
     place = F.coalesce(F.try_divide(F.col("value") - lo, hi - lo), F.lit(0.0))
     slice_ = F.least(F.lit(SLICES - 1), F.floor(place * SLICES)).cast("int")
     cell = ["feature", "_q", "_slice"]
-    counted = (cells.select("feature", "value", "_b", F.explode(inside).alias("_q"))
-               .withColumn("_slice", slice_).groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("_c")))
+    counted = (inside.select("c.*").withColumn("_slice", slice_).groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("_c")))
     head = Window.unboundedPreceding
     along = Window.partitionBy("feature", "_q").orderBy("_slice").rowsBetween(head, -1)
     starts = counted.groupBy(*cell).agg(F.sum("_c").alias("_n")).select(
@@ -89,10 +95,13 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: n, mean, sample and population sd, and bias-corrected skewness, in one pass."""
-    x = F.col("value")
-    stats = melt(df, columns).groupBy("feature").agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.stddev_pop(x).alias("std_pop"), F.skewness(x).alias("skew_pop"))
+    def of(c):
+        x = F.col(c).cast("double")
+        return F.struct(F.lit(c).alias("feature"), F.count(x).alias("n"), F.avg(x).alias("mean"),
+                        F.stddev_samp(x).alias("std"), F.stddev_pop(x).alias("std_pop"),
+                        F.skewness(x).alias("skew_pop"))
+    stats = df.agg(*[of(c).alias(f"_{i}") for i, c in enumerate(columns)]).select(
+        F.inline(F.array(*[f"_{i}" for i in range(len(columns))])))
     n = F.col("n").cast("double")
     corrected = F.when(n > 2, F.col("skew_pop") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
     return stats.select("feature", "n", "mean", "std", "std_pop", corrected.alias("skew"))

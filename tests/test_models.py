@@ -114,6 +114,11 @@ def test_neighbours_by_cells_equal_brute_force(spark):
         return neighbors.knn(df, df, 5, "id", "v", exclude_self=True, **options).toPandas().sort_values(
             ["q_id", "rank"]).reset_index(drop=True)
     small, cells = run(), run(broadcast_bytes=1000, chunk_rows=40)
+    ids, parts = np.arange(300), []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(neighbors, "REFERENCES", 37)
+        parts = pd.concat(neighbors._nearest(ids, x, ids, x, 5, True)).sort_values(["q_id", "dist", "n_id"])
+    assert parts["n_id"].tolist() == small["n_id"].tolist()
     pd.testing.assert_frame_equal(small, cells)
     d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), neighbors.DECIMALS)
     np.fill_diagonal(d, np.inf)

@@ -90,6 +90,11 @@ def test_blocks_change_nothing(spark, tmp_path):
         a = panel.locf(rows, one, backfill=back).drop("block", "ord")
         b = panel.locf(cut, one, backfill=back).drop("block", "ord")
         assert a.exceptAll(b).isEmpty() and a.count() == b.count() == 59
+    blocked = patient_files.panel_spec(("Temp", "HR"))
+    blocked = type(blocked)(blocked.entity, blocked.order, blocked.label, blocked.channels, "block")
+    a, b = (panel.first_entities(cut, spec, 1).select("ICULOS", "Hour") for spec in (
+        type(one)(one.entity, one.order, one.label, one.channels), blocked))
+    assert a.exceptAll(b).isEmpty() and a.count() == b.count() == 59
 
 
 def test_paper_cohort_reaches_its_targets(spark, tmp_path):
