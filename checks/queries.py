@@ -430,7 +430,7 @@ def _attributed(spark, sf):
 
 
 def perturb_shap(spark, sf):
-    cells = _attributed(spark, sf).select("user_id", F.posexplode("attributions").alias("at", "phi"))
+    cells = _attributed(spark, sf).select("user_id", F.posexplode_outer("attributions").alias("at", "phi"))
     names = F.array(*[F.lit(f) for f in catalog.BOTTLENECK])
     return rounded(cells.select("user_id", F.get(names, F.col("at")).alias("feature"), "phi"))
 

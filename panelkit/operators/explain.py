@@ -141,7 +141,8 @@ def global_importance(df: DataFrame, features: Sequence[str], attributions: str
                       top: Sequence[str] = catalog.TOP) -> DataFrame:
     """Mean absolute attribution per feature over all rows, most important first."""
     names = F.array(*[F.lit(f) for f in features])
-    cells = df.select(F.posexplode(attributions).alias("_at", "v"))
+    # The outer form keeps the optimizer from computing attributions once more to test for empty arrays.
+    cells = df.select(F.posexplode_outer(attributions).alias("_at", "v")).filter("_at is not null")
     means = cells.groupBy("_at").agg(F.round(F.avg(F.abs("v")), 4).alias("mean_shap_score"))
     return means.select(F.get(names, F.col("_at")).alias("feature"), "mean_shap_score",
                         F.get(names, F.col("_at")).isin(*top).alias("is_top_impact"), "_at").orderBy(
