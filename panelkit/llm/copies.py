@@ -182,6 +182,21 @@ def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=[*batch.schema.names[:-1], "mk_set"])
 
 
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, set, component_id) of each id and shingle set: the smallest id among the near copies, and their copies.
+
+    Null ids never become a component_id; a component of null ids only has none.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("mk_id"), F.col(text_col).alias("mk_text"))
+    own = common.settle(own.mapInArrow(_own_sets, "mk_id long, mk_set long").distinct())
+    per_set = own.groupBy("mk_set").agg(F.min("mk_id").alias("mk_low")).join(
+        set_roots(docs, text_col), "mk_set", "left").withColumn("mk_root", F.coalesce("mk_root", "mk_set"))
+    per_set = common.settle(per_set)
+    lows = per_set.groupBy("mk_root").agg(F.min("mk_low").alias("component_id"))
+    placed = per_set.join(lows, "mk_root").select("mk_set", "component_id")
+    return own.join(placed, "mk_set").select(F.col("mk_id").alias("id"), F.col("mk_set").alias("set"), "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near copies: of each component the row with the smallest id stays.
 

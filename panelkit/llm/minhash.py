@@ -4,7 +4,7 @@ Shingles are five words of the lower-cased text (A-Z), joined by one space; a sh
 Each shingle gets a 64-bit polynomial hash, computed for a whole text at once, and each of 128 universal hash
 permutations ``a * x + b`` of its 32-bit digest keeps a minimum. A fingerprint is the low 16 bits of each
 minimum; the likeness of two fingerprints is the share of equal positions, an estimate of the Jaccard
-similarity of the shingle sets.
+similarity of the shingle sets. Near-duplicates come from bands of these minima, verified by Jaccard: ``copies``.
 """
 
 from __future__ import annotations
@@ -94,15 +94,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, guest, id, text) in order; each own row is paired with the row after it."""
+    """Rows (bucket, guest, id, text, set, component) in order; each own row is paired with the row after it.
+
+    Rows with a set have no text: they come before the texts of their id and name their component.
+    """
+    from panelkit.llm import copies
+
     hasher = Hasher()
     held = None
+    told: tuple = (None, None, {})
     for batch in batches:
-        columns = [batch.column(i) for i in range(3)]
+        columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)]
         out: list[tuple] = []
-        for bucket, guest, doc, text in zip(*(c.to_pylist() for c in columns), common.texts_of(batch.column(3))):
+        for bucket, guest, doc, own, component, text in zip(*columns, common.texts_of(batch.column(3))):
+            if own is not None:
+                if told[:2] != (bucket, doc):
+                    told = (bucket, doc, {})
+                told[2][own] = component
+                continue
             whole = text.decode()
-            now = (bucket, doc, whole, hasher.signature(text))
+            known = not guest and told[:2] == (bucket, doc) and told[2]
+            component = known[copies.set_id(copies.shingle_set(hasher, text))] if known else None
+            now = (bucket, doc, whole, hasher.signature(text), component)
             if held is not None and held[0] == bucket:
                 out.append(_edited(hasher, held, now))
             held = None if guest else now
@@ -110,26 +123,31 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(TYPES), TYPES)], names=NAMES)
 
 
-NAMES = "id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next".split()
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+NAMES = "id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next component_id".split()
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(),
+         pa.int64()]
 
 
 def _edited(hasher: Hasher, own: tuple, after: tuple) -> tuple:
-    _, doc, text, signature = own
+    _, doc, text, signature, component = own
     half = len(text) // 2
     edited = (text[:len(text) - half] + after[2][:half]).encode()
     changed = hasher.signature(edited)
     return (doc, len(text), hashlib.sha256(edited).hexdigest(), written(signature), written(changed),
-            likeness(signature, changed), likeness(signature, after[3]))
+            likeness(signature, changed), likeness(signature, after[3]), component)
 
 
-def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          components: DataFrame | None = None) -> DataFrame:
     """Each document's fingerprint beside those of an edited text and of the next document.
 
     The edited text replaces the last floor(n_chars / 2) code points by the first as many, or all, of the next
     document in ascending id; the first follows the last. Null ids come first, equal ids are ordered by text,
     null texts count as empty. One row per row of ``docs``, named by ``id_col``; other columns are left out.
 
+    With ``components``, rows (id, set, component_id) as ``copies.near_copies`` gives them, each row also has its
+    component_id.
+
     The texts move once, into ranges of ids between approximate quantiles; each range also gets the first row
     of the next range as a guest. A task holds two texts at a time.
     """
@@ -138,9 +156,10 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shares = [i / (3 * n) for i in range(1, 3 * n)]
     cuts = rows.agg(F.percentile_approx("id", F.array(*map(F.lit, shares)), 10_000)).first()[0]
     splits = [-np.inf, *sorted(set(map(float, cuts or [0.0]))), np.inf]
-    ranged = Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(
-        rows.withColumn("place", F.coalesce(F.col("id").cast("double"), F.lit(-np.inf))))
-    ranged = ranged.select(F.col("range").cast("int").alias("bucket"), F.lit(False).alias("guest"), "id", "text")
+    ranges = lambda df: Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(
+        df.withColumn("place", F.coalesce(F.col("id").cast("double"), F.lit(-np.inf)))).withColumn(
+        "bucket", F.col("range").cast("int"))
+    ranged = ranges(rows).select("bucket", F.lit(False).alias("guest"), "id", "text")
     first = ranged.groupBy("bucket").agg(F.min(F.struct("id", "text")).alias("head"))
     # One row for each range: a few times the number of partitions, whatever the number of documents.
     order = Window.orderBy("bucket")
@@ -148,11 +167,21 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "bucket", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("host"))
     guests = first.join(hosts, "bucket").select(
         F.col("host").alias("bucket"), F.lit(True).alias("guest"), "head.id", "head.text")
-    return (ranged.union(guests).repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "id", "text")
+    none = F.lit(None).cast("long")
+    dealt = ranged.union(guests).select("*", none.alias("set"), none.alias("component_id"))
+    if components is not None:
+        dealt = dealt.union(ranges(components).select(
+            "bucket", F.lit(False), "id", F.lit(None).cast("string"), "set", "component_id"))
+    columns = [c for c in NAMES if c != "component_id" or components is not None]
+    return (dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "id", "text")
             .mapInArrow(_pair_batches, "id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                       "edited_fingerprint string, near_edited double, near_next double")
-            .withColumnRenamed("id", id_col))
+                                       "edited_fingerprint string, near_edited double, near_next double, "
+                                       "component_id long")
+            .select(*columns).withColumnRenamed("id", id_col))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits(common.read(spark, sf_dir, "documents"))
+    from panelkit.llm import copies
+
+    docs = common.read(spark, sf_dir, "documents")
+    return edits(docs, components=copies.near_copies(docs))

@@ -64,3 +64,13 @@ def test_signature_of_a_set():
         own = copies.set_signature(hasher, copies.shingle_set(hasher, text))
         assert (own == hasher.signature(text)).all() and len(copies.bands(own)) == 32
     assert not np.intersect1d(copies.bands(own), copies.bands(np.roll(own, 4))).size
+
+
+def test_components_beside_the_edits(spark):
+    texts = planted(9)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, "other"), (None, texts[0])],
+                                 "doc_id long, text string").repartition(3)
+    got = minhash.edits(docs, components=copies.near_copies(docs)).collect()
+    want = groups(texts)
+    assert sorted((str(r.doc_id), r.component_id) for r in got) == sorted(
+        [(str(i), c) for i, c in enumerate(want)] + [("3", want[3]), ("3", 3), ("None", want[0])])
