@@ -4,6 +4,10 @@ A bounded sample of vectors are pivots. Every vector is represented by the order
 in the inverted files of the first few. A query visits the files of its own nearest pivots; in a file, postings
 are ranked by the footrule distance between the two orders, and the closer half is reranked by the inner product
 of the original vectors in double precision.
+
+Directions alone miss long vectors, whose inner products are large. Where lengths differ, there is a second index
+beside the first: a vector v gets one more component, sqrt(M^2 - |v|^2) with M the largest length, and a query gets
+0, so that the angle between the two falls as their inner product grows. A query visits its files in both.
 """
 
 from __future__ import annotations
@@ -41,32 +45,54 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             .where(F.exists(v, lambda x: x != 0)))
 
 
+def height(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """sqrt(longest^2 - |v|^2) of each vector."""
+    lengths = np.linalg.norm(vectors, axis=1)
+    return np.sqrt(np.maximum(longest - lengths, 0.0)) * np.sqrt(longest + lengths)
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
+
 def choose_pivots(rows: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """Distinct vectors among the ``4 * pivots`` of the smallest id hashes, scaled to length one."""
+    """Distinct vectors among the ``4 * pivots`` of the smallest id hashes, in their own lengths."""
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(4 * pivots).collect()
     found = list(dict.fromkeys(tuple(r["v"]) for r in sample))[:pivots]
-    chosen = np.array(found, np.float64) if found else np.zeros((0, 0))
-    return chosen / np.maximum(np.linalg.norm(chosen, axis=1, keepdims=True), 1e-300)
+    return np.array(found, np.float64) if found else np.zeros((0, 0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def ordered(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds ``order``: the numbers of the nearest pivots, nearest first; ties go to the smaller number."""
+def ordered(rows: DataFrame, pivots: np.ndarray, longest: float | None, queries: bool = False) -> DataFrame:
+    """Adds ``base`` and ``order``: the numbers of the nearest pivots, nearest first; ties go to the smaller number.
+
+    base 0 is by direction. Unless ``longest`` is None, each row comes once more with the number of pivots as base:
+    vectors and pivots raised to that length by one more component, queries with 0 there.
+    """
     keep = min(ORDER, len(pivots))
+    flat = unit(pivots)
+    raised = None if longest is None else unit(np.column_stack([pivots, height(pivots, longest)]))
 
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                near = np.argsort(-(matrix(batch.column(1)) @ pivots.T), axis=1, kind="stable")[:, :keep]
-                flat = pa.array(near.astype(np.int32).ravel())
-                sizes = pa.array(np.arange(len(near) + 1, dtype=np.int32) * keep)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(sizes, flat)],
-                                                 names=["id", "v", "order"])
-
-    return rows.mapInArrow(orders, "id long, v array<double>, order array<int>")
+            if not batch.num_rows:
+                continue
+            own = matrix(batch.column(1))
+            products = [own @ flat.T]
+            if raised is not None:
+                up = np.zeros(len(own)) if queries else height(own, longest)
+                products.append(np.column_stack([own, up]) @ raised.T)
+            for side, near in enumerate(products):
+                near = np.argsort(-near, axis=1, kind="stable")[:, :keep]
+                order = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * keep),
+                                                 pa.array(near.astype(np.int32).ravel()))
+                base = pa.array(np.full(len(near), side * len(pivots), np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns, base, order], names=["id", "v", "base", "order"])
+
+    return rows.mapInArrow(orders, "id long, v array<double>, base int, order array<int>")
 
 
 def footrules(queries: np.ndarray, postings: np.ndarray, pivots: int) -> np.ndarray:
@@ -129,11 +155,16 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     schema = "query_id long, vec_id long, score double"
     if not len(chosen):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    indexed = common.settle(ordered(rows, chosen))
-    asking = common.settle(ordered(usable(queries, id_col, vector_col), chosen))
-    file = lambda df, n: df.withColumn("pivot", F.explode(F.slice("order", 1, n)))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
+    shortest, longest = rows.agg(F.min(length), F.max(length)).first()
+    # Vectors of one length have the same orders in both indexes.
+    longest = longest if longest - shortest > 1e-6 * longest else None
+    indexed = common.settle(ordered(rows, chosen, longest))
+    asking = common.settle(ordered(usable(queries, id_col, vector_col), chosen, longest, queries=True))
+    file = lambda df, n: df.withColumn("pivot", F.explode(F.slice("order", 1, n))).withColumn(
+        "pivot", F.col("pivot") + F.col("base"))
     # One row for each pivot: how many parts its file and its queries are dealt to.
-    parts = lambda df, n, most, name: file(df.select("order"), n).groupBy("pivot").agg(
+    parts = lambda df, n, most, name: file(df.select("base", "order"), n).groupBy("pivot").agg(
         F.ceil(F.count("*") / most).alias(name))
     deal = common.settle(parts(indexed, POSTED, POSTINGS, "ps").join(parts(asking, VISITED, QUERIES, "qs"), "pivot"))
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))

@@ -71,3 +71,18 @@ def test_odd_vectors(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [
         (0, 1, 3, 1.0), (0, 2, 20, 0.0), (0, 3, 9, -1.0), (20, 1, 3, 2.0), (20, 2, 9, 1.0), (20, 3, 0, 0.0)]
     assert neighbors.search(df.limit(0), df).count() == 0 and neighbors.search(df, df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.5, 1.0])
+def test_recall_with_varied_lengths_and_a_hot_cluster(spark, spread):
+    draw = np.random.default_rng(2)
+    vectors = draw.normal(size=(6000, 64))
+    vectors[::3] = draw.normal(size=64) + 0.5 * vectors[::3]
+    vectors *= np.exp(spread * draw.normal(size=(6000, 1))) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, v) for i, v in enumerate(vectors.astype(np.float32).tolist())]
+    df = frame(spark, rows)
+    want = brute(rows, range(0, 6000, 100))
+    got = {}
+    for r in neighbors.search(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & {v for v, _ in w}) / 20 for q, w in want.items()]) >= 0.95
