@@ -26,7 +26,7 @@ from panelkit.llm.minhash import PERMUTATIONS, Hasher
 NUMERATOR, DENOMINATOR = 4, 5
 ROWS = 4
 PART = 256
-#: Equal minima of 128 below which a pair of a large band isn't verified: 5.6 standard deviations under 0.8.
+#: Equal minima of 128 below which a pair without the band's smallest set isn't verified: 5.6 standard deviations under 0.8.
 LEAST_EQUAL = 77
 #: Words of a bit map.
 WORDS = 1 << 16
