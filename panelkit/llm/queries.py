@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkit.llm import language, licenses, minhash, mixing, neighbors, pieces, quality, secrets, simhash, tokens
+from panelkit.llm import (
+    audit, language, licenses, minhash, mixing, neighbors, pieces, quality, secrets, simhash, tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokens": tokens.query,
         "op9_neighbors": neighbors.query,
         "op10_minhash": minhash.query,
+        "op11_audit": audit.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.sql()}
+    return {"op2_licenses": licenses.sql(), "op11_audit": audit.sql()}
