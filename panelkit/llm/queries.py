@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelkit.llm import (
-    audit, language, licenses, minhash, mixing, neighbors, pieces, quality, secrets, simhash, tokens)
+    audit, language, licenses, minhash, mixing, neighbors, pieces, quality, secrets, simhash, tokens,
+    whitening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_neighbors": neighbors.query,
         "op10_minhash": minhash.query,
         "op11_audit": audit.query,
+        "op12_whitening": whitening.query,
     }
 
 
