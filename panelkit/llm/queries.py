@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelkit.llm import (
-    audit, language, licenses, minhash, mixing, neighbors, pieces, quality, secrets, simhash, tokens,
+    audit, language, licenses, minhash, mixing, neighbors, pieces, quality, secrets, simhash, tokens, toxicity,
     whitening)
 
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_minhash": minhash.query,
         "op11_audit": audit.query,
         "op12_whitening": whitening.query,
+        "op13_toxicity": toxicity.query,
     }
 
 
