@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,32 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared folder that only live until ``drop``, and shuffles that only live as long as their job.
+
+    What is read from them has to be kept elsewhere before they are dropped.
+    """
+
+    SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path, self.count = f"{self.folder}/{self.count}", self.count + 1
+        before = self.spark.conf.get(self.SETTING, "false")
+        self.spark.conf.set(self.SETTING, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.SETTING, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

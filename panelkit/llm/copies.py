@@ -1,12 +1,18 @@
 """Near copies of texts: sets of five-word shingles with a Jaccard similarity of 0.8 or more, in components.
 
 Candidates come from MinHash bands: 32 bands of 4 of 128 minima, of which a pair at similarity 0.8 shares none with
-a probability of 5e-8. Each distinct shingle set counts once. All sets of a band are first compared with its
-smallest; what then still lies in different components of a band is compared pair by pair, in bounded parts. Every
-link is verified on the shingle sets themselves; members of one component aren't compared again.
-
-Texts are read again rather than kept: bit maps of bounded size say which bands and sets are needed. A bit map never
-loses one; a full one only lets more through.
+a probability of 5e-8. Each distinct shingle set counts once. Links are found in three steps, and each step leaves
+out what is in one component already:
+
+* Leaders: a set is compared with one leader, the smallest set of any of its bands; twice, the second time for the
+  sets that are still apart from a band's leader.
+* Sets apart from a band's leader are compared with all sets of the leader's component.
+* What then still lies apart in a band is compared set by set.
+
+The last two steps work in groups of bounded parts: a task holds the shingles of one part of the hosts and one of the
+guests, counts what each two have in common, and returns only those links that join two components. So no step emits
+pairs, and the sum of its rows grows with the sets. Hosts and guests are dealt by size too, as sets of similarity 0.8
+differ in size by a quarter at most.
 """
 
 from __future__ import annotations
@@ -16,20 +22,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm import common, graph
-from panelkit.llm.minhash import PERMUTATIONS, Hasher
+from panelkit.llm.minhash import Hasher
 
-#: Jaccard similarity of a link, as a fraction; rows of a band; hosts of a part of a band.
+#: Jaccard similarity of a link, as a fraction; minima of a band.
 NUMERATOR, DENOMINATOR = 4, 5
 ROWS = 4
-PART = 256
-#: Equal minima of 128 below which a pair without the band's smallest set isn't verified: 5.6 standard deviations under 0.8.
-LEAST_EQUAL = 77
-#: Words of a bit map.
-WORDS = 1 << 16
+#: Sets of a part of hosts and of guests at most, and shingles in one unless a single set has more.
+PART, GUESTS, SHINGLES = 2048, 8192, 1 << 21
+#: Words of the bit map of wanted sets: 16 bits for each of them, within these limits.
+LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 20
+#: Set ids that a task remembers to have returned.
+REMEMBERED = 1 << 18
 
 
 def shingle_set(hasher: Hasher, text: bytes) -> np.ndarray:
@@ -56,74 +63,53 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return common.mixed(keys ^ common.mixed(np.arange(1, len(keys) + 1, dtype=np.uint64)))
 
 
+def _own_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text column, which is the last, becomes mk_set and mk_bands."""
+    hasher = Hasher()
+    for batch in batches:
+        sets = [shingle_set(hasher, t) for t in common.texts_of(batch.column(batch.num_columns - 1))]
+        keys = [bands(set_signature(hasher, s)).view(np.int64) for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.array(map(set_id, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+            names=[*batch.schema.names[:-1], "mk_set", "mk_bands"])
+
+
 def bit_map(rows: DataFrame, column: str) -> np.ndarray:
-    """Bits of the 64-bit values in a column: WORDS words, whatever the number of rows."""
-    word = F.shiftrightunsigned(F.col(column), 6).bitwiseAND(F.lit(WORDS - 1)).cast("int")
+    """Bits of the 64-bit values in a column, of bounded size; a fuller one lets more other values through."""
+    words = LEAST_WORDS
+    while words < min(MOST_WORDS, rows.count() // 4):
+        words *= 2
+    word = F.shiftrightunsigned(F.col(column), 6).bitwiseAND(F.lit(words - 1)).cast("int")
     bit = F.expr(f"shiftleft(1L, cast({column} & 63L AS INT))")
-    out = np.zeros(WORDS, np.int64)
-    for r in rows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
-        out[r["word"]] = r["bits"]
+    found = rows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(words, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
-def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    values = values.view(np.uint64)
-    words = bits[((values >> np.uint64(6)) & np.uint64(WORDS - 1)).astype(np.int64)]
-    return (words >> (values & np.uint64(63))) & np.uint64(1) != 0
-
-
-def _posting_batches(bits: np.ndarray | None) -> Callable:
-    """(mk_key, mk_set) of each text's bands, or of those in the bit map."""
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            keys, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for text in common.texts_of(batch.column(0)):
-                shingles = shingle_set(hasher, text)
-                own = bands(set_signature(hasher, shingles))
-                keys.append(own if bits is None else own[in_map(bits, own)])
-                sets.append(np.full(len(keys[-1]), set_id(shingles), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)),
-                                              pa.array(np.concatenate(sets))], names=["mk_key", "mk_set"])
-    return post
+def in_map(bits: np.ndarray, value: int) -> bool:
+    value &= 0xFFFFFFFFFFFFFFFF
+    return bool(int(bits[value >> 6 & len(bits) - 1]) >> (value & 63) & 1)
 
 
 def _set_batches(bits: np.ndarray) -> Callable:
-    """(mk_set, mk_n, mk_shingles, mk_sig) of each text whose set is in the bit map."""
+    """(mk_set, mk_n, mk_shingles) of the texts whose set is in the bit map."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, seen = Hasher(), set()
         for batch in batches:
             for text in common.texts_of(batch.column(0)):
                 shingles = shingle_set(hasher, text)
                 own = set_id(shingles)
-                if in_map(bits, np.array([own], np.int64))[0]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([own]), pa.array([len(shingles)], pa.int64()),
-                         pa.array([shingles.view(np.int64)], pa.list_(pa.int64())),
-                         pa.array([set_signature(hasher, shingles).tobytes()])],
-                        names=["mk_set", "mk_n", "mk_shingles", "mk_sig"])
+                if own in seen or not in_map(bits, own):
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([own]), pa.array([len(shingles)], pa.int64()),
+                     pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))], names=["mk_set", "mk_n", "mk_shingles"])
     return read
 
 
-def _part_pairs(hosts: pa.Table, guests: pa.Table) -> pa.Table:
-    """(a, b) of hosts and guests in different components that their sizes and signatures let be near copies."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    column = lambda t, c: t.column(c).to_numpy()
-    sigs = lambda t: np.frombuffer(b"".join(t.column("mk_sig").to_pylist()), np.uint16).reshape(
-        -1, PERMUTATIONS)
-    if hosts.num_rows and guests.num_rows:
-        ours, own, n, led, far = (column(hosts, c) for c in ("mk_set", "mk_comp", "mk_n", "mk_led", "mk_lead"))
-        signed = sigs(hosts)
-        for g, comp, m, sig in zip(*(column(guests, c) for c in ("mk_set", "mk_comp", "mk_n")), sigs(guests)):
-            fits = ((own != comp) & (led | (ours < g)) & (ours != far)
-                    & (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m)))
-            near = np.flatnonzero(fits)
-            near = near[(signed[near] == sig).sum(axis=1) >= LEAST_EQUAL]
-            a.append(ours[near])
-            b.append(np.full(len(near), g, np.int64))
-    return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose Jaccard similarity is at least 0.8."""
     named = lambda x: sets.select(F.col("mk_set").alias(x), F.col("mk_n").alias(f"n_{x}"),
@@ -134,52 +120,160 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.where((NUMERATOR + DENOMINATOR) * both >= NUMERATOR * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def set_roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(mk_set, mk_root) of each shingle set that has a near copy; the root stands for its component."""
-    texts = docs.select(F.col(text_col).alias("mk_text"))
-    post = lambda bits: texts.mapInArrow(_posting_batches(bits), "mk_key long, mk_set long")
-    bounds = post(None).groupBy("mk_key").agg(F.min("mk_set").alias("mk_lead"), F.max("mk_set").alias("mk_last"))
-    shared = common.settle(bounds.where("mk_lead < mk_last").select("mk_key", "mk_lead"))
-    members = common.settle(post(bit_map(shared, "mk_key")).distinct().join(shared, "mk_key"))
-    pairs = common.settle(members.where("mk_set <> mk_lead").select(
-        F.col("mk_lead").alias("a"), F.col("mk_set").alias("b")).distinct())
-    wanted = bit_map(members, "mk_set")
-    sets = texts.mapInArrow(_set_batches(wanted),
-                            "mk_set long, mk_n long, mk_shingles array<long>, mk_sig binary")
-    sets = common.settle(sets.groupBy("mk_set").agg(*[F.first(c).alias(c) for c in ("mk_n", "mk_shingles", "mk_sig")]))
-    led = common.settle(verified(pairs, sets))
-    roots = common.settle(graph.components(led))
-    # What a band's smallest set didn't bring together.
-    comp = roots.select(F.col("v").alias("mk_set"), F.col("root").alias("mk_comp"))
-    lead = roots.select(F.col("v").alias("mk_lead"), F.col("root").alias("mk_lead_comp"))
-    placed = (members.join(comp, "mk_set", "left").join(lead, "mk_lead", "left")
-              .withColumn("mk_comp", F.coalesce("mk_comp", "mk_set"))
-              .withColumn("mk_led", F.col("mk_comp") == F.coalesce("mk_lead_comp", "mk_lead")).drop("mk_lead_comp"))
-    stray = ~F.col("mk_led")
-    comps = lambda f: f(F.when(F.col("mk_set") != F.col("mk_lead"), F.col("mk_comp")))
-    split = placed.groupBy("mk_key").agg(
-        comps(F.min).alias("mk_low"), comps(F.max).alias("mk_high"),
-        F.ceil(F.count("*") / PART).alias("mk_parts")).where("mk_low < mk_high").select("mk_key", "mk_parts")
-    light = sets.select("mk_set", "mk_n", "mk_sig")
-    left = common.settle(placed.join(split, "mk_key").join(light, "mk_set"))
-    hosts = left.withColumn("mk_part", F.pmod(F.xxhash64("mk_set"), F.col("mk_parts")))
-    guests = left.where(stray & (F.col("mk_set") != F.col("mk_lead"))).withColumn(
-        "mk_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mk_parts") - 1)))
-    keys = ["mk_key", "mk_part"]
-    columns = [*keys, "mk_set", "mk_comp", "mk_n", "mk_led", "mk_lead", "mk_sig"]
-    more = (hosts.select(columns).groupBy(*keys).cogroup(guests.select(columns).groupBy(*keys))
-            .applyInArrow(_part_pairs, "a long, b long").distinct())
-    edges = led.union(verified(common.settle(more), sets))
-    return graph.components(edges).select(F.col("v").alias("mk_set"), F.col("root").alias("mk_root"))
-
-
-def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text column, which is the last, becomes mk_set."""
-    hasher = Hasher()
-    for batch in batches:
-        ids = [set_id(shingle_set(hasher, t)) for t in common.texts_of(batch.column(batch.num_columns - 1))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.int64())],
-                                         names=[*batch.schema.names[:-1], "mk_set"])
+class Common:
+    """How many shingles each of some sets has in common with others: held by many in bit rows, others in lists."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = len(sets)
+        values = np.concatenate([np.zeros(0, np.int64), *sets])
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(values, kind="stable")
+        self.owner = owner[order]
+        self.values, self.start, self.count = np.unique(values[order], return_index=True, return_counts=True)
+        dense = np.flatnonzero(self.count >= max(8, self.sets // 16))
+        self.bit = np.full(len(self.values) + 1, -1, np.int64)
+        self.bit[dense] = np.arange(len(dense))
+        self.words = -(-len(dense) // 64)
+        column = self.bit[np.repeat(np.arange(len(self.values)), self.count)]
+        keep = column >= 0
+        self.bits = self._rows(self.owner[keep], column[keep], self.sets)
+
+    def _rows(self, row: np.ndarray, bit: np.ndarray, rows: int) -> np.ndarray:
+        out = np.zeros((rows, self.words), np.uint64)
+        np.bitwise_or.at(out, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        return out
+
+    def counts(self, guests: list[np.ndarray]) -> np.ndarray:
+        """guests x sets."""
+        values = np.concatenate([np.zeros(0, np.int64), *guests])
+        guest = np.repeat(np.arange(len(guests)), [len(g) for g in guests])
+        at = np.searchsorted(self.values, values)
+        at = np.where(at < len(self.values), at, 0)
+        hit = self.values[at] == values if len(self.values) else np.zeros(len(values), bool)
+        at, guest = at[hit], guest[hit]
+        many = self.bit[at] >= 0
+        rows = self._rows(guest[many], self.bit[at[many]], len(guests))
+        out = np.zeros((len(guests), self.sets), np.int64)
+        for w in range(self.words):
+            out += np.bitwise_count(rows[:, w, None] & self.bits[None, :, w])
+        at, guest = at[~many], guest[~many]
+        long = self.count[at]
+        nth = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+        np.add.at(out, (np.repeat(guest, long), self.owner[np.repeat(self.start[at], long) + nth]), 1)
+        return out
+
+
+def _linked(hosts: pa.Table, guests: pa.Table) -> pa.Table:
+    """Links (a, b) between hosts and guests that join two components: a spanning forest of all that there are."""
+    a: list[int] = []
+    b: list[int] = []
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    if hosts.num_rows and guests.num_rows:
+        column = lambda t, c: t.column(c).to_numpy()
+        arrays = lambda t: [s.values.to_numpy(zero_copy_only=False) for s in t.column("mk_shingles")]
+        ours, own, n = (column(hosts, c) for c in ("mk_set", "mk_comp", "mk_n"))
+        theirs, comp, m = (column(guests, c) for c in ("mk_set", "mk_comp", "mk_n"))
+        known, others = Common(arrays(hosts)), arrays(guests)
+        step = max(1, (1 << 21) // len(ours))
+        for at in range(0, len(theirs), step):
+            part = slice(at, at + step)
+            near = ((NUMERATOR + DENOMINATOR) * known.counts(others[part])
+                    >= NUMERATOR * (n[None, :] + m[part, None])) & (own[None, :] != comp[part, None])
+            for g, h in zip(*np.nonzero(near)):
+                x, y = find(int(comp[at + g])), find(int(own[h]))
+                if x != y:
+                    parent[x] = y
+                    a.append(int(ours[h]))
+                    b.append(int(theirs[at + g]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _parts(rows: DataFrame, group: list[str], most: int, name: str) -> DataFrame:
+    """For each group, into how many parts its sets are dealt."""
+    parts = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("mk_n") / SHINGLES), F.lit(1))
+    return rows.groupBy(*group).agg(parts.cast("int").alias(name))
+
+
+def _size_class(n: Column) -> Column:
+    """Sets of similarity 0.8 lie in the same or in neighbouring classes."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
+
+
+def block_links(hosts: DataFrame, guests: DataFrame, sets: DataFrame, among: bool) -> DataFrame:
+    """Links (a, b) that join components, between hosts and guests (mk_group, mk_set, mk_comp) of a group.
+
+    With ``among`` hosts and guests are the same sets, and each two need to meet once.
+    """
+    sized = sets.select("mk_set", "mk_n")
+    classed = lambda rows: rows.join(sized, "mk_set").withColumn("mk_class", _size_class(F.col("mk_n")))
+    hosts, guests = classed(hosts), classed(guests)
+    near = [0, -1] if among else [0, -1, 1]
+    guests = guests.withColumn("mk_class", F.explode(F.array(*[F.col("mk_class") + d for d in near])))
+    group = ["mk_group", "mk_class"]
+    # Groups and classes with hosts and guests only, and how often each side is dealt out.
+    dealt = _parts(hosts, group, PART, "mk_ours").join(_parts(guests, group, GUESTS, "mk_theirs"), group)
+    part = lambda rows, own, other: rows.join(dealt, group).select(
+        *group, "mk_set", "mk_comp", "mk_n", F.pmod(F.xxhash64("mk_set"), F.col(own)).cast("int").alias(own),
+        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+    full = sets.select("mk_set", "mk_shingles")
+    keys = [*group, "mk_ours", "mk_theirs"]
+    columns = [*keys, "mk_set", "mk_comp", "mk_n", "mk_shingles"]
+    # Named anew, since both sides may come from the same rows.
+    side = lambda rows, own, other: part(rows, own, other).join(full, "mk_set").select(
+        *columns).toDF(*columns).groupBy(*keys)
+    return (side(hosts, "mk_ours", "mk_theirs").cogroup(side(guests, "mk_theirs", "mk_ours"))
+            .applyInArrow(_linked, "a long, b long"))
+
+
+def set_roots(own: DataFrame, texts: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(mk_set, mk_root) of each shingle set that has a near copy; the root stands for its component.
+
+    ``own`` has mk_set and mk_bands of each text; ``texts`` has the texts as its only column.
+    """
+    posted = own.groupBy("mk_set").agg(F.first("mk_bands").alias("mk_bands")).select(
+        "mk_set", F.explode("mk_bands").alias("mk_key"))
+    bounds = posted.groupBy("mk_key").agg(F.min("mk_set").alias("mk_lead"), F.max("mk_set").alias("mk_last"))
+    shared = scratch.keep(bounds.where("mk_lead < mk_last").select("mk_key", "mk_lead"))
+    members = scratch.keep(posted.join(shared, "mk_key"))
+    wanted = members.select("mk_set").distinct()
+    sets = texts.mapInArrow(_set_batches(bit_map(scratch.keep(wanted), "mk_set")),
+                            "mk_set long, mk_n long, mk_shingles array<long>")
+    sets = scratch.keep(sets.groupBy("mk_set").agg(F.first("mk_n").alias("mk_n"),
+                                                   F.first("mk_shingles").alias("mk_shingles")))
+    edges, roots = None, members.select(F.col("mk_set").alias("v"), F.col("mk_set").alias("root")).limit(0)
+
+    def placed() -> DataFrame:
+        """Members with their own component and that of their band's leader."""
+        comp = roots.select(F.col("v").alias("mk_set"), F.col("root").alias("mk_comp"))
+        lead = roots.select(F.col("v").alias("mk_lead"), F.col("root").alias("mk_led"))
+        return (members.join(comp, "mk_set", "left").join(lead, "mk_lead", "left")
+                .withColumn("mk_comp", F.coalesce("mk_comp", "mk_set"))
+                .withColumn("mk_led", F.coalesce("mk_led", "mk_lead")))
+
+    def joined(more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = scratch.keep(more if edges is None else edges.union(more))
+        return more, scratch.keep(graph.components(more))
+
+    for _ in range(2):
+        pairs = placed().where("mk_comp <> mk_led").groupBy(F.col("mk_set").alias("b")).agg(F.min("mk_lead").alias("a"))
+        edges, roots = joined(verified(pairs, sets))
+    apart = placed().where("mk_comp <> mk_led").select(F.col("mk_led").alias("mk_group"), "mk_set", "mk_comp").distinct()
+    guests = scratch.keep(apart)
+    comps = sets.select("mk_set").join(roots.select(F.col("v").alias("mk_set"), F.col("root").alias("mk_comp")),
+                                       "mk_set", "left").withColumn("mk_comp", F.coalesce("mk_comp", "mk_set"))
+    hosts = comps.join(guests.select(F.col("mk_group").alias("mk_comp")).distinct(), "mk_comp", "left_semi")
+    edges, roots = joined(block_links(hosts.withColumn("mk_group", F.col("mk_comp")), guests, sets, False))
+    strays = placed().where("mk_comp <> mk_led").select(F.col("mk_key").alias("mk_group"), "mk_set", "mk_comp")
+    split = strays.groupBy("mk_group").agg(F.min("mk_comp").alias("low"), F.max("mk_comp").alias("high"))
+    strays = scratch.keep(strays.join(split.where("low < high").select("mk_group"), "mk_group", "left_semi"))
+    edges, roots = joined(block_links(strays, strays, sets, True))
+    return roots.select(F.col("v").alias("mk_set"), F.col("root").alias("mk_root"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,31 +281,44 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null ids never become a component_id; a component of null ids only has none.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("mk_id"), F.col(text_col).alias("mk_text"))
-    own = common.settle(own.mapInArrow(_own_sets, "mk_id long, mk_set long").distinct())
+    scratch = common.Scratch(docs.sparkSession)
+    texts = docs.select(F.col(f"`{text_col}`").alias("mk_text"))
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("mk_id"), F.col(f"`{text_col}`").alias("mk_text"))
+    own = scratch.keep(own.mapInArrow(_own_batches, "mk_id long, mk_set long, mk_bands array<long>"))
     per_set = own.groupBy("mk_set").agg(F.min("mk_id").alias("mk_low")).join(
-        set_roots(docs, text_col), "mk_set", "left").withColumn("mk_root", F.coalesce("mk_root", "mk_set"))
-    per_set = common.settle(per_set)
+        set_roots(own, texts, scratch), "mk_set", "left").withColumn("mk_root", F.coalesce("mk_root", "mk_set"))
+    per_set = scratch.keep(per_set)
     lows = per_set.groupBy("mk_root").agg(F.min("mk_low").alias("component_id"))
     placed = per_set.join(lows, "mk_root").select("mk_set", "component_id")
-    return own.join(placed, "mk_set").select(F.col("mk_id").alias("id"), F.col("mk_set").alias("set"), "component_id")
+    out = common.settle(own.select("mk_id", "mk_set").distinct().join(placed, "mk_set").select(
+        F.col("mk_id").alias("id"), F.col("mk_set").alias("set"), "component_id"))
+    scratch.drop()
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near copies: of each component the row with the smallest id stays.
 
     A null text counts as empty, and texts without words are copies of each other. Null ids come last; among equal
-    ids the row with the smallest hash stays, and of equal rows one. All columns are returned as they were.
+    ids the row with the smallest hash stays, and of equal rows one. All columns are returned as they were, whatever
+    their names.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.withColumn("mk_row", row).withColumn("mk_own", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    own = marked.select("mk_row", "mk_own", F.col(id_col).cast("long").alias("mk_id"), F.col(text_col).alias("mk_text"))
-    own = own.mapInArrow(_own_sets, "mk_row long, mk_own long, mk_id long, mk_set long")
+    named = [f"mk_{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*named)
+    doc, text = (F.col(named[docs.columns.index(c)]) for c in (id_col, text_col))
+    marked = plain.withColumn("mk_row", F.xxhash64(*named)).withColumn("mk_own", F.coalesce(doc.cast("long"), F.lit(0)))
+    scratch = common.Scratch(docs.sparkSession)
+    own = marked.select("mk_row", "mk_own", doc.cast("long").alias("mk_id"), text.alias("mk_text"))
+    own = scratch.keep(own.mapInArrow(
+        _own_batches, "mk_row long, mk_own long, mk_id long, mk_set long, mk_bands array<long>"))
     best = F.min(F.struct(F.col("mk_id").isNull(), "mk_own", "mk_row")).alias("mk_best")
     # Sets first, so that the groups of a component are few rows by then.
     per_set = own.groupBy("mk_set").agg(best)
-    winners = (per_set.join(set_roots(docs, text_col), "mk_set", "left").groupBy(F.coalesce("mk_root", "mk_set"))
-               .agg(F.min("mk_best").alias("mk_best")).select("mk_best.mk_row", "mk_best.mk_own").distinct())
+    roots = set_roots(own, plain.select(text.alias("mk_text")), scratch)
+    winners = common.settle(
+        per_set.join(roots, "mk_set", "left").groupBy(F.coalesce("mk_root", "mk_set"))
+        .agg(F.min("mk_best").alias("mk_best")).select("mk_best.mk_row", "mk_best.mk_own").distinct())
+    scratch.drop()
     first = F.row_number().over(Window.partitionBy("mk_row", "mk_own").orderBy(F.lit(1)))
     return (marked.join(winners, ["mk_row", "mk_own"], "left_semi").withColumn("mk_first", first)
-            .where("mk_first = 1").select(*[f"`{c}`" for c in docs.columns]))
+            .where("mk_first = 1").select(*named).toDF(*docs.columns))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -39,9 +40,10 @@ def planted(seed=5):
     return [" ".join(t) for t in texts]
 
 
-@pytest.mark.parametrize("part", [256, 7])
+@pytest.mark.parametrize("part", [2048, 7])
 def test_stage_keeps_one_of_planted_near_copies(spark, part, monkeypatch):
     monkeypatch.setattr(copies, "PART", part)
+    monkeypatch.setattr(copies, "GUESTS", part + 2)
     texts = planted()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     kept = corpus_pipeline.keep_one_of_each(spark, docs, None)
@@ -66,6 +68,39 @@ def test_signature_of_a_set():
     assert not np.intersect1d(copies.bands(own), copies.bands(np.roll(own, 4))).size
 
 
+def test_counts_in_common():
+    draw = np.random.default_rng(1)
+    for sizes, top in (([0, 1, 5, 60, 200] * 8, 300), ([40] * 70, 10 ** 6), ([], 5), ([0], 5)):
+        sets = [np.unique(draw.integers(-top, top, n)) for n in sizes]
+        guests = sets[::2] + [np.array([], np.int64), np.array([top + 1])]
+        want = [[len(np.intersect1d(g, s)) for s in sets] for g in guests]
+        assert copies.Common(sets).counts(guests).tolist() == want
+
+
+def test_links_join_components_once():
+    """A crowd of near copies that are all linked gives a spanning forest, not its pairs."""
+    base = np.arange(100)
+    rows = [(i, i, 100, np.r_[base[:95], 1000 * i + np.arange(5)]) for i in range(1, 60)]
+    table = pa.table({"mk_set": [r[0] for r in rows], "mk_comp": [r[1] for r in rows], "mk_n": [100] * len(rows),
+                      "mk_shingles": [r[3] for r in rows]})
+    assert copies._linked(table, table).num_rows == len(rows) - 1
+    assert copies._linked(table, table.slice(0, 0)).num_rows == 0
+
+
+def test_bit_map_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(copies, "LEAST_WORDS", 4)
+    monkeypatch.setattr(copies, "MOST_WORDS", 64)
+    values = [int(v) for v in np.random.default_rng(0).integers(-2**63, 2**63 - 1, 2000)]
+    bits = copies.bit_map(spark.createDataFrame([(v,) for v in values], "v long"), "v")
+    assert len(bits) == 64 and all(copies.in_map(bits, v) for v in values)
+
+
+def test_clashing_names_come_back(spark):
+    rows = [(1, "a b c d e f", 3, 1, 2, "s"), (2, "a b c d e f", 4, 5, 6, "t"), (3, "other words", 7, 8, 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mk_row long, mk_own long, mk_first int, mk_set string")
+    assert sorted(map(tuple, copies.keep_one(docs).collect())) == [rows[0], rows[2]]
+
+
 def test_components_beside_the_edits(spark):
     texts = planted(9)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, "other"), (None, texts[0])],

@@ -1,10 +1,12 @@
+from collections import defaultdict
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from panelkit.llm import mixing, pieces, quality
+from tests.llm.test_minhash import jaccard, shingles
 from tests.llm.test_secrets import brute as secrets_of
-from tests.llm.test_simhash import brute_components, brute_print
 
 SF = "/root/testdata/sf0.01"
 
@@ -34,10 +36,22 @@ def test_quality_stage(spark, stages):
 
 
 def test_near_duplicate_stage(stages):
-    rows = stages[1].collect()
-    prints = np.array([brute_print(r.text) for r in rows], np.uint64)
-    lowest = brute_components([r.doc_id for r in rows], prints)
-    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(lowest))
+    """Jaccard similarity 0.8 on five-word shingles, against all pairs that have a shingle in common."""
+    rows = sorted(stages[1].collect(), key=lambda r: r.doc_id)
+    sets, holders, root = [shingles(r.text or "") for r in rows], defaultdict(list), list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, own in enumerate(sets):
+        for j in {j for s in own for j in holders[s]} | ({sets.index(own)} if not own else set()):
+            if jaccard(own, sets[j]) >= 0.8 and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+        for s in own:
+            holders[s].append(i)
+    assert sorted(r.doc_id for r in stages[2].collect()) == [r.doc_id for i, r in enumerate(rows) if find(i) == i]
 
 
 def test_secret_stage(stages):
