@@ -32,7 +32,7 @@ from panelkit.llm.minhash import Hasher
 NUMERATOR, DENOMINATOR = 4, 5
 ROWS = 4
 #: Sets of a part of hosts and of guests at most, and shingles in one unless a single set has more.
-PART, GUESTS, SHINGLES = 2048, 8192, 1 << 21
+PART, GUESTS, SHINGLES = 16_384, 16_384, 1 << 22
 #: Words of the bit map of wanted sets: 16 bits for each of them, within these limits.
 LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 20
 #: Set ids that a task remembers to have returned.

@@ -40,7 +40,7 @@ def planted(seed=5):
     return [" ".join(t) for t in texts]
 
 
-@pytest.mark.parametrize("part", [2048, 7])
+@pytest.mark.parametrize("part", [16_384, 7])
 def test_stage_keeps_one_of_planted_near_copies(spark, part, monkeypatch):
     monkeypatch.setattr(copies, "PART", part)
     monkeypatch.setattr(copies, "GUESTS", part + 2)
