@@ -7,13 +7,14 @@ twenty measured channels, and a large purchase is the positive label.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit import catalog, session
 from panelkit.catalog import LABEL, PanelSpec
 from panelkit.functions import clinical
-from panelkit.models import classical
+from panelkit.models import classical, stages
 from panelkit.operators import (balance, explain, impute, metrics, panel, profile,
                                 selection, split)
 from panelkit.plans import evaluation, model
@@ -360,6 +361,13 @@ def mlp_score(spark, sf):
     return scored.select("user_id", "prediction_probability", "alert_level", "is_above_threshold")
 
 
+def ml_pipeline(spark, sf):
+    """Imputation to classifier as one estimator, fitted on all vectors and applied to them."""
+    rows = vectors(spark, sf).persist()
+    fitted = stages.training_pipeline("user_id").fit(rows)
+    return fitted.transform(rows).select("user_id", LABEL, vector_to_array("probability")[1].alias("prob"))
+
+
 def score_latent(spark, sf):
     out = _latent_model(spark, sf).explain(vectors(spark, sf), "user_id")
     return out.select("user_id", "sepsis_probability", "alert_level", "is_sepsis_onset_6h",
@@ -515,7 +523,7 @@ QUERIES = [
     holdout_split, stratified_folds, kfold, group_folds, fold_leak_check, balance_targets,
     downsample_exact, replicate_up, interpolate_pairs, cluster_undersample, smote, balance_classes,
     balance_hourly,
-    knn_classify, gaussian_nb, recon_mse, pca_latent, pca_variance, mlp_score, score_latent, cv_leakfree,
+    knn_classify, gaussian_nb, recon_mse, pca_latent, pca_variance, mlp_score, ml_pipeline, score_latent, cv_leakfree,
     cv_balanced, baseline_table,
     chi2_scores, mi_binned, mi_knn, select_features, binary_metrics, log_loss, fold_summary,
     background_sample, perturb_shap, waterfall, waterfall_top3, global_importance, dhm_scores, dhm_rank,

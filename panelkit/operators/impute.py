@@ -9,7 +9,7 @@ the treatment the training data had. Noise is drawn from a hash of the row's key
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -238,8 +238,8 @@ class ChainedImputer:
 
         return source.mapInPandas(fill, df.schema)
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """The fitted steps as one small table; columns are named in order."""
+    def to_arrays(self) -> dict[str, np.ndarray]:
+        """The fitted steps as named arrays; columns are named in order."""
         arrays = {"start": self.start, "seed": np.array([self.seed]), "count": np.array([len(self.steps)])}
         arrays |= {f"column:{c}": np.array([i]) for i, c in enumerate(self.columns)}
         for i, s in enumerate(self.steps):
@@ -247,16 +247,23 @@ class ChainedImputer:
                        f"{i}:centre": s.centre}
             if s.spread is not None:
                 arrays[f"{i}:spread"] = s.spread
-        artifacts.save(spark, path, arrays)
+        return arrays
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "ChainedImputer":
-        a = artifacts.load(spark, path)
+    def from_arrays(cls, a: Mapping[str, np.ndarray], seed: int | None = None) -> "ChainedImputer":
         columns = sorted((n for n in a if n.startswith("column:")), key=lambda n: a[n][0])
         steps = [Step(int(a[f"{i}:one"][0]), float(a[f"{i}:one"][1]), a[f"{i}:coef"], a[f"{i}:centre"],
                       a.get(f"{i}:spread"), float(a[f"{i}:one"][2])) for i in range(int(a["count"][0]))]
         names = [c.partition(":")[2] for c in columns]
-        return cls(names, seed=int(a["seed"][0]), steps=steps, start=a["start"], columns=names)
+        return cls(names, seed=int(a["seed"][0]) if seed is None else seed, steps=steps, start=a["start"], columns=names)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted steps as one small table."""
+        artifacts.save(spark, path, self.to_arrays())
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "ChainedImputer":
+        return cls.from_arrays(artifacts.load(spark, path))
 
     def fit_transform(self, df: DataFrame, key: str) -> DataFrame:
         return self.fit(df, key).transform(df, key)
