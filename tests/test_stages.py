@@ -10,7 +10,7 @@ from panelkit.models import stages
 from panelkit.operators import impute, selection
 
 
-FEATURES = ["HR", "Temp", "Resp", "WBC", "SIRS", "Gender"]
+FEATURES = [*[f for f in catalog.FEATURES if f not in ("SIRS", "Gender")][:4], "SIRS"]
 SMALL = dict(features=FEATURES, sweeps=1, method="binned", k=3)
 
 
