@@ -139,9 +139,12 @@ def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold
 
     license, dice and license_line are those of the best match: highest coefficient, then first line, then first
     template; null without one. license_lines counts lines with a match, licenses lists the names of each line's
-    best match, sorted, without repeats. Null and empty texts have none. Other columns pass through.
+    best match, sorted, without repeats. Null and empty texts have none. Other columns pass through; where they have
+    the name of an added one, that gets underscores.
     """
-    found = docs.withColumn("mk_matches", line_matches(F.coalesce(F.col(text_col), F.lit("")), templates, threshold))
+    named = [f"mk_{i}" for i in range(len(docs.columns))]
+    text = F.coalesce(F.col(named[docs.columns.index(text_col)]), F.lit(""))
+    found = docs.toDF(*named).withColumn("mk_matches", line_matches(text, templates, threshold))
     better = lambda a, b: ((a["dice"] > b["dice"]) | (a["dice"] == b["dice"]) & (
         (a["line"] < b["line"]) | (a["line"] == b["line"]) & (a["nth"] < b["nth"])))
     best = F.aggregate("mk_matches", F.element_at(F.col("mk_matches"), 1),
@@ -149,10 +152,11 @@ def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold
     best = F.when(F.size("mk_matches") > 0, best)
     tops = F.filter("mk_matches", lambda m: ~F.exists(
         "mk_matches", lambda o: (o["line"] == m["line"]) & better(o, m)))
-    return found.select(
-        "*", best["license"].alias("license"), best["dice"].alias("dice"), best["line"].alias("license_line"),
-        F.size(tops).alias("license_lines"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(tops, lambda m: m["license"]))), ",").alias("licenses"))
+    added = {"mk_matches": F.col("mk_matches"), "license": best["license"], "dice": best["dice"],
+             "license_line": best["line"], "license_lines": F.size(tops),
+             "licenses": F.array_join(F.array_sort(F.array_distinct(F.transform(tops, lambda m: m["license"]))), ",")}
+    return found.select(*named, *added.values()).toDF(
+        *docs.columns, *[common.unused(docs.columns, c) for c in added])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,8 +135,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Documents of which nothing is taken are left out. Equal rows are told apart by a running number.
     """
-    named = docs.toDF(*[f"mk_{c}" for c in docs.columns])
-    named = named.withColumn("mk_row", F.xxhash64(*named.columns))
+    # The four columns that count here by name, all others by place.
+    known = ("doc_id", "source", "text", "n_chars")
+    places = [f"mk_{c}" if c in known else f"mk_other_{i}" for i, c in enumerate(docs.columns)]
+    named = docs.toDF(*places)
+    named = named.withColumn("mk_row", F.xxhash64(*places))
     sized = named.select(F.col("mk_doc_id").alias("doc_id"), F.col("mk_source").alias("source"),
                          word_count(F.col("mk_text")).alias("size"), "mk_row")
     ours, theirs = Window.partitionBy("mk_row", "mk_doc_id"), Window.partitionBy("mk_row", "doc_id")
@@ -155,5 +158,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
                       F.when(some + F.col("wrapped") > 0, F.array(last)).otherwise(F.array().cast("array<string>")))
     rows = both.withColumn("mk_copy", F.explode(copies))
     chars = F.when(F.col("mk_copy") == F.col("mk_text"), F.col("mk_n_chars")).otherwise(F.length("mk_copy"))
-    made = {"text": F.col("mk_copy"), "n_chars": chars}
-    return rows.select(*[made.get(c, F.col(f"`mk_{c}`")).alias(c) for c in docs.columns])
+    made = {"mk_text": F.col("mk_copy"), "mk_n_chars": chars}
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in places]).toDF(*docs.columns)

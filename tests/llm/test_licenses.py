@@ -61,3 +61,10 @@ def test_prunings_lose_nothing(threshold):
 
 def test_lowest_words_agree_with_the_query_pattern():
     assert re.sub(r"[\W_]+", " ", "CC BY-NC 4.0".lower()).split() == licenses.words_of("CC BY-NC 4.0")
+
+
+def test_clashing_names_come_back(spark):
+    rows = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0.", "own", 0.5, 7)],
+                                 "doc_id long, text string, license string, dice double, mk_matches int")
+    got = licenses.scan(rows).first()
+    assert (got.license, got.dice, got.mk_matches) == ("own", 0.5, 7) and got.license_ and got.dice_ >= licenses.THRESHOLD

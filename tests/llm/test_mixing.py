@@ -90,3 +90,12 @@ def test_mixed_documents_hold_the_words_taken(spark):
     for r in rows:
         own.setdefault(r[0], set()).update((r[1] or "").split())
     assert all(set(r.text.split()) <= own[None if pd.isna(r.doc_id) else int(r.doc_id)] for r in got.itertuples())
+
+
+def test_clashing_names_come_back(spark):
+    docs = table(spark, rows_of({"a": [40] * 5, "b": [9] * 30})).withColumns(
+        {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("row", "nth", "copy", "rounds", "mk_row", "id")})
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 10
+    for c in ("row", "nth", "copy", "rounds", "mk_row", "id"):
+        assert mixed.where(F.col(c) != F.concat(F.lit(c), F.col("doc_id").cast("string"))).count() == 0

@@ -2,9 +2,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelkit.llm import mixing, pieces, quality
+from panelkit.llm import common, mixing, pieces, quality
 from tests.llm.test_minhash import jaccard, shingles
 from tests.llm.test_secrets import brute as secrets_of
 
@@ -86,3 +87,15 @@ def test_run_and_entry(spark):
     import __spark_entry__ as entry
     out = entry.queries()["pipeline"](spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and "pipeline" not in entry.oracle_sql()
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns(
+        {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in (
+            "mk_score", "quality_score", "mk_before", "before", "mk_row", "mk_spans", "row", "nth", "copy")})
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = common.settle(stage(spark, now, "/root/testdata/sf0.001"))
+        assert now.columns == docs.columns
+    for c in docs.columns[5:]:
+        assert now.where(F.col(c) != F.concat(F.lit(c), F.col("doc_id").cast("string"))).count() == 0
