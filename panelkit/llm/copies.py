@@ -258,7 +258,9 @@ def set_roots(own: DataFrame, texts: DataFrame, scratch: common.Scratch) -> Data
 
     def joined(more: DataFrame) -> tuple[DataFrame, DataFrame]:
         more = scratch.keep(more if edges is None else edges.union(more))
-        return more, scratch.keep(graph.components(more))
+        with common.tidy(scratch.spark):
+            found = graph.components(more)
+        return more, scratch.keep(found)
 
     for _ in range(2):
         pairs = placed().where("mk_comp <> mk_led").groupBy(F.col("mk_set").alias("b")).agg(F.min("mk_lead").alias("a"))
