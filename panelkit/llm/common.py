@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,30 +34,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of jobs in here go when their job ends, instead of when the driver next collects garbage."""
-    before = spark.conf.get(TIDY, "false")
-    spark.conf.set(TIDY, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(TIDY, before)
-
-
 class Scratch:
     """Tables in the shared folder that only live until ``drop``, and shuffles that only live as long as their job.
 
     What is read from them has to be kept elsewhere before they are dropped.
     """
 
+    SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         path, self.count = f"{self.folder}/{self.count}", self.count + 1
-        with tidy(self.spark):
+        before = self.spark.conf.get(self.SETTING, "false")
+        self.spark.conf.set(self.SETTING, "true")
+        try:
             df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.SETTING, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
