@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -6,31 +7,48 @@ import pytest
 from panelkit.llm import licenses
 
 
-def dice(a, b):
-    a, b = Counter(licenses.pairs_of(a)), Counter(licenses.pairs_of(b))
-    total = sum(a.values()) + sum(b.values())
-    return 2 * sum((a & b).values()) / total if total else 0.0
+def windows(text, nth):
+    """Of the windows of a text from each word on, the best one against a template, by counting every window."""
+    words = licenses.words_of(text)
+    own = Counter(licenses.pairs_of(licenses.TEMPLATES[nth][1]))
+    size = sum(own.values())
+    telling = [i for i, p in enumerate(zip(words, words[1:])) if " ".join(p) in own]
+    for start in telling:
+        best = (0.0,)
+        for stop in range(start + 1, min(len(words), start + 2 * size + 1)):
+            seen = Counter(f"{a} {b}" for a, b in zip(words[start:stop], words[start + 1:stop + 1]))
+            best = max(best, (2 * sum((own & seen).values()) / (size + stop - start), -(stop - start + 1)))
+        if best[0] >= licenses.THRESHOLD:
+            yield best[0], -best[1], -start, -nth
 
 
 def brute(text):
-    """(license, dice, line, lines, names) with every line against every template."""
-    best, names = [], set()
-    for n, line in enumerate((text or "").split("\n")):
-        found = [(-dice(line, t), n, i, name) for i, (name, t) in enumerate(licenses.TEMPLATES)]
-        found = [f for f in found if f[0] <= -licenses.THRESHOLD]
-        if found:
-            best.append(min(found))
-            names.add(min(found)[3])
-    top = min(best, default=None)
-    return (top and top[3], top and -top[0], top and top[1], len(best), ",".join(sorted(names)))
-
-
+    """(license, dice, start, words, places, names) from all windows of a text."""
+    found = sorted((w for nth in range(len(licenses.TEMPLATES)) for w in windows(text or "", nth)),
+                   key=lambda w: (-w[2], -w[3]))
+    kept = []
+    for w in found:
+        if kept and -w[2] < kept[-1][1] - kept[-1][2]:
+            kept[-1] = max(kept[-1], w)
+        else:
+            kept.append(w)
+    names = ",".join(sorted({licenses.TEMPLATES[-w[3]][0] for w in kept}))
+    if not kept:
+        return None, None, None, None, 0, names
+    top = max(kept)
+    return licenses.TEMPLATES[-top[3]][0], top[0], -top[2], top[1], len(kept), names
+
+
+BSD = next(t for name, t in licenses.TEMPLATES if name == "BSD-3-Clause" and len(t) > 500)
 TEXTS = [t for _, t in licenses.TEMPLATES] + [
     "RELEASED   under-the MIT... license", "prose\nLicensed under the Apache License, Version 2.0.\nmore", "License",
     "license license license license license", "Licensed under the MIT License. Licensed under the MIT License.",
     "Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.", "sublicensed under the mit",
     "This work is licensed under the GNU General Public License, version", "_Released_ under the MIT License éé",
-    "This work is licensed under the GNU Affero General Public License", "under the the mit under the", "copyright\n" * 500]
+    "This work is licensed under the GNU Affero General Public License", "under the the mit under the", "copyright\n" * 500,
+    "the software the software the software is provided as is " * 30, "Licensed under the ISC License.\n" * 40,
+    "Foo is released under the MIT License; see the LICENSE file.", "Copyright (c) 2020 Acme Inc. All rights reserved.",
+    textwrap.fill(BSD, 60, subsequent_indent=" * "), BSD.replace("holder", "owner or keeper") + " more"]
 
 
 def test_against_brute_force(spark, odd_docs, texts):
@@ -39,10 +57,30 @@ def test_against_brute_force(spark, odd_docs, texts):
     got = licenses.scan(df).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert (r.license, r.dice, r.license_line, r.license_lines, r.licenses) == brute(r.text), r.text
+        assert (r.license, r.dice, r.license_start, r.license_words, r.license_places, r.licenses) == brute(r.text), r.text
     assert licenses.scan(odd_docs).count() == odd_docs.count() and licenses.scan(odd_docs.limit(0)).count() == 0
 
 
+def test_wrapped_and_embedded_notices_are_found(spark):
+    lines = ["Redistribution and use in source and binary forms, with or", "// without modification, are permitted provided",
+             "// that the following conditions are met:"]
+    rows = [("\n".join(lines), "BSD-2-Clause"), (TEXTS[-4], "MIT"), (TEXTS[-3], "proprietary"), (TEXTS[-2], "BSD-3-Clause"),
+            ("The software is licensed to nobody, under the table.", None)]
+    for r in licenses.scan(spark.createDataFrame(rows, "text string, expected string")).collect():
+        assert r.license == r.expected, r.text
+
+
+def test_sql_gives_the_same_rows(spark, texts):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, t) for i, t in enumerate(TEXTS + texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    wanted = sorted(con.execute(licenses.sql()).fetchall())
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).drop("text", "mk_matches").collect()
+    assert sorted(tuple(r) for r in got) == wanted
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
 def test_prunings_lose_nothing(threshold):
     try:
