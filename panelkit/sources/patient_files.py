@@ -1,15 +1,20 @@
 """Ragged patient files (one stay per file, one row per hour) as one panel DataFrame.
 
-Headers differ between files, and Spark's CSV reader would map columns by position. Here every
-file's own header says where each channel stands. Small files are read whole, so header and rows
-meet without a shuffle; files above ``whole_file_bytes`` are read as splittable lines and joined
-with their header line.
+Headers differ between files, and Spark's CSV reader maps columns by position. Small ``.psv`` files are read whole,
+so header and rows meet without a shuffle. ``.csv`` files, and ``.psv`` files above ``whole_file_bytes``, are grouped
+by their header line, and each group goes through Spark's own CSV reader under its own schema: large files are split
+between tasks, and files with a line break inside quotes are read with ``multiLine``. A header is one line.
 """
 
 from __future__ import annotations
 
+import csv
+import re
+from collections import defaultdict
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,48 +49,77 @@ def _read(spark: SparkSession, roots, recursive: bool, whole: bool) -> DataFrame
     return reader.text(roots, wholetext=whole)
 
 
-def _cells(line: Column, path: Column) -> Column:
-    """Split a row at the separator its file extension calls for; commas may stand in quotes."""
-    plain = F.when(path.endswith(".psv"), F.split(line, r"\|", -1)).otherwise(F.split(line, ",", -1))
-    quoted = F.split(line, r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", -1)
-    parts = F.when(path.endswith(".csv") & line.contains('"'), quoted).otherwise(plain)
-    return F.transform(parts, lambda c: F.trim(F.regexp_replace(c, "[\"\r﻿]", "")))
+def _cells(line: Column, separator: str) -> Column:
+    """Split a plain row; quotes round a cell and a byte order mark go."""
+    return F.transform(F.split(line, separator, -1), lambda c: F.trim(F.regexp_replace(c, "[\"\r\ufeff]", "")))
 
 
-def _small_files(spark, roots, recursive, limit) -> DataFrame:
-    files = _read(spark, roots, recursive, True).filter(F.col("_metadata.file_size") <= limit).select(
+def _small_lines(spark, roots, recursive, limit) -> DataFrame:
+    """Every data line of the small ``.psv`` files, with its file's header."""
+    files = _read(spark, roots, recursive, True).filter(
+        (F.col("_metadata.file_size") <= limit) & F.col("_metadata.file_path").endswith(".psv")).select(
         "value", "_metadata.file_path", "_metadata.file_name")
     lines = F.split("value", "\r?\n", -1)
     files = files.select("file_path", "file_name", lines.alias("_lines"),
-                         _cells(F.get(lines, F.lit(0)), F.col("file_path")).alias("_header"))
+                         _cells(F.get(lines, F.lit(0)), r"\|").alias("_header"))
     rows = files.select("file_path", "file_name", "_header", F.posexplode("_lines").alias("line", "text"))
-    return rows.filter("line > 0").select(
-        "file_path", "file_name", "_header", "text", F.lit(0).cast("bigint").alias("part"),
-        F.col("line").cast("bigint").alias("line"),
+    return rows.filter("line > 0 and trim(text) <> ''").select(
+        "file_path", "file_name", "_header", _cells(F.col("text"), r"\|").alias("_cells"),
+        F.lit(0).cast("bigint").alias("part"), F.col("line").cast("bigint").alias("line"),
         F.floor(F.col("line") / LINES_PER_BLOCK).alias("_chunk"))
 
 
-def _large_files(spark, roots, recursive, limit) -> DataFrame:
-    lines = _read(spark, roots, recursive, False).filter(F.col("_metadata.file_size") > limit).select(
-        F.col("value").alias("text"), "_metadata.file_path", "_metadata.file_name",
-        F.col("_metadata.file_block_start").alias("part"),
-        F.monotonically_increasing_id().alias("line"))
-    headers = (lines.filter("part = 0").groupBy("file_path")
-               .agg(F.min(F.struct("line", "text")).alias("h"))
-               .select("file_path", F.col("h.line").alias("_at"),
-                       _cells(F.col("h.text"), F.col("file_path")).alias("_header")))
-    return (lines.join(headers, "file_path").filter("part > 0 or line <> _at")
-            .select("file_path", "file_name", "_header", "text", "part", "line",
-                    F.col("part").alias("_chunk")))
+@dataclass(frozen=True)
+class Layout:
+    """Files that Spark's CSV reader can read under one schema."""
 
+    header: tuple[str, ...]
+    separator: str
+    multiline: bool
+    paths: tuple[str, ...]
 
-def scan_lines(spark: SparkSession, paths, recursive: bool = True,
-               whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """Every data line of every file, with its file's header."""
-    roots = _roots(paths)
-    small = _small_files(spark, roots, recursive, whole_file_bytes)
-    large = _large_files(spark, roots, recursive, whole_file_bytes)
-    return small.unionByName(large).filter(F.trim("text") != "")
+
+def layouts(spark: SparkSession, paths, recursive: bool = True,
+            whole_file_bytes: int = WHOLE_FILE_BYTES) -> list[Layout]:
+    """The ``.csv`` and the large ``.psv`` files by header, separator and need of ``multiLine``.
+
+    One aggregate over their lines, combined before the shuffle: the first line of each file, and whether any line
+    has an odd number of quotes, which is where a quoted cell runs on. What reaches the driver is one row a file,
+    which Spark's own file listing holds there too.
+    """
+    path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    lines = _read(spark, _roots(paths), recursive, False).filter(path.endswith(".csv") | (size > whole_file_bytes))
+    first = F.when(F.col("_metadata.file_block_start") == 0, F.struct(F.monotonically_increasing_id(), "value"))
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    groups: dict[tuple, list[str]] = defaultdict(list)
+    for row in lines.select(path.alias("file_path"), "value", first.alias("first"), (odd % 2 == 1).alias("odd")).groupBy(
+            "file_path").agg(F.min("first")["value"].alias("header"), F.max("odd").alias("odd")).collect():
+        separator = "|" if row["file_path"].endswith(".psv") else ","
+        names = next(csv.reader([(row["header"] or "").lstrip("\ufeff")], delimiter=separator), [])
+        groups[tuple(n.strip() for n in names), separator, row["odd"]].append(row["file_path"])
+    return [Layout(*key, tuple(sorted(found))) for key, found in sorted(groups.items())]
+
+
+def _plain(name: str) -> Column:
+    """A listed file's name as it stands in its folder; listings have it encoded."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def _as_path(uri: str) -> str:
+    """A listed file's address as a reader's path: decoded, and its glob signs meant literally."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
+def _layout_rows(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Rows of one layout; cells by place, their lines numbered within each part of a file."""
+    cells = [f"_{i}" for i in range(len(layout.header))]
+    rows = (spark.read.schema(", ".join(f"{c} string" for c in cells)).option("sep", layout.separator)
+            .option("header", True).option("escape", '"').option("multiLine", layout.multiline)
+            .option("ignoreCorruptFiles", True).csv([_as_path(p) for p in layout.paths]))
+    return rows.select(
+        "_metadata.file_path", "_metadata.file_name", *[F.trim(c).alias(c) for c in cells],
+        F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"),
+        F.col("_metadata.file_block_start").alias("_chunk"))
 
 
 def file_table(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
@@ -95,10 +129,10 @@ def file_table(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
             .select("_metadata.file_path", "length"))
 
 
-def header_names(lines: DataFrame) -> list[str]:
+def header_names(lines: DataFrame, groups: Sequence[Layout] = ()) -> list[str]:
     """All column names that occur in any header, sorted."""
     names = lines.select(F.explode("_header").alias("name")).distinct().filter("name <> ''")
-    return sorted(r["name"] for r in names.collect())
+    return sorted({r["name"] for r in names.collect()} | {n for g in groups for n in g.header if n})
 
 
 def scan_panel(spark: SparkSession, paths, channels: Sequence[str] | None = catalog.MEASURED,
@@ -112,29 +146,36 @@ def scan_panel(spark: SparkSession, paths, channels: Sequence[str] | None = cata
     keeps every column found in any header. ``max_files`` draws that many files first. Raises if
     there is no input or nothing usable.
     """
-    lines, files = scan_lines(spark, paths, recursive, whole_file_bytes), file_table(spark, paths, recursive)
+    files = file_table(spark, paths, recursive)
     if files.isEmpty():
         raise FileNotFoundError(f"no .psv or .csv patient files in {paths}")
-    if max_files is not None:
-        drawn = ranking.take_exact(files.select("file_path"), max_files, "file_path", f"files:{seed}")
-        lines = lines.join(drawn, "file_path", "left_semi")
+    lines = _small_lines(spark, _roots(paths), recursive, whole_file_bytes)
+    groups = [g for g in layouts(spark, paths, recursive, whole_file_bytes) if not label or label in g.header]
     if channels is None:
-        channels = [c for c in header_names(lines) if c not in (ORDER, label)]
+        channels = [c for c in header_names(lines, groups) if c not in (ORDER, label)]
     wanted = [ORDER, *channels] + ([label] if label else [])
-    places = lines
     if label:
-        places = places.filter(F.array_contains("_header", label))
-    cell = _cells(F.col("text"), F.col("file_path"))
-    placed = places.withColumn("_cells", cell)
+        lines = lines.filter(F.array_contains("_header", label))
 
-    def value(name):
+    def values(rows, text):
+        number = {c: missing_as_null(text(c).try_cast("double")) for c in wanted}
+        return rows.select(
+            "file_path", F.regexp_extract(_plain("file_name"), r"^(.*)\.[^.]+$", 1).alias("patient_id"),
+            *[number[c].alias(c) for c in wanted], "part", "line", "_chunk")
+
+    def in_line(name):
         at = F.array_position("_header", name).cast("int")
-        text = F.when(at > 0, F.get("_cells", at - 1))
-        return missing_as_null(text.try_cast("double"))
+        return F.when(at > 0, F.get("_cells", at - 1))
+
+    def in_group(group):
+        return lambda name: (F.col(f"_{group.header.index(name)}") if name in group.header
+                             else F.lit(None).cast("string"))
 
-    panel = placed.select(
-        "file_path", F.regexp_extract("file_name", r"^(.*)\.[^.]+$", 1).alias("patient_id"),
-        *[value(c).alias(c) for c in wanted], "part", "line", "_chunk")
+    panel = reduce(DataFrame.unionByName, [values(_layout_rows(spark, g), in_group(g)) for g in groups],
+                   values(lines, in_line))
+    if max_files is not None:
+        drawn = ranking.take_exact(files.select("file_path"), max_files, "file_path", f"files:{seed}")
+        panel = panel.join(drawn, "file_path", "left_semi")
     if label:
         panel = panel.withColumn(label, F.col(label).cast("int"))
     hours = F.floor(F.col(ORDER) / HOURS_PER_BLOCK)

@@ -72,6 +72,38 @@ def test_files_above_the_limit_are_read_once_each(spark, tmp_path):
     assert a.count() == b.count() == 401 and a.exceptAll(b).isEmpty()
 
 
+def test_line_breaks_quotes_and_separators_inside_cells(spark, tmp_path):
+    head = 'ICULOS,Note,Temp,"HR",SepsisLabel'
+    write(tmp_path / "a" / "p 1 [x].csv", '1,"said ""ill"",', 'then slept",36.1,70,0', '2,"a,b",36.2,71,0', "",
+          '3,,NaN,"72",1', head=head)
+    write(tmp_path / "b" / "plain.csv", "1,x,37.1,80,0", "2,y,37.2", head=head)
+    write(tmp_path / "c" / "other.csv", '39.5,"two', 'lines",4,0', head="Temp,Note,ICULOS,SepsisLabel")
+    write(tmp_path / "d" / "p.psv", "5|38.1|0", head="ICULOS|Temp|SepsisLabel")
+    for limit in (patient_files.WHOLE_FILE_BYTES, 0):
+        rows = patient_files.scan_panel(spark, str(tmp_path), ("Temp", "HR"), label=None,
+                                        whole_file_bytes=limit).orderBy("patient_id", "ord").collect()
+        assert [(r["patient_id"], r["ICULOS"], r["Temp"], r["HR"]) for r in rows] == [
+            ("other", 4, 39.5, None), ("p", 5, 38.1, None), ("p 1 [x]", 1, 36.1, 70), ("p 1 [x]", 2, 36.2, 71),
+            ("p 1 [x]", 3, None, 72), ("plain", 1, 37.1, 80), ("plain", 2, 37.2, None)]
+    groups = patient_files.layouts(spark, str(tmp_path))
+    assert len(groups) == 3 and sorted(g.multiline for g in groups) == [False, True, True]
+
+
+def test_large_files_are_split_without_a_shuffle_of_their_rows(spark, tmp_path):
+    head = "ICULOS,HR,Temp,SepsisLabel"
+    write(tmp_path / "large.csv", *[f"{i},{i % 50},36.{i % 9},0" for i in range(1, 3001)], head=head)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = patient_files.scan_panel(spark, str(tmp_path), ("HR", "Temp"), whole_file_bytes=100)
+        assert rows.rdd.getNumPartitions() > 4
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        got = rows.orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["ICULOS"], r["HR"]) for r in got] == [(i, i % 50) for i in range(1, 3001)]
+
+
 def test_no_input_and_nothing_usable(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         patient_files.scan_panel(spark, str(tmp_path))
