@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.functions import hashing
+from panelkit.models import boosting
 from panelkit.operators import metrics, neighbors, profile
 from panelkit.session import right_size, sum_arrays
 
@@ -109,6 +112,78 @@ def _rbf_svm(train, test, features, label, key, iterations=20):
         key, label, F.col(PRED).cast("int").alias(PRED))
 
 
+def platt(scored: DataFrame, margin: str, label: str, rounds: int = 100) -> tuple[float, float]:
+    """Platt's sigmoid: (a, b) such that 1 / (1 + exp(a * margin + b)) is the probability of class 1.
+
+    Newton steps on the smoothed targets of Platt (1999), halved until the loss falls. A step is one aggregate for
+    its sums and one for the losses of all halvings. Rows without margin or label don't count; without rows of
+    either class the targets alone decide.
+    """
+    scored = scored.select(F.col(margin).cast("double").alias("f"), F.col(label).cast("double").alias("y")).dropna()
+    f, y = F.col("f"), F.col("y")
+    size = scored.agg(F.count("y").alias("n"), F.sum("y").alias("ones")).first()
+    ones = size["ones"] or 0.0
+    zeros = size["n"] - ones
+    target = F.when(y == 1, F.lit((ones + 1) / (ones + 2))).otherwise(F.lit(1 / (zeros + 2)))
+
+    def loss(a: float, b: float) -> Column:
+        z = F.lit(a) * f + F.lit(b)
+        return F.sum(F.when(z >= 0, target * z + F.log1p(F.exp(-z))).otherwise((target - 1) * z + F.log1p(F.exp(z))))
+
+    a, b = 0.0, math.log((zeros + 1) / (ones + 1))
+    for _ in range(rounds if size["n"] else 0):
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(a) * f + F.lit(b)))
+        s = scored.select("f", "y", (target - p).alias("g"), (p * (1 - p)).alias("h")).agg(
+            F.sum(f * F.col("g")).alias("ga"), F.sum("g").alias("gb"), F.sum(f * f * F.col("h")).alias("haa"),
+            F.sum(f * F.col("h")).alias("hab"), F.sum("h").alias("hbb"), loss(a, b).alias("now")).first()
+        if max(abs(s["ga"]), abs(s["gb"])) < 1e-9 * size["n"]:
+            break
+        haa, hbb = s["haa"] + 1e-12, s["hbb"] + 1e-12
+        det = haa * hbb - s["hab"] ** 2
+        da, db = (s["hab"] * s["gb"] - hbb * s["ga"]) / det, (s["hab"] * s["ga"] - haa * s["gb"]) / det
+        slope, halves = s["ga"] * da + s["gb"] * db, [0.5 ** i for i in range(12)]
+        losses = scored.agg(*[loss(a + h * da, b + h * db).alias(f"_{i}") for i, h in enumerate(halves)]).first()
+        step = next((h for h, v in zip(halves, losses) if v < s["now"] + 1e-4 * h * slope), None)
+        if step is None:
+            break
+        a, b = a + step * da, b + step * db
+    return a, b
+
+
+def rbf_svm(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str, iterations: int = 20,
+            folds: int = 3) -> DataFrame:
+    """The RBF machine with probabilities: ``key``, ``label``, ``margin``, ``prob`` and ``prediction``.
+
+    The sigmoid is fitted on margins of rows that the machine behind them hasn't seen: ``folds`` machines, each
+    without the rows of its fold, which a hash of the key decides. The predictions are the final machine's, by the
+    sign of its margin, so near 0 they may differ from ``prob`` >= 0.5.
+    """
+    variance = train.agg(*[F.var_pop(f).alias(f) for f in features]).first()
+    gamma = 1.0 / (len(features) * max(sum(v or 0.0 for v in variance) / len(features), 1e-12))
+    machine = LinearSVC(maxIter=iterations, regParam=1e-3, featuresCol=VEC, labelCol=label)
+    fold = hashing.pick(key, "platt", folds)
+    mapped = fourier_features(train, features, gamma).withColumn("_fold", fold).persist()
+
+    def margins(model, rows):
+        return model.transform(rows).withColumn("margin", vector_to_array("rawPrediction")[1])
+
+    held = [margins(machine.fit(mapped.where(F.col("_fold") != k)), mapped.where(F.col("_fold") == k)).select(
+        "margin", label) for k in range(folds)]
+    unseen = reduce(DataFrame.unionByName, held).persist()
+    a, b = platt(unseen, "margin", label)
+    out = margins(machine.fit(mapped), fourier_features(test, features, gamma)).select(
+        key, label, "margin", (1 / (1 + F.exp(F.lit(a) * F.col("margin") + F.lit(b)))).alias("prob"),
+        F.col(PRED).cast("int").alias(PRED))
+    unseen.unpersist()
+    mapped.unpersist()
+    return out
+
+
+def _histogram_boosting(train, test, features, label, key):
+    fitted = boosting.HistogramBoosting.fit(train, features, label)
+    return test.select(key, label, (fitted.probability() > 0.5).cast("int").alias(PRED))
+
+
 def _miss_weight(x: np.ndarray, y: np.ndarray, stumps) -> np.ndarray:
     total = np.zeros(len(x))
     for alpha, f, split, left, right in stumps:
@@ -185,7 +260,7 @@ def models(seed: int = 42, forest_depth: int = 30, svm_iterations: int = 20) ->
         "Random Forest": _fitted(lambda _: RandomForestClassifier(
             numTrees=100, maxDepth=forest_depth, seed=seed)),
         "Naïve Bayes": _naive_bayes,
-        "XG Boost": _fitted(lambda _: GBTClassifier(maxIter=100, maxDepth=5, maxBins=255, stepSize=0.1, seed=seed)),
+        "XG Boost": _histogram_boosting,
         "Decision Tree": _fitted(lambda _: DecisionTreeClassifier(maxDepth=6, seed=seed)),
         "SVM": lambda *args: _rbf_svm(*args, iterations=svm_iterations),
         "Logistic Regression": _fitted(lambda train: LogisticRegression(
