@@ -488,7 +488,8 @@ def score_records(spark, sf):
     return rounded(out.withColumns({
         "n_warnings": F.size("warnings"), "top_feature": F.col("shap_waterfall")[0]["feature"],
         "top_value": F.col("shap_waterfall")[0]["patient_value"],
-        "top_shap": F.col("shap_waterfall")[0]["shap_value"]}).drop("warnings", "shap_waterfall"))
+        "top_shap": F.col("shap_waterfall")[0]["shap_value"]}).drop(
+        "warnings", "shap_waterfall", "model_architecture", "disclaimer"))
 
 
 def score_json(spark, sf):

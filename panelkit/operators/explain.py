@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelkit import catalog
 from panelkit.functions.hashing import digest
 
+MOST_BACKGROUND = 10_000  # rows of a background that ride along with every row
 BACKGROUND_ROWS = 100  # usual size of the reference population that attributions compare with
 
 
@@ -73,13 +74,15 @@ def attributions(df: DataFrame, features: Sequence[str], score: Callable[[Mappin
     cancel out, that difference is shared equally. An empty background gives null.
 
     ``reference`` is the background as the caller chose it (see ``background``), all of it: a DataFrame, which
-    becomes one array beside the rows, or rows of numbers, for streams. ``used`` names the features that the score
+    becomes one array beside the rows, or rows of numbers, for streams. More than ``MOST_BACKGROUND`` rows raise. ``used`` names the features that the score
     depends on, if not all do; the others' drop is zero.
     """
     names = list(features)
     used = set(names if used is None else used)
     if isinstance(reference, DataFrame):
         one = F.struct(*[F.col(f).cast("double").alias(f) for f in names])
+        if reference.limit(MOST_BACKGROUND + 1).count() > MOST_BACKGROUND:
+            raise ValueError(f"a background of over {MOST_BACKGROUND} rows; take a sample (see background)")
         rows = reference.agg(F.collect_list(one)).scalar()
     else:
         rows = F.array(*[F.struct(*[F.lit(float(v)).alias(f) for f, v in zip(names, r)]) for r in reference])

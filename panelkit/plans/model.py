@@ -20,6 +20,7 @@ from panelkit.operators import explain, profile
 from panelkit.sources import artifacts
 
 DIMENSIONS = 11
+DISCLAIMER = "For research and decision support only; not a clinical diagnosis and no basis for automated decisions."
 
 
 def latent_names(k: int) -> list[str]:
@@ -73,13 +74,13 @@ class LatentModel:
         """``keep`` columns plus ``prob``."""
         latent = self.latents(df, keep)
         names = [c for c in latent.columns if c not in keep]
-        return latent.select(*keep, self.classifier.probability([F.col(n) for n in names]).alias("prob"))
+        return latent.select(*keep, self.classifier.score([F.col(n) for n in names]).alias("prob"))
 
-    def explain(self, df: DataFrame, key: str) -> DataFrame:
+    def explain(self, df: DataFrame, key: str, method: str | None = None) -> DataFrame:
         """Score records and say why: band, latent vector, waterfall.
 
         Missing features take the lower bound of their normal range. Attributions are of the latent dimensions
-        and named so.
+        and named so. ``method`` is "perturbation" or "gradient"; unless given, wide classifiers take gradients.
         """
         filled = df.select(key, *[clinical.default_fill(
             F.col(f) if f in df.columns else F.lit(None), f, "lower").alias(f) for f in self.features])
@@ -89,8 +90,12 @@ class LatentModel:
         def score(values: Mapping[str, Column]) -> Column:
             return self.classifier.probability([values[n] for n in names])
 
-        out = explain.attributions(latent.withColumn("prob", score({n: F.col(n) for n in names})), names, score,
-                                   self.background)
+        own = [F.col(n) for n in names]
+        scored = latent.withColumn("prob", self.classifier.score(own))
+        if _by_gradient(self.classifier, method):
+            out = scored.withColumn("attributions", self.classifier.expected_gradients(own, self.background))
+        else:
+            out = explain.attributions(scored, names, score, self.background)
         return out.select(
             key, F.round("prob", 4).alias("sepsis_probability"),
             clinical.alert_level(F.col("prob")).alias("alert_level"),
@@ -137,20 +142,43 @@ class RecordModel:
         df.unpersist()
         return fitted
 
+    def _scaled(self, values: Mapping[str, Column]) -> list[Column]:
+        return [(values[f] - float(m)) / float(s) for f, m, s in zip(catalog.BOTTLENECK, self.mean, self.scale)]
+
     def score(self, values: Mapping[str, Column]) -> Column:
         """Probability as a function of the features' columns."""
         if self.classifier is None:
             return clinical.rule_probability(values)
-        return self.classifier.probability([(values[f] - float(m)) / float(s) for f, m, s in zip(
-            catalog.BOTTLENECK, self.mean, self.scale)])
+        return self.classifier.probability(self._scaled(values))
+
+    @property
+    def architecture(self) -> str:
+        """What scores, in a few words."""
+        if self.classifier is None:
+            return "bedside rule"
+        return "perceptron " + " -> ".join(str(n) for n in self.classifier.layers)
+
+    def score_records(self, df: DataFrame, keep: Sequence[str], vitals: str = "vitals",
+                      method: str | None = None) -> DataFrame:
+        """Score a map of vitals per record: checks, probability, band, wording, waterfall.
 
-    def score_records(self, df: DataFrame, keep: Sequence[str], vitals: str = "vitals") -> DataFrame:
-        """Score a map of vitals per record: checks, probability, band, wording, waterfall."""
+        ``method`` is "perturbation" or "gradient"; unless given, wide classifiers take gradients. The rule has
+        none and is always perturbed.
+        """
         accepted = clinical.accept_record(df, {f: F.col(vitals)[f] for f in catalog.FEATURES}, keep)
-        scored = accepted.withColumn("prob", self.score({f: F.col(f) for f in catalog.BOTTLENECK}))
-        used = clinical.RULE_DEFAULTS if self.classifier is None else None
-        return scored_records(explain.attributions(scored, catalog.BOTTLENECK, self.score, self.background,
-                                                   used=used), keep)
+        own = {f: F.col(f) for f in catalog.BOTTLENECK}
+        if self.classifier is None:
+            explained = explain.attributions(accepted.withColumn("prob", self.score(own)), catalog.BOTTLENECK,
+                                             self.score, self.background, used=clinical.RULE_DEFAULTS)
+        else:
+            scored = accepted.withColumn("prob", self.classifier.score(self._scaled(own)))
+            if _by_gradient(self.classifier, method):
+                background = (self.background - self.mean) / self.scale
+                explained = scored.withColumn("attributions", self.classifier.expected_gradients(
+                    self._scaled(own), background))
+            else:
+                explained = explain.attributions(scored, catalog.BOTTLENECK, self.score, self.background)
+        return scored_records(explained, keep, self.architecture)
 
     def save(self, spark: SparkSession, path: str) -> None:
         fitted = {} if self.classifier is None else {
@@ -164,7 +192,15 @@ class RecordModel:
         return cls(a["mean"], a["scale"], known, a["background"])
 
 
-def scored_records(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+def _by_gradient(classifier: Perceptron, method: str | None) -> bool:
+    if method not in (None, "perturbation", "gradient"):
+        raise ValueError(f"no attribution method {method!r}")
+    if method == "perturbation" and classifier.wide:
+        raise ValueError("a wide classifier has no expression to perturb")
+    return method == "gradient" or classifier.wide
+
+
+def scored_records(df: DataFrame, keep: Sequence[str], architecture: str = "bedside rule") -> DataFrame:
     """Shape rows with ``prob``, ``warnings`` and ``attributions`` into score records."""
     band = clinical.risk_band("prob")
     values = {f: F.col(f) for f in catalog.BOTTLENECK}
@@ -172,4 +208,5 @@ def scored_records(df: DataFrame, keep: Sequence[str]) -> DataFrame:
         *keep, F.round("prob", 4).alias("prediction_probability"),
         *[c.alias(n) for n, c in band.items()],
         F.lit(catalog.DECISION_THRESHOLD).alias("decision_threshold"), "warnings",
-        explain.waterfall(catalog.BOTTLENECK, values=values).alias("shap_waterfall"))
+        explain.waterfall(catalog.BOTTLENECK, values=values).alias("shap_waterfall"),
+        F.lit(architecture).alias("model_architecture"), F.lit(DISCLAIMER).alias("disclaimer"))

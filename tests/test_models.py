@@ -67,6 +67,28 @@ def test_record_model(spark, clean, tmp_path, trained):
     assert 0 <= row["prediction_probability"] <= 1 and row["decision_threshold"] == 0.30
     assert len(row["shap_waterfall"]) == 11 and row["warnings"] == []
     assert {w["feature"]: w["patient_value"] for w in row["shap_waterfall"]}["Temp"] == 40.22
+    assert row["disclaimer"] and row["model_architecture"] == ("perceptron 11 -> 8 -> 2" if trained else "bedside rule")
+
+
+def test_wide_record_model_is_explained_by_gradients(spark, clean):
+    fitted = model.RecordModel.fit(clean, "row_id", LABEL, hidden=(128, 64, 32), max_iter=5)
+    df = spark.createDataFrame([(1, {"HR": "120", "Temp": "39.5"})], "id int, vitals map<string,string>")
+    row = fitted.score_records(df, ["id"]).first()
+    total = sum(w["shap_value"] for w in row["shap_waterfall"])
+    values = {w["feature"]: w["patient_value"] for w in row["shap_waterfall"]}
+    assert 0 <= row["prediction_probability"] <= 1 and row["model_architecture"] == "perceptron 11 -> 128 -> 64 -> 32 -> 2"
+    background = spark.createDataFrame([(list(map(float, r)),) for r in (fitted.background - fitted.mean) / fitted.scale],
+                                       "x array<double>")
+    base = background.select(F.avg(fitted.classifier.batch_probability([F.col("x")[i] for i in range(11)]))).first()[0]
+    assert values["Temp"] == 39.5 and abs(total - (row["prediction_probability"] - base)) < 2e-3
+    with pytest.raises(ValueError):
+        fitted.score_records(df, ["id"], method="perturbation")
+
+
+def test_a_background_of_any_size_is_refused(spark, clean):
+    with pytest.raises(ValueError):
+        explain.attributions(clean, catalog.BOTTLENECK, clinical.rule_probability,
+                             clean.crossJoin(spark.range(200)).select(clean.columns), used=clinical.RULE_DEFAULTS)
 
 
 def brute_attributions(score, x, background):
