@@ -18,10 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators import profile
-from panelkit.session import cut_lineage, sum_arrays
+from panelkit.session import cut_lineage, sum_buffers
 
 LEAST_GAIN = 1e-9
+ACCURACY = 10_000
+ROWS_PER_TASK = 65_536  # at least, where there are as many: jobs are short and many
 
 
 @dataclass
@@ -46,6 +47,14 @@ class Tree:
             node = np.where(inner, np.where(goes_left, self.left[node], self.right[node]), node)
 
 
+def edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
+    """Inner bin borders of each feature: values at its quantiles, each once, from one aggregate of sketches."""
+    shares = [i / bins for i in range(1, bins)]
+    value = {f: F.col(f).cast("double") for f in features}
+    row = df.agg(*[F.percentile_approx(F.when(~F.isnan(v), v), shares, ACCURACY) for v in value.values()]).first()
+    return [np.unique(np.asarray(q or [], "float64")) for q in row]
+
+
 def _chance(margin: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-margin))
 
@@ -126,10 +135,7 @@ class HistogramBoosting:
         if not 2 <= bins <= 255:
             raise ValueError("bins must lie between 2 and 255")
         names, width = list(features), bins + 1
-        edges = {r["feature"]: np.unique(np.asarray(r["q"], "float64")) for r in profile.quantiles(
-            df, names, [i / bins for i in range(1, bins)]).collect() if r["q"] is not None}
-        cuts = [edges.get(f, np.zeros(0)) for f in names]
-        cuts = [c[~np.isnan(c)] for c in cuts]
+        cuts = edges(df, names, bins)
         totals = df.agg(F.count(label).alias("n"), F.sum(F.col(label).cast("double")).alias("ones")).first()
         n, ones = totals["n"], totals["ones"] or 0.0
         start = float(np.log((ones + 1e-9) / (n - ones + 1e-9))) if n else 0.0
@@ -147,7 +153,7 @@ class HistogramBoosting:
         schema = "b binary, y double, m double"
         data = cut_lineage(df.where(F.col(label).isNotNull()).select(
             F.col(label).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in names]).mapInPandas(
-            binned, schema))
+            binned, schema).coalesce(-(-n // ROWS_PER_TASK)))
         pending: list[Tree] = []
 
         def rows_of(pdf, known):
@@ -171,9 +177,9 @@ class HistogramBoosting:
                         cell = at * width + x[:, j]
                         for k, w in enumerate((p - y, p * (1 - p), None)):
                             total[j, k] += np.bincount(cell, weights=w, minlength=total.shape[2])
-                yield pd.DataFrame({"v": [total.ravel()]})
+                yield pd.DataFrame({"v": [total.tobytes()]})
 
-            summed = sum_arrays(data.mapInPandas(partial, "v array<double>"), size)
+            summed = sum_buffers(data.mapInPandas(partial, "v binary"), size)
             return summed.reshape(len(names), 3, len(wanted), width).transpose(2, 0, 3, 1)
 
         for _ in range(rounds):

@@ -17,9 +17,8 @@ def made(spark, rows, seed=3):
     return x, y, spark.createDataFrame(table, "id int, a double, b double, c double, y int")
 
 
-def brute_boosting(x, y, rounds, depth, leaves, rate, bins, least):
+def brute_boosting(x, y, cuts, rounds, depth, leaves, rate, least):
     """One leaf at a time, always the best one, each split by trying every bin on the rows themselves."""
-    cuts = [np.unique(np.nanquantile(c, [i / bins for i in range(1, bins)])) for c in x.T]
     p0 = y.mean()
     margin = np.full(len(y), np.log((p0 * len(y) + 1e-9) / ((1 - p0) * len(y) + 1e-9)))
     for _ in range(rounds):
@@ -60,7 +59,12 @@ def test_boosting_equals_brute_force(spark, leaves, depth):
     x, y, df = made(spark, 240)
     options = dict(rounds=4, depth=depth, leaves=leaves, rate=0.3, bins=8, least_rows=10)
     fitted = boosting.HistogramBoosting.fit(df.repartition(3), ["a", "b", "c"], "y", keep_every=3, **options)
-    want = brute_boosting(x, y, 4, depth, leaves, 0.3, 8, 10)
+    cuts = boosting.edges(df, ["a", "b", "c"], 8)
+    for own, values in zip(cuts, x.T):
+        known = np.sort(values[~np.isnan(values)])
+        assert len(own) == 7 and np.isin(own, known).all()
+        assert np.abs(np.searchsorted(known, own, side="right") / len(known) - np.arange(1, 8) / 8).max() < 0.02
+    want = brute_boosting(x, y, cuts, 4, depth, leaves, 0.3, 10)
     assert len(fitted.trees) == 4
     assert np.allclose(fitted.margins(x), want, atol=1e-8)
     got = df.select("id", fitted.probability().alias("p")).orderBy("id").toPandas()["p"]
