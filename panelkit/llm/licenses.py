@@ -62,7 +62,7 @@ TEMPLATES = [
                 "rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "Copyright. All rights reserved."),
-    # Whole license texts, from the first sentence after the copyright line.
+    # MIT and ISC whole from the permission on, the clauses of BSD without its disclaimer, the long notice of Apache.
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files (the \"Software\"), to deal in the Software without restriction, "
             "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
