@@ -1,18 +1,24 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three transducers are compiled from a model file: the normaliser writes spaces as U+2581 and puts one in front,
-the pieces rewrite characters to ids, and the byte fallback rewrites a character that no piece covers to the ids
-of its bytes at a cost. Composed with a text they give a lattice, whose shortest path in the tropical semiring
-is the encoding. In a unigram model a piece costs its negative score. In a BPE model pieces cost nothing, but an
-acceptor over pairs bars neighbours that the merges of the model would not leave side by side: a sequence is the
-model's own encoding just if all its pairs are allowed, so the path of finite cost is the right one.
-
-No piece crosses from another character to U+2581, nor covers a line break; the lattice falls apart there, and
-paths of the parts are kept for reuse.
+Three transducers are compiled from a model file. The normaliser writes spaces as U+2581 and one more in front.
+The lexicon reads the characters of a piece along its states, writes the piece's id where one ends, and begins
+anew. The byte fallback reads a character that no piece covers and writes the ids of its bytes. The lexicon with
+its fallback is composed with the normaliser once, and with each text lazily, state by state, while the shortest path in the
+tropical semiring is sought: the cheapest state first, among equally cheap ones the farthest.
+
+In a unigram model a piece weighs its negative score. In a BPE model the weights come from an acceptor over pairs of
+pieces, composed in as well: 0 if the model's merges leave the two side by side, infinity if not. A sequence is the
+model's own encoding just if all its pairs weigh 0 (its states are the last piece written, so a place may be reached
+in several of them). Where ties among merges leave no path of finite weight, the merges themselves are carried out.
+
+No piece crosses from another character to U+2581, nor covers a line break; the composed machine returns to its start there,
+and paths of the parts are kept for reuse.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import struct
 from array import array
@@ -35,7 +41,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Parts kept for reuse in a worker, and the longest of them.
 KEPT = 600_000
 LONGEST = 64
-#: Cost of a character written as bytes.
+#: Pairs whose weight a worker remembers.
+PAIRS = 2_000_000
+#: Weight of a character written as bytes.
 FALLBACK = 1e6
 
 
@@ -91,6 +99,53 @@ class Model:
         return model
 
 
+@dataclass
+class Normaliser:
+    """A transducer of one state: a symbol is written as ``arcs`` has it, others as they are. ``front`` is read as if
+    it stood before the text."""
+    front: str = " "
+    arcs: dict[str, str] = field(default_factory=lambda: {" ": SPACE})
+
+
+@dataclass
+class Lexicon:
+    """The pieces and their byte fallback: arcs[state][symbol] is the next state, 0 the first.
+
+    ends[state] is the id written where a piece ends (-1: none does), from where it begins anew; weights[id] is what
+    that adds. A symbol that is no piece itself is written as the ids of ``spelled``.
+    """
+    arcs: list[dict[str, int]] = field(default_factory=lambda: [{}])
+    ends: list[int] = field(default_factory=lambda: [-1])
+    weights: list[float] = field(default_factory=list)
+    normal: dict[str, str] = field(default_factory=dict)
+    bytes: list[int] = field(default_factory=list)
+
+    def add(self, piece: str, own: int) -> None:
+        state = 0
+        for symbol in piece:
+            after = self.arcs[state].get(symbol)
+            if after is None:
+                after = self.arcs[state][symbol] = len(self.arcs)
+                self.arcs.append({})
+                self.ends.append(-1)
+            state = after
+        self.ends[state] = own
+
+    def spelled(self, symbol: str) -> list[int]:
+        """The byte fallback."""
+        return [self.bytes[b] for b in self.normal.get(symbol, symbol).encode()]
+
+    def after(self, normaliser: Normaliser) -> Lexicon:
+        """The composition: reads what the normaliser reads, and goes where its writing leads."""
+        changed = normaliser.arcs
+
+        def composed(arcs: dict[str, int]) -> dict[str, int]:
+            same = {y: state for y, state in arcs.items() if y not in changed}
+            return same | {x: arcs[y] for x, y in changed.items() if y in arcs}
+
+        return Lexicon([composed(own) for own in self.arcs], self.ends, self.weights, changed, self.bytes)
+
+
 @dataclass
 class Transducer:
     """The composed transducers of a model."""
@@ -101,124 +156,128 @@ class Transducer:
         pieces = self.model.pieces
         self.ids = {p: i for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER)}
         self.score = [s for _, s, _ in pieces]
+        self.scored = self.model.kind == UNIGRAM
+        if self.scored and any(self.score[i] > 0 for i in self.ids.values()):
+            raise ValueError("scores of a unigram model must be logarithms of probabilities")
         self.bytes = [i for _, i in sorted((int(p[3:5], 16), i) for i, (p, _, k) in enumerate(pieces) if k == BYTE)]
-        self.longest = max(map(len, self.ids), default=1)
+        lexicon = Lexicon(weights=[-s if self.scored else 0.0 for s in self.score], bytes=self.bytes)
+        for p, own in self.ids.items():
+            lexicon.add(p, own)
+        self.normaliser = Normaliser(" " if self.model.prefix else "")
+        self.machine = lexicon.after(self.normaliser)
         covered = set("".join(self.ids))
         apart = "".join(c for c in "\n\r\t" if c not in covered)
-        letter, other = r"[^\W\d_]", rf"(?:[^\w{SPACE}{apart}]|[\d_])"
-        part = rf"{SPACE}*{other}*{letter}+|{SPACE}*{other}+|{SPACE}+"
+        letter, other = r"[^\W\d_]", rf"(?:[^\w {SPACE}{apart}]|[\d_])"
+        part = rf"[ {SPACE}]*{other}*{letter}+|[ {SPACE}]*{other}+|[ {SPACE}]+"
         if any(re.search(rf"{letter}(?!{letter})(?s:.)", p) for p in self.ids):
-            part = rf"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+"
+            part = rf"[ {SPACE}]*[^ {SPACE}{apart}]+|[ {SPACE}]+"
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             part = "(?s:.+)"
         elif apart:
             part = f"[{apart}]|{part}"
         self.parts = re.compile(part)
-        # Longest piece that begins with four characters; up to three are always tried.
-        self.reach: dict[str, int] = {}
-        for p in self.ids:
-            if len(p) > 3:
-                self.reach[p[:4]] = max(self.reach.get(p[:4], 4), len(p))
-        self.allowed: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], float] = {}
         self.written = [b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else
                         bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode()
                         for p, _, k in pieces]
         self.kept = _Kept(self)
 
     def merged(self, text: str) -> list[str]:
-        """What a BPE model's merges make of a text: the best-scored neighbours first, then the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                own = self.ids.get(parts[i] + parts[i + 1])
-                if own is not None and (best is None or self.score[own] > best):
-                    best, at = self.score[own], i
-            if at < 0:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def pair(self, left: int, right: int) -> bool:
-        """The acceptor: may these two pieces stand side by side?"""
-        key = (left, right)
-        known = self.allowed.get(key)
-        if known is None:
-            a, b = self.model.pieces[left][0], self.model.pieces[right][0]
-            known = self.allowed[key] = self.merged(a + b) == [a, b]
-        return known
+        """What a BPE model's merges make of a normalised text: the best-scored neighbours first, then the leftmost."""
+        parts: list[str | None] = list(text)
+        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(parts):
+                both = parts[i] + parts[after[i]]
+                own = self.ids.get(both)
+                if own is not None:
+                    heapq.heappush(heap, (-self.score[own], i, both))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            right = after[i]
+            if parts[i] is None or right >= len(parts) or parts[i] + parts[right] != both:
+                continue
+            parts[i], parts[right] = both, None
+            after[i] = after[right]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in parts if p is not None]
+
+    def pair(self, left: int, right: int) -> float:
+        """The acceptor's weight of two pieces side by side."""
+        a, b = self.model.pieces[left][0], self.model.pieces[right][0]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[left, right] = 0.0 if self.merged(a + b) == [a, b] else math.inf
+        return found
 
     def path(self, text: str) -> list[int]:
-        """Ids on the shortest path through the lattice of a normalised text."""
-        if self.model.kind == UNIGRAM:
-            found = self._cheapest(text)
-        else:
-            # Runs of spaces merge in ties, which pairs can't tell apart.
-            found = self._finite(text) if text.strip(SPACE) else None
+        """Ids on the shortest path through the machine composed with a text."""
+        found = self.shortest(text)
         if found is None:
-            found = [(p, self.ids.get(p, -1)) for p in self.merged(text)]
-        return [i for p, own in found for i in ((own,) if own >= 0 else self._bytes(p))]
-
-    def _cheapest(self, text: str) -> list[tuple[str, int]]:
-        """By dynamic programming over the places between characters."""
-        n = len(text)
-        cost, last, back = [0.0] + [np.inf] * n, [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                own = self.ids.get(text[start:end], -1)
-                if own < 0 and start < end - 1:
-                    continue
-                total = cost[start] + (FALLBACK if own < 0 else -self.score[own])
-                if total < cost[end]:
-                    cost[end], last[end], back[end] = total, own, start
-        out = []
-        while n:
-            out.append((text[back[n]:n], last[n]))
-            n = back[n]
-        return out[::-1]
-
-    def _finite(self, text: str) -> list[tuple[str, int]] | None:
-        """By depth-first search, longest pieces first: all allowed paths cost the same, and a place reached by an
-        allowed path whose continuations all fail is never tried again."""
-        n, ids, reach, allowed = len(text), self.ids.get, self.reach.get, self.allowed.get
-        open_, path, starts, at, left = [True] * (n + 1), [], [], 0, -1
-        size = min(reach(text[:4], 3), n)
+            normal = "".join(self.normaliser.arcs.get(c, c) for c in text)
+            for p in self.merged(normal):
+                found = [*(found or []), *([self.ids[p]] if p in self.ids else self.machine.spelled(p))]
+        return found
+
+    def shortest(self, text: str) -> list[int] | None:
+        """Those ids; None if every path's weight is infinite.
+
+        A state is a place of the text, and in a BPE model the piece written last (-1 after bytes). The acceptor's
+        weight of an arc is looked up only when its turn comes: it is 0 or puts the arc out.
+        """
+        machine, n, scored, known = self.machine, len(text), self.scored, self.pairs.get
+        arcs, ends, weights, push, pop = machine.arcs, machine.ends, machine.weights, heapq.heappush, heapq.heappop
+        stride = 1 if scored else len(weights) + 1
+        reached, done = [(0, -1, -1)], set()
+        heap: list[tuple[float, int, int, int]] = []
+        cost, at, here = 0.0, 0, 0
         while at < n:
-            while size:
-                own = ids(text[at:at + size], -1)
+            state, i = 0, at
+            while i < n and (state := arcs[state].get(text[i], -1)) >= 0:
+                i += 1
+                own = ends[state]
                 if own >= 0:
-                    if open_[at + size]:
-                        if left < 0:
-                            break
-                        fits = allowed((left, own))
-                        if fits or fits is None and self.pair(left, own):
-                            break
-                elif size == 1 and open_[at + 1]:
-                    break
-                size -= 1
-            if size:
-                path.append(own)
-                starts.append(at)
-                at, left = at + size, own
-                size = min(reach(text[at:at + 4], 3), n - at)
-            elif path:
-                open_[at] = False
-                size = at - starts[-1] - 1
-                at = starts.pop()
-                path.pop()
-                left = path[-1] if path else -1
+                    push(heap, (cost + weights[own], -i, own, here))
+            first = arcs[0].get(text[at], -1)
+            if first < 0 or ends[first] < 0:
+                push(heap, (cost + FALLBACK, -at - 1, -1, here))
+            while heap:
+                cost, back, own, parent = pop(heap)
+                key = -back * stride + (0 if scored else own + 1)
+                if key in done:
+                    continue
+                if not scored and own >= 0:
+                    left = reached[parent][1]
+                    if left >= 0:
+                        weight = known((left, own))
+                        if (self.pair(left, own) if weight is None else weight) > 0:
+                            continue
+                done.add(key)
+                at, here = -back, len(reached)
+                reached.append((at, own, parent))
+                break
             else:
                 return None
-        return [(text[a:b], own) for a, b, own in zip(starts, [*starts[1:], n], path)]
-
-    def _bytes(self, text: str) -> list[int]:
-        return [self.bytes[b] for b in text.encode()]
+        out: list[list[int]] = []
+        while here:
+            _, own, parent = reached[here]
+            out.append([own] if own >= 0 else machine.spelled(text[reached[parent][0]]))
+            here = parent
+        return [i for ids in reversed(out) for i in ids]
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        normal = (SPACE if self.model.prefix else "") + text.replace(" ", SPACE)
-        return np.frombuffer(b"".join(map(self.kept.__getitem__, self.parts.findall(normal))), np.int32)
+        parts = self.parts.findall(self.normaliser.front + text)
+        return np.frombuffer(b"".join(map(self.kept.__getitem__, parts)), np.int32)
 
     def decode(self, ids) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -57,6 +58,73 @@ def test_shortest_path_against_all_paths(both):
         assert transducer.decode(transducer.encode(text).tolist()) == text
 
 
+def test_pairs_alone_find_the_encoding(both, texts):
+    """Of the registered model: no text needs the merges, and its path is the only one of finite weight."""
+    transducer, library = both
+    draw = random.Random(8)
+    made = ["".join(draw.choice(WORDS + ["th", "e ", " an", "st"]) for _ in range(draw.randint(1, 9))) for _ in range(800)]
+    for text in made + [" " * n for n in range(1, 130)]:
+        assert transducer.shortest(" " + text) == library.encode(text), text
+
+    def finite(text, at, left):
+        if at == len(text):
+            return [[]]
+        out = []
+        for end in range(at + 1, len(text) + 1):
+            own = transducer.ids.get(text[at:end], -1)
+            if own >= 0 and (left < 0 or transducer.pair(left, own) == 0):
+                out += [[own, *rest] for rest in finite(text, end, own)]
+        return out
+
+    for text in ("the cathedral", "   x", "banana bread", "transduction"):
+        assert finite("▁" + text.replace(" ", "▁"), 0, -1) == [library.encode(text)]
+
+
+def test_composition_reads_what_the_normaliser_reads():
+    lexicon = pieces.Lexicon(weights=[0.0] * 3, bytes=list(range(256)))
+    for own, piece in enumerate(("▁a", "a▁", "b")):
+        lexicon.add(piece, own)
+    machine = lexicon.after(pieces.Normaliser(arcs={" ": "▁", "B": "b"}))
+
+    def read(symbols):
+        state = 0
+        for c in symbols:
+            state = machine.arcs[state].get(c, -1)
+            if state < 0:
+                return None
+        return machine.ends[state]
+
+    assert [read(x) for x in (" a", "▁a", "a ", "a▁", "b", "B", "A", " ")] == [0, 0, 1, 1, 2, 2, None, -1]
+    assert machine.spelled(" ") == list("▁".encode()) and machine.spelled("é") == list("é".encode())
+
+
+def test_merges_with_a_heap(both):
+    transducer = both[0]
+
+    def plain(text):
+        parts = list(text)
+        while True:
+            offers = [(-transducer.score[transducer.ids[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:]))
+                      if a + b in transducer.ids]
+            if not offers:
+                return parts
+            i = min(offers)[1]
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+    draw = random.Random(3)
+    for _ in range(800):
+        text = "".join(draw.choice(["▁", "▁", "a", "e", "t", "h", "in", "..", "é", "日"]) for _ in range(draw.randint(0, 25)))
+        assert transducer.merged(text) == plain(text), text
+
+
+def test_long_runs(both):
+    transducer, library = both
+    for text in (" " * 100_000, " " * 100_000 + "x", "x" + " " * 50_000 + "\n", "a" * 50_000, "é日" * 20_000, "=" * 50_000):
+        begun = time.time()
+        assert transducer.encode(text).tolist() == library.encode(text)
+        assert time.time() - begun < 10
+
+
 def test_kept_paths_are_bounded_and_stay_right(both, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT", 8)
     transducer = pieces.Transducer(both[0].model)
