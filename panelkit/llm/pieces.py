@@ -4,7 +4,7 @@ Three transducers are compiled from a model file. The normaliser writes spaces a
 The lexicon reads the characters of a piece along its states, writes the piece's id where one ends, and begins
 anew. The byte fallback reads a character that no piece covers and writes the ids of its bytes. The lexicon with
 its fallback is composed with the normaliser once, and with each text lazily, state by state, while the shortest path in the
-tropical semiring is sought: the cheapest state first, among equally cheap ones the farthest.
+tropical semiring is sought: the cheapest state first, and the longest piece first among arcs that weigh nothing.
 
 In a unigram model a piece weighs its negative score. In a BPE model the weights come from an acceptor over pairs of
 pieces, composed in as well: 0 if the model's merges leave the two side by side, infinity if not. A sequence is the
@@ -238,6 +238,8 @@ class Transducer:
         stride = 1 if scored else len(weights) + 1
         reached, done = [(0, -1, -1)], set()
         heap: list[tuple[float, int, int, int]] = []
+        # What weighs no more than the state it comes from, and so precedes all of the heap.
+        level: list[tuple[int, int, int]] = []
         cost, at, here = 0.0, 0, 0
         while at < n:
             state, i = 0, at
@@ -245,25 +247,31 @@ class Transducer:
                 i += 1
                 own = ends[state]
                 if own >= 0:
-                    push(heap, (cost + weights[own], -i, own, here))
+                    if weights[own]:
+                        push(heap, (cost + weights[own], -i, own, here))
+                    else:
+                        level.append((i, own, here))
             first = arcs[0].get(text[at], -1)
             if first < 0 or ends[first] < 0:
                 push(heap, (cost + FALLBACK, -at - 1, -1, here))
-            while heap:
-                cost, back, own, parent = pop(heap)
-                key = -back * stride + (0 if scored else own + 1)
-                if key in done:
-                    continue
+            while level or heap:
+                if level:
+                    at, own, parent = level.pop()
+                else:
+                    cost, at, own, parent = pop(heap)
+                    at = -at
                 if not scored and own >= 0:
                     left = reached[parent][1]
                     if left >= 0:
                         weight = known((left, own))
                         if (self.pair(left, own) if weight is None else weight) > 0:
                             continue
-                done.add(key)
-                at, here = -back, len(reached)
-                reached.append((at, own, parent))
-                break
+                key = at * stride + (0 if scored else own + 1)
+                if key not in done:
+                    done.add(key)
+                    here = len(reached)
+                    reached.append((at, own, parent))
+                    break
             else:
                 return None
         out: list[list[int]] = []
