@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.session import cut_lineage
+
 SLICES = 256  # a bracket is cut into so many slices of equal width
 ACCURACY = 10000  # rank error of the bracketing sketch: at most rows / ACCURACY
 
@@ -25,46 +29,82 @@ def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> Dat
     return cast.unpivot(list(keep), list(columns), "feature", "value")
 
 
+def _bracket(c: str, probs: Sequence[float]) -> Column:
+    """Values around each quantile of a column, from a sketch: a few ranks per ten thousand apart."""
+    step = 3.0 / ACCURACY
+    wanted = [q for p in probs for q in (max(0.0, p - step), min(1.0, p + step))]
+    return F.percentile_approx(F.col(c).cast("double"), wanted, ACCURACY)
+
+
+def _cells(brackets: list[list[float] | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (feature, q, value, c) of the values inside a bracket, and at the end of a task one row without value for
+    each bracket: how many values there are (n) and lie below it, and its neighbours. A task holds a batch."""
+    names = ["_i", "_q", "value", "_c", "n", "_below", "_under", "_over"]
+    types = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple] = {}
+        for batch in batches:
+            for i, bracket in enumerate(brackets):
+                if bracket is None:
+                    continue
+                # NaN sorts last, as in Spark.
+                v = np.sort(batch.column(i).drop_null().to_numpy(zero_copy_only=False))
+                for k in range(len(bracket) // 2):
+                    low = int(np.searchsorted(v, bracket[2 * k], "left"))
+                    high = int(np.searchsorted(v, bracket[2 * k + 1], "right"))
+                    n, below, under, over = held.get((i, k), (0, 0, -np.inf, np.nan))
+                    held[i, k] = (n + len(v), below + low, max(under, v[low - 1]) if low else under,
+                                  np.fmin(over, v[high]) if high < len(v) else over)
+                    if high > low:
+                        values, counts = np.unique(v[low:high], return_counts=True)
+                        none = [None] * len(values)
+                        yield rows(np.full(len(values), i), np.full(len(values), k), values, counts, none, none, none, none)
+        if held:
+            n, below, under, over = zip(*held.values())
+            none = [None] * len(held)
+            yield rows(*zip(*held), none, none, n, below, under, over)
+    return read
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact quantiles (linear interpolation) per column: ``(feature, n, q)`` with q an array.
 
-    A sketch brackets each quantile, one aggregate counts what lies below the bracket, and only
-    the rows inside it, a few per ten thousand, are ranked, after equal values are counted
-    together. ``percentile`` would hold every distinct value of a column in one task.
+    Two evaluations of the input, both when this is called. A sketch brackets each quantile; then one pass counts what lies below the
+    bracket and keeps only the values inside it, a few per ten thousand, which are ranked after equal values are
+    counted together. ``percentile`` would hold every distinct value of a column in one task. A column without
+    values has no row.
     """
     probs = [float(p) for p in probs]
-    step = 3.0 / ACCURACY
-    wanted = [q for p in probs for q in (max(0.0, p - step), min(1.0, p + step))]
-    # Brackets for all columns in one wide partial aggregate: a row of a few arrays.
-    value = [F.col(c).cast("double") for c in columns]
-    wide = df.agg(*[F.percentile_approx(v, wanted, ACCURACY).alias(f"_{i}") for i, v in enumerate(value)])
-    marked = df.select(*[v.alias(f"_v{i}") for i, v in enumerate(value)]).withColumn(
-        "_b", wide.select(F.struct("*").alias("b")).scalar())
-    low = lambda i, k: F.col(f"_b._{i}")[2 * k]
-    high = lambda i, k: F.col(f"_b._{i}")[2 * k + 1]
-
-    def counts(i, c):
-        v, ks = F.col(f"_v{i}"), range(len(probs))
-        # The neighbours of each bracket: with few rows a position may fall just outside it.
-        return F.struct(
-            F.lit(c).alias("feature"), F.count(v).alias("n"),
-            *[F.count(F.when(v < low(i, k), 1)).alias(f"_below{k}") for k in ks],
-            *[F.max(F.when(v < low(i, k), v)).alias(f"_under{k}") for k in ks],
-            *[F.min(F.when(v > high(i, k), v)).alias(f"_over{k}") for k in ks])
-
-    sizes = marked.agg(*[counts(i, c).alias(f"_{i}") for i, c in enumerate(columns)]).select(
-        F.inline(F.array(*[f"_{i}" for i in range(len(columns))])))
-    # Only the cells inside a bracket become rows.
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_v{i}").alias("value"), F.lit(k).alias("_q"),
-                               low(i, k).alias("_lo"), high(i, k).alias("_hi"))
-                      for i, c in enumerate(columns) for k in range(len(probs))])
-    inside = marked.select(F.explode(F.filter(cells, lambda x: x["value"].between(x["_lo"], x["_hi"]))).alias("c"))
+    return _ranked(df, columns, probs, list(df.agg(*[_bracket(c, probs) for c in columns]).first()))
+
+
+def _ranked(df: DataFrame, columns: Sequence[str], probs: list[float], brackets: list[list[float] | None]) -> DataFrame:
+    """The second pass, and the ranks from what it keeps."""
+    cells = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).mapInArrow(
+        _cells(brackets), "_i int, _q int, value double, _c long, n long, _below long, _under double, _over double")
+    # Whole brackets would be few keys; with the value among them equal values meet, and nothing else does.
+    kept = cut_lineage(cells.groupBy("_i", "_q", "value").agg(
+        *[F.sum(c).alias(c) for c in ("_c", "n", "_below")], F.max("_under").alias("_under"), F.min("_over").alias("_over")))
+    # One row for each column and quantile.
+    name = F.element_at(F.array(*map(F.lit, columns)), F.col("_i") + 1).alias("feature")
+    bound = [F.element_at(F.array(*[F.lit(b[2 * k + end] if b else None).cast("double")
+                                    for b in brackets for k in range(len(probs))]),
+                          F.col("_i") * len(probs) + F.col("_q") + 1) for end in (0, 1)]
+    sizes = kept.where("value IS NULL").select(
+        name, "_q", "n", "_below", F.nullif("_under", F.lit(float("-inf"))).alias("_under"),
+        F.nanvl("_over", F.lit(None)).alias("_over"))
+    inside = kept.where("value IS NOT NULL").select(
+        name, "_q", "value", "_c", bound[0].alias("_lo"), bound[1].alias("_hi"))
     lo, hi = F.col("_lo"), F.col("_hi")
     # A bracket is ranked in slices, so none of it has to be sorted in one task.
     place = F.coalesce(F.try_divide(F.col("value") - lo, hi - lo), F.lit(0.0))
     slice_ = F.least(F.lit(SLICES - 1), F.floor(place * SLICES)).cast("int")
     cell = ["feature", "_q", "_slice"]
-    counted = (inside.select("c.*").withColumn("_slice", slice_).groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("_c")))
+    counted = inside.withColumn("_slice", slice_)
     head = Window.unboundedPreceding
     along = Window.partitionBy("feature", "_q").orderBy("_slice").rowsBetween(head, -1)
     starts = counted.groupBy(*cell).agg(F.sum("_c").alias("_n")).select(
@@ -72,20 +112,18 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
     within = Window.partitionBy(*cell).orderBy("value").rowsBetween(head, 0)
     ranked = counted.withColumn("_in", F.sum("_c").over(within)).join(starts, cell).withColumn(
         "_upto", F.col("_start") + F.col("_in"))
-    placed = ranked.join(F.broadcast(sizes), "feature")
-    def of(columns):
-        return F.element_at(F.array(*columns), F.col("_q") + 1)
-    prob = of([F.lit(p) for p in probs])
-    start = of([F.col(f"_below{i}") for i in range(len(probs))])
+    placed = ranked.join(F.broadcast(sizes), ["feature", "_q"])
+    prob = F.element_at(F.array(*map(F.lit, probs)), F.col("_q") + 1)
+    start = F.col("_below")
     # Positions count from 0; this value occupies [start + upto - c, start + upto - 1].
     first, last = start + F.col("_upto") - F.col("_c"), start + F.col("_upto") - 1
     at = prob * (F.col("n") - 1)
     holds = lambda position: (first <= position) & (position <= last)
     ends = placed.groupBy("feature", "_q", "n").agg(
         F.coalesce(F.max(F.when(holds(F.floor(at)), F.col("value"))),
-                   F.max(of([F.col(f"_under{i}") for i in range(len(probs))]))).alias("_lo"),
+                   F.max("_under")).alias("_lo"),
         F.coalesce(F.max(F.when(holds(F.ceil(at)), F.col("value"))),
-                   F.min(of([F.col(f"_over{i}") for i in range(len(probs))]))).alias("_hi"),
+                   F.min("_over")).alias("_hi"),
         F.max(at - F.floor(at)).alias("_f"))
     value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
     return ends.groupBy("feature", "n").agg(
@@ -93,34 +131,44 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
                     lambda s: s["v"]).alias("q"))
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: n, mean, sample and population sd, and bias-corrected skewness, in one pass."""
-    def of(c):
-        x = F.col(c).cast("double")
-        return F.struct(F.lit(c).alias("feature"), F.count(x).alias("n"), F.avg(x).alias("mean"),
-                        F.stddev_samp(x).alias("std"), F.stddev_pop(x).alias("std_pop"),
-                        F.skewness(x).alias("skew_pop"))
-    stats = df.agg(*[of(c).alias(f"_{i}") for i, c in enumerate(columns)]).select(
-        F.inline(F.array(*[f"_{i}" for i in range(len(columns))])))
+def _moment(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.struct(F.lit(c).alias("feature"), F.count(x).alias("n"), F.avg(x).alias("mean"),
+                    F.stddev_samp(x).alias("std"), F.stddev_pop(x).alias("std_pop"), F.skewness(x).alias("skew_pop"))
+
+
+def _corrected(stats: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     corrected = F.when(n > 2, F.col("skew_pop") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
     return stats.select("feature", "n", "mean", "std", "std_pop", corrected.alias("skew"))
 
 
+def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column: n, mean, sample and population sd, and bias-corrected skewness, in one pass."""
+    return _corrected(df.agg(*[_moment(c).alias(f"_{i}") for i, c in enumerate(columns)]).select(
+        F.inline(F.array(*[f"_{i}" for i in range(len(columns))]))))
+
+
 def column_profile(df: DataFrame, columns: Sequence[str], skew_limit: float = 0.75,
                    iqr_multiplier: float = 1.5) -> DataFrame:
     """Moments, quartiles, fences and the outlier rule that applies to each column.
 
-    One row per column. Fewer than 5 values: no rule. Mild skew: z-score, if the column varies.
+    Two evaluations of the input, when called: moments and sketches in one aggregate, then the exact ranks. One row per column. Fewer than 5 values: no rule. Mild skew: z-score, if the column varies.
     Else: interquartile fences.
     """
-    q = quantiles(df, columns, [0.25, 0.5, 0.75]).select(
+    probs = [0.25, 0.5, 0.75]
+    first = df.agg(*[_moment(c).alias(f"m{i}") for i, c in enumerate(columns)],
+                   *[_bracket(c, probs).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    stats = df.sparkSession.createDataFrame(
+        list(first[:len(columns)]),
+        "feature string, n long, mean double, std double, std_pop double, skew_pop double")
+    q = _ranked(df, columns, probs, list(first[len(columns):])).select(
         "feature", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
     iqr = F.col("q75") - F.col("q25")
     rule = (F.when(F.col("n") < 5, "none")
             .when(F.abs("skew") > skew_limit, "iqr")
             .when(F.col("std") > 1e-6, "zscore").otherwise("none"))
-    return moments(df, columns).join(F.broadcast(q), "feature", "left").select(
+    return _corrected(stats).join(F.broadcast(q), "feature", "left").select(
         "feature", "n", "mean", "std", "std_pop", "skew", "q25", "median", "q75",
         (F.col("q25") - F.lit(iqr_multiplier) * iqr).alias("fence_lo"),
         (F.col("q75") + F.lit(iqr_multiplier) * iqr).alias("fence_hi"),
