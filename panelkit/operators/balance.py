@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.hashing import pick, uniform
 from panelkit.operators import neighbors, ranking
+from panelkit.session import cut_lineage
+
+MOST_CENTROIDS = 10_000
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
@@ -126,10 +129,17 @@ def replicate_up(rows: DataFrame, key: str, features: Sequence[str], n: int,
 
 def cluster_centroids(rows: DataFrame, key: str, features: Sequence[str], n: int,
                       seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """``n`` k-means centroids in place of the rows they stand for; needs ``n`` distinct rows, else raises."""
+    """``n`` k-means centroids in place of the rows they stand for; needs ``n`` distinct rows, else raises.
+
+    Every centroid goes through the driver at each iteration, and work grows with rows times centroids: more than
+    ``MOST_CENTROIDS`` raise. The rows are read once.
+    """
+    if n > MOST_CENTROIDS:
+        raise ValueError(f"{n} centroids asked, {MOST_CENTROIDS} at most; sample instead")
     features = list(features)
-    vectors = VectorAssembler(inputCols=features, outputCol="_vec").transform(rows).select("_vec")
+    vectors = cut_lineage(VectorAssembler(inputCols=features, outputCol="_vec").transform(rows).select("_vec"))
     model = KMeans(k=n, seed=seed, featuresCol="_vec", maxIter=max_iter).fit(vectors)
+    vectors.unpersist()
     if len(model.clusterCenters()) < n:
         raise ValueError(f"{n} centroids asked of {len(model.clusterCenters())} distinct rows")
     centres = [(f"centroid:{i}", *[float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]

@@ -166,6 +166,8 @@ def test_balancing_reaches_exact_sizes(spark):
         balance.balance(one, "row_id", LABEL, FEATURES, 190, 4)
     with pytest.raises(ValueError):
         balance.cluster_centroids(df.withColumns({f: F.lit(1.0) for f in FEATURES}), "row_id", FEATURES, 5)
+    with pytest.raises(ValueError):
+        balance.cluster_centroids(df, "row_id", FEATURES, balance.MOST_CENTROIDS + 1)
     assert balance.balance(df.filter(F.col(LABEL) == 0), "row_id", LABEL, FEATURES, 5, 5).count() == 190
 
 

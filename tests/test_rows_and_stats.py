@@ -95,6 +95,38 @@ def test_quantiles_are_exact(spark, n):
         assert np.allclose(got[c], np.quantile(pdf[c], probs))
 
 
+def test_quantiles_over_tasks_with_ties_nulls_and_a_hot_value(spark):
+    rng = np.random.default_rng(1)
+    n = 20_000
+    pdf = pd.DataFrame({"hot": np.where(rng.random(n) < 0.4, 3.0, np.round(rng.normal(3, 1, n), 2)),
+                        "far": rng.lognormal(0, 4, n), "few": rng.integers(0, 3, n).astype(float)})
+    pdf.loc[rng.random(n) < 0.2, "far"] = None
+    pdf.loc[rng.random(n) < 0.9995, "few"] = None
+    df = spark.createDataFrame(pdf.replace({np.nan: None})).repartition(13).withColumn("none", F.lit(None).cast("double"))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    got = {r["feature"]: r for r in profile.quantiles(df, ["hot", "none", "far", "few"], probs).collect()}
+    assert set(got) == set(pdf)
+    for c in pdf:
+        known = pdf[c].dropna()
+        assert got[c]["n"] == len(known) and np.allclose(got[c]["q"], np.quantile(known, probs))
+    assert profile.quantiles(df.limit(0), ["hot"], probs).count() == 0
+    empty = profile.column_profile(df.limit(0), ["hot", "none"]).collect()
+    assert [(r["n"], r["median"], r["rule"]) for r in empty] == [(0, None, "none")] * 2
+
+
+def test_profile_evaluates_its_input_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    assert profile.column_profile(df.mapInArrow(count, "x double, y double"), ["x", "y"]).count() == 2
+    assert seen.value == 2000
+
+
 def test_profile_follows_pandas(spark, cohort):
     pdf = cohort.toPandas()
     got = {r["feature"]: r for r in profile.column_profile(cohort, ["Temp", "Creatinine", "pH"]).collect()}
