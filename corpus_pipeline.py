@@ -22,7 +22,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8): that of the smallest id."""
+    """One document of each group of near copies: that of the smallest id.
+
+    Candidates are SimHash fingerprints within two bits and MinHash bands; a link is a Jaccard similarity of 0.8 of
+    five-word shingles.
+    """
     return copies.keep_one(docs)
 
 

@@ -1,8 +1,9 @@
 """Near copies of texts: sets of five-word shingles with a Jaccard similarity of 0.8 or more, in components.
 
 Candidates come from MinHash bands: 32 bands of 4 of 128 minima, of which a pair at similarity 0.8 shares none with
-a probability of 5e-8. Each distinct shingle set counts once. Links are found in three steps, and each step leaves
-out what is in one component already:
+a probability of 5e-8. ``keep_one`` also takes them from SimHash: fingerprints linked within two bits, bit-sliced
+(``simhash``), make one more band of all sets behind them. Each distinct shingle set counts once. Links are found in
+three steps, and each step leaves out what is in one component already:
 
 * Leaders: a set is compared with one leader, the smallest set of any of its bands; twice, the second time for the
   sets that are still apart from a band's leader.
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.llm import common, graph
-from panelkit.llm.minhash import Hasher
+from panelkit.llm import common, graph, simhash
+from panelkit.llm.minhash import WORDS, Hasher
 
 #: Jaccard similarity of a link, as a fraction; minima of a band.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -74,6 +75,16 @@ def _own_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=[*batch.schema.names[:-1], "mk_set", "mk_bands"])
 
 
+def _marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_own_batches`` with mk_fp, the text's SimHash over the same shingles."""
+    for batch in batches:
+        texts = common.texts_of(batch.column(batch.num_columns - 1))
+        prints = np.fromiter((simhash.simhash(t, WORDS) for t in texts), np.uint64, batch.num_rows)
+        for own in _own_batches(iter([batch])):
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(prints.view(np.int64))],
+                                             names=[*own.schema.names, "mk_fp"])
+
+
 def bit_map(rows: DataFrame, column: str) -> np.ndarray:
     """Bits of the 64-bit values in a column, of bounded size; a fuller one lets more other values through."""
     words = LEAST_WORDS
@@ -231,13 +242,23 @@ def block_links(hosts: DataFrame, guests: DataFrame, sets: DataFrame, among: boo
             .applyInArrow(_linked, "a long, b long"))
 
 
-def set_roots(own: DataFrame, texts: DataFrame, scratch: common.Scratch) -> DataFrame:
+def print_postings(own: DataFrame) -> DataFrame:
+    """(mk_set, mk_key): the sets of texts whose fingerprints mk_fp are linked within two bits share a key."""
+    linked = graph.components(simhash.links(own.select("mk_fp").distinct()))
+    placed = own.select("mk_set", "mk_fp").distinct().join(linked.withColumnRenamed("v", "mk_fp"), "mk_fp", "left")
+    return placed.select("mk_set", F.xxhash64(F.lit("simhash"), F.coalesce("root", "mk_fp")).alias("mk_key")).distinct()
+
+
+def set_roots(own: DataFrame, texts: DataFrame, scratch: common.Scratch, more: DataFrame | None = None) -> DataFrame:
     """(mk_set, mk_root) of each shingle set that has a near copy; the root stands for its component.
 
-    ``own`` has mk_set and mk_bands of each text; ``texts`` has the texts as its only column.
+    ``own`` has mk_set and mk_bands of each text; ``texts`` has the texts as its only column. ``more`` has further
+    (mk_set, mk_key), by which sets are compared as by bands.
     """
     posted = own.groupBy("mk_set").agg(F.first("mk_bands").alias("mk_bands")).select(
         "mk_set", F.explode("mk_bands").alias("mk_key"))
+    if more is not None:
+        posted = posted.union(more)
     bounds = posted.groupBy("mk_key").agg(F.min("mk_set").alias("mk_lead"), F.max("mk_set").alias("mk_last"))
     shared = scratch.keep(bounds.where("mk_lead < mk_last").select("mk_key", "mk_lead"))
     members = scratch.keep(posted.join(shared, "mk_key"))
@@ -310,11 +331,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch = common.Scratch(docs.sparkSession)
     own = marked.select("mk_row", "mk_own", doc.cast("long").alias("mk_id"), text.alias("mk_text"))
     own = scratch.keep(own.mapInArrow(
-        _own_batches, "mk_row long, mk_own long, mk_id long, mk_set long, mk_bands array<long>"))
+        _marked_batches, "mk_row long, mk_own long, mk_id long, mk_set long, mk_bands array<long>, mk_fp long"))
     best = F.min(F.struct(F.col("mk_id").isNull(), "mk_own", "mk_row")).alias("mk_best")
     # Sets first, so that the groups of a component are few rows by then.
     per_set = own.groupBy("mk_set").agg(best)
-    roots = set_roots(own, plain.select(text.alias("mk_text")), scratch)
+    roots = set_roots(own, plain.select(text.alias("mk_text")), scratch, scratch.keep(print_postings(own)))
     winners = common.settle(
         per_set.join(roots, "mk_set", "left").groupBy(F.coalesce("mk_root", "mk_set"))
         .agg(F.min("mk_best").alias("mk_best")).select("mk_best.mk_row", "mk_best.mk_own").distinct())

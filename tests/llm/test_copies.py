@@ -3,9 +3,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelkit.llm import copies, minhash
+from panelkit.llm import common, copies, minhash, simhash
 from tests.llm.test_minhash import jaccard, shingles
 
 
@@ -109,3 +110,50 @@ def test_components_beside_the_edits(spark):
     want = groups(texts)
     assert sorted((str(r.doc_id), r.component_id) for r in got) == sorted(
         [(str(i), c) for i, c in enumerate(want)] + [("3", want[3]), ("3", 3), ("None", want[0])])
+
+
+def marked(spark, texts):
+    """The rows of the stage, with bands that no two sets share."""
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    own = docs.mapInArrow(copies._marked_batches, "mk_set long, mk_bands array<long>, mk_fp long")
+    return docs, own.withColumn("mk_bands", F.array("mk_set")).cache()
+
+
+def test_fingerprints_give_candidates(spark):
+    """Sets share a key just as their fingerprints are connected within two bits."""
+    texts = planted()[:40] + ["a b c d e f", "A b c d e f", "a b c d e f a b c d e f", "", "one"]
+    texts += [f"{t} {t}" for t in texts[:5]]
+    _, own = marked(spark, texts)
+    prints = [simhash.simhash(t.encode(), 5) for t in texts]
+    label = list(range(len(texts)))
+    for i, one in enumerate(prints):
+        for j in range(i):
+            if (one ^ prints[j]).bit_count() <= 2 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    hasher, want = minhash.Hasher(), {}
+    for t, group in zip(texts, label):
+        want.setdefault(group, set()).add(copies.set_id(copies.shingle_set(hasher, t.encode())))
+    got = {}
+    for r in copies.print_postings(own).collect():
+        got.setdefault(r.mk_key, set()).add(r.mk_set)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_fingerprints_link_what_no_band_does(spark):
+    """Candidates by SimHash alone are compared by Jaccard."""
+    words = [f"w{i}" for i in range(400)]
+    near, scratch = " ".join([*words, "end"]), common.Scratch(spark)
+    texts = [" ".join(words), near, "other words altogether", "still other words"]
+    prints = [simhash.simhash(t.encode(), 5) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2
+    docs, own = marked(spark, texts)
+    assert copies.set_roots(own, docs, scratch).count() == 0
+    roots = copies.set_roots(own, docs, scratch, copies.print_postings(own)).collect()
+    hasher = minhash.Hasher()
+    assert {r.mk_set for r in roots} == {copies.set_id(copies.shingle_set(hasher, t.encode())) for t in texts[:2]}
+    assert len({r.mk_root for r in roots}) == 1
+    # Fingerprints within two bits are no link by themselves.
+    forced = own.select("mk_set", F.lit(1).cast("long").alias("mk_key"))
+    assert len(copies.set_roots(own, docs, scratch, forced).collect()) == 2
+    scratch.drop()
