@@ -148,6 +148,26 @@ def test_neighbours_by_cells_equal_brute_force(spark):
     assert np.array_equal(small["n_id"].to_numpy().reshape(-1, 5), want)
 
 
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-20, 0.0), (1.0, 1e6), (1e18, 0.0), (1e200, 0.0)])
+def test_bounds_lose_no_neighbour(monkeypatch, scale, offset):
+    """Many blocks, ties, rows that are not finite and ids that come twice; few distances are worked out."""
+    monkeypatch.setattr(neighbors, "REFERENCES", 64)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 6)) * scale + offset
+    x[100:160], x[300], x[301], x[302:310] = x[100], np.nan, np.inf, x[302]
+    ids = np.sort(np.r_[np.arange(890), np.arange(10)])
+    with np.errstate(all="ignore"):
+        d = neighbors._distances(x, x)
+    d[(ids[:, None] == ids[None]) | ~np.isfinite(d)] = np.inf
+    want = [(ids[i], ids[j], d[i, j]) for i in range(900) for j in np.argsort(d[i], kind="stable")[:5] if d[i, j] < np.inf]
+    pairs, counted = [], neighbors._pair_distances
+    monkeypatch.setattr(neighbors, "_pair_distances", lambda q, r, a, b: pairs.append(len(a)) or counted(q, r, a, b))
+    got = pd.concat([pd.DataFrame({"q_id": [], "n_id": [], "dist": []}), *neighbors._nearest(ids, x, ids, x, 5, True)])
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted((float(a), float(b), float(c)) for a, b, c in want)
+    if scale == 1.0 and not offset:
+        assert sum(pairs) < 900 * 900 / 4
+
+
 def test_balancing_reaches_exact_sizes(spark):
     rng = np.random.default_rng(0)
     rows = [(i, *map(float, rng.normal(size=19)), int(i >= 190)) for i in range(200)]
