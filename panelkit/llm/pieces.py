@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -282,16 +283,28 @@ class Transducer:
         return [i for ids in reversed(out) for i in ids]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        parts = self.parts.findall(self.normaliser.front + text)
-        return np.frombuffer(b"".join(map(self.kept.__getitem__, parts)), np.int32)
+        return np.frombuffer(self.encoded(text) if text else b"", np.int32)
+
+    def encoded(self, text: str) -> bytes:
+        """The ids as 32-bit integers."""
+        return b"".join(map(self.kept.__getitem__, self.parts.findall(self.normaliser.front + text)))
 
     def decode(self, ids) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""
         text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
+    def decoded(self, ids: pa.Array, sizes: np.ndarray, none: pa.Array) -> pa.Array:
+        """``decode`` of many: text i has the ids from sizes[i] to sizes[i + 1]; null where ``none`` is true."""
+        written = pa.array(self.written, pa.large_binary()).take(ids)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(written).to_numpy())])[sizes]
+        buffer = written.buffers()[2]
+        whole = memoryview(buffer) if buffer is not None else memoryview(b"")
+        texts = (str(whole[a:b], "utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist()))
+        if self.model.prefix:
+            texts = (t[1:] if t.startswith(" ") else t for t in texts)
+        return pa.array([None if n else t for t, n in zip(texts, none.to_pylist())], pa.string())
+
 
 class _Kept(dict):
     """Paths of parts as bytes of 32-bit ids, worked out when first asked for.
@@ -338,17 +351,16 @@ def encoded(docs: DataFrame, model_path: str = MODEL, text_col: str = "text") ->
         transducer = compiled(data.value)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            ids, texts, sizes, none = [], [], [0], []
-            for text in (t.as_py() for t in column):
-                own = transducer.encode(text or "")
-                none.append(text is None)
+            ids, sizes = [], [0]
+            for text in column.to_pylist():
+                own = transducer.encoded(text) if text else b""
                 ids.append(own)
-                sizes.append(sizes[-1] + len(own))
-                texts.append(None if text is None else transducer.decode(own.tolist()))
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), flat, mask=pa.array(none, pa.bool_()))
-            same = pa.array([a if a is None else a == b.as_py() for a, b in zip(texts, column)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(texts, pa.string()), same],
+                sizes.append(sizes[-1] + len(own) // 4)
+            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+            none = column.is_null()
+            lists = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), flat, mask=none)
+            texts = transducer.decoded(flat, np.array(sizes), none)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, texts, pc.equal(texts, column)],
                                              names=[*batch.schema.names[:-1], "mk_ids", "mk_decoded", "mk_same"])
 
     named = docs.toDF(*[f"mk_{i}" for i in range(len(docs.columns))])

@@ -1,6 +1,8 @@
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -151,3 +153,17 @@ def test_round_trip_of_tables(spark, odd_docs):
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
         pieces.Model.parse(b"")
+
+
+def test_texts_decoded_together():
+    """Null and empty texts, bytes that are no UTF-8 and controls come out as one by one."""
+    with open(pieces.MODEL, "rb") as file:
+        machine = pieces.Transducer(pieces.Model.parse(file.read()))
+    rows = [machine.encode(t).tolist() for t in ("", "one two", " lead", "\U0001f600 é\n", "▁")]
+    rows += [[], machine.bytes[200:203], machine.bytes[0xC3:0xC4], [0, 1, 2], list(range(300))]
+    sizes = np.cumsum([0, *map(len, rows)])
+    none = [i == 5 for i in range(len(rows))]
+    got = machine.decoded(pa.array(np.concatenate([np.asarray(r, np.int32) for r in rows])), sizes, pa.array(none))
+    assert got.to_pylist() == [None if n else machine.decode(r) for r, n in zip(rows, none)]
+    empty = machine.decoded(pa.array([], pa.int32()), np.zeros(1, np.int64), pa.array([], pa.bool_()))
+    assert empty.to_pylist() == []
