@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelkit import session
 from panelkit.models import boosting, classical
 from panelkit.models.perceptron import COLUMN_WEIGHTS, Perceptron
+from panelkit.plans import evaluation
 
 
 def made(spark, rows, seed=3):
@@ -142,3 +144,39 @@ def test_expected_gradients(spark):
     assert np.allclose(_gradient(net._steps(), x), numeric, atol=1e-7)
     assert np.allclose(np.stack(rows["e"]).sum(axis=1), rows["p"] - f(background).mean(), atol=1e-7)
     assert df.select(net.expected_gradients(inputs, background[:0]).alias("e")).first()["e"] is None
+
+
+def counting(df):
+    """``df``, and a counter of the rows made for its readers."""
+    made_rows = df.sparkSession.sparkContext.accumulator(0)
+
+    def read(frames):
+        for pdf in frames:
+            made_rows.add(len(pdf))
+            yield pdf
+
+    return df.mapInPandas(read, df.schema), made_rows
+
+
+def test_the_table_makes_its_rows_once(spark, cohort):
+    rows, made_rows = counting(cohort)
+    chosen = {"Naïve Bayes": classical.models()["Naïve Bayes"]}
+    table = evaluation.comparison_table(rows, "row_id", sweeps=1, chosen=chosen).collect()
+    assert [r["Model"] for r in table] == ["Naïve Bayes"]
+    assert made_rows.value == cohort.count()
+
+
+def test_stumps_bin_the_rows_once(spark):
+    _, _, df = made(spark, 240)
+    df = df.na.fill(0.0)
+    rows, made_rows = counting(df)
+    found = classical.adaboost(rows, df, ["a", "b", "c"], "y", "id", rounds=8, bins=8).collect()
+    # Two evaluations for the quantiles, one for the bins, none a round.
+    assert len(found) == 240 and made_rows.value <= 3 * 240
+
+
+def test_blocks_are_added_in_a_tree(spark):
+    parts = spark.sparkContext.parallelize(range(40), 40).mapPartitionsWithIndex(
+        lambda i, rows: [(i, np.array([float(i), 1.0]).tobytes())])
+    assert session.sum_blocks(parts, 2).tolist() == [780.0, 40.0]
+    assert session.sum_blocks(spark.sparkContext.emptyRDD(), 2).tolist() == [0.0, 0.0]
