@@ -36,6 +36,9 @@ ROWS = 4
 PART, GUESTS, SHINGLES = 16_384, 16_384, 1 << 22
 #: Words of the bit map of wanted sets: 16 bits for each of them, within these limits.
 LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 20
+#: Counts of guests against hosts that a task holds at once, shingles of those guests unless a single set has more, and
+#: shingles in common that it counts at once.
+CELLS, GUEST_SHINGLES, HITS = 1 << 19, 1 << 18, 1 << 18
 #: Set ids that a task remembers to have returned.
 REMEMBERED = 1 << 18
 
@@ -68,10 +71,13 @@ def _own_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text column, which is the last, becomes mk_set and mk_bands."""
     hasher = Hasher()
     for batch in batches:
-        sets = [shingle_set(hasher, t) for t in common.texts_of(batch.column(batch.num_columns - 1))]
-        keys = [bands(set_signature(hasher, s)).view(np.int64) for s in sets]
+        ids, keys = [], []
+        for text in common.texts_of(batch.column(batch.num_columns - 1)):
+            shingles = shingle_set(hasher, text)
+            ids.append(set_id(shingles))
+            keys.append(bands(set_signature(hasher, shingles)).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(map(set_id, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+            [*batch.columns[:-1], pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
             names=[*batch.schema.names[:-1], "mk_set", "mk_bands"])
 
 
@@ -137,16 +143,19 @@ class Common:
     def __init__(self, sets: list[np.ndarray]):
         self.sets = len(sets)
         values = np.concatenate([np.zeros(0, np.int64), *sets])
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(values, kind="stable")
-        self.owner = owner[order]
-        self.values, self.start, self.count = np.unique(values[order], return_index=True, return_counts=True)
+        values = values[order]
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+        del order
+        self.start = np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+        self.values, self.count = values[self.start], np.diff(np.append(self.start, len(values)))
+        del values
         dense = np.flatnonzero(self.count >= max(8, self.sets // 16))
         self.bit = np.full(len(self.values) + 1, -1, np.int64)
         self.bit[dense] = np.arange(len(dense))
         self.words = -(-len(dense) // 64)
-        column = self.bit[np.repeat(np.arange(len(self.values)), self.count)]
-        keep = column >= 0
+        column = np.repeat(self.bit[:-1], self.count)
+        keep = np.flatnonzero(column >= 0)
         self.bits = self._rows(self.owner[keep], column[keep], self.sets)
 
     def _rows(self, row: np.ndarray, bit: np.ndarray, rows: int) -> np.ndarray:
@@ -168,12 +177,27 @@ class Common:
         for w in range(self.words):
             out += np.bitwise_count(rows[:, w, None] & self.bits[None, :, w])
         at, guest = at[~many], guest[~many]
-        long = self.count[at]
-        nth = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
-        np.add.at(out, (np.repeat(guest, long), self.owner[np.repeat(self.start[at], long) + nth]), 1)
+        for part in _slices(self.count[at], len(at), HITS):
+            long, own = self.count[at[part]], guest[part]
+            nth = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+            owner = self.owner[np.repeat(self.start[at[part]], long) + nth]
+            # Guests stand in order, so that a slice counts for a few of them.
+            low, high = int(own[0]), int(own[-1]) + 1
+            cell = np.repeat((own - low) * self.sets, long) + owner
+            out[low:high] += np.bincount(cell, minlength=(high - low) * self.sets).reshape(-1, self.sets)
         return out
 
 
+def _slices(sizes: np.ndarray, rows: int, total: int) -> Iterator[slice]:
+    """Consecutive slices of at most ``rows`` entries of ``sizes`` that add up to at most ``total``, or of one entry."""
+    ends = np.cumsum(sizes)
+    start, before = 0, 0
+    while start < len(ends):
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + total, side="right"))))
+        yield slice(start, stop)
+        start, before = stop, int(ends[stop - 1])
+
+
 def _linked(hosts: pa.Table, guests: pa.Table) -> pa.Table:
     """Links (a, b) between hosts and guests that join two components: a spanning forest of all that there are."""
     a: list[int] = []
@@ -191,17 +215,15 @@ def _linked(hosts: pa.Table, guests: pa.Table) -> pa.Table:
         ours, own, n = (column(hosts, c) for c in ("mk_set", "mk_comp", "mk_n"))
         theirs, comp, m = (column(guests, c) for c in ("mk_set", "mk_comp", "mk_n"))
         known, others = Common(arrays(hosts)), arrays(guests)
-        step = max(1, (1 << 21) // len(ours))
-        for at in range(0, len(theirs), step):
-            part = slice(at, at + step)
+        for part in _slices(m, max(1, CELLS // len(ours)), GUEST_SHINGLES):
             near = ((NUMERATOR + DENOMINATOR) * known.counts(others[part])
                     >= NUMERATOR * (n[None, :] + m[part, None])) & (own[None, :] != comp[part, None])
             for g, h in zip(*np.nonzero(near)):
-                x, y = find(int(comp[at + g])), find(int(own[h]))
+                x, y = find(int(comp[part.start + g])), find(int(own[h]))
                 if x != y:
                     parent[x] = y
                     a.append(int(ours[h]))
-                    b.append(int(theirs[at + g]))
+                    b.append(int(theirs[part.start + g]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 

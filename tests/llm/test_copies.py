@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,25 @@ def test_links_join_components_once():
     assert copies._linked(table, table.slice(0, 0)).num_rows == 0
 
 
+def test_links_in_bounded_memory(monkeypatch):
+    """Shingles that a few sets of many share are counted in parts, and parts change no link."""
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 1500, 200)) for _ in range(4000)]
+    sets[3000:3040] = [np.append(s, 10 ** 6 + i) for i, s in enumerate(sets[:40])]
+    table = pa.table({"mk_set": np.arange(4000), "mk_comp": np.arange(4000), "mk_n": [len(s) for s in sets],
+                      "mk_shingles": sets})
+    tracemalloc.start()
+    found = copies._linked(table.slice(0, 50), table.slice(1000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(*found.to_pydict().values())) == [(i, 3000 + i) for i in range(40)]
+    assert peak < 60e6
+    for cells, shingles_, hits in ((1, 1, 1), (70, 500, 90)):
+        for name, most in (("CELLS", cells), ("GUEST_SHINGLES", shingles_), ("HITS", hits)):
+            monkeypatch.setattr(copies, name, most)
+        assert copies._linked(table.slice(0, 50), table.slice(2990, 60)).equals(found)
+
+
 def test_bit_map_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(copies, "LEAST_WORDS", 4)
     monkeypatch.setattr(copies, "MOST_WORDS", 64)
