@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a narrow table that are worth a file of their own.
+FILE_ROWS = 1 << 16
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,9 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there."""
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there.
+
+    ``rows``: how many narrow rows there are, about; they go to no more files than they fill. On a local folder each
+    file starts a process beside the executor, which costs more than a small table and may count as its memory twice.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     return df.checkpoint(eager=True)
 
 

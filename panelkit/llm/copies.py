@@ -266,7 +266,7 @@ def block_links(hosts: DataFrame, guests: DataFrame, sets: DataFrame, among: boo
 
 def print_postings(own: DataFrame) -> DataFrame:
     """(mk_set, mk_key): the sets of texts whose fingerprints mk_fp are linked within two bits share a key."""
-    linked = graph.components(simhash.links(own.select("mk_fp").distinct()))
+    linked = graph.components(simhash.links(own.select("mk_fp").distinct(), rows=own.count()))
     placed = own.select("mk_set", "mk_fp").distinct().join(linked.withColumnRenamed("v", "mk_fp"), "mk_fp", "left")
     return placed.select("mk_set", F.xxhash64(F.lit("simhash"), F.coalesce("root", "mk_fp")).alias("mk_key")).distinct()
 

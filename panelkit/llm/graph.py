@@ -27,8 +27,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)
+        # No round has more edges than the one before.
         now = settle(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                     .distinct())
+                     .distinct(), seen[0])
         before, seen = seen, state()
         if seen == before:
             break

@@ -153,15 +153,18 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield edges(rest_k, rest_f)
 
 
-def links(prints: DataFrame, block_cap: int = BLOCK_CAP) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints ``mk_fp`` just as all links within two bits do."""
+def links(prints: DataFrame, block_cap: int = BLOCK_CAP, rows: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints ``mk_fp`` just as all links within two bits do.
+
+    ``rows``: how many there are at most, if known; then what they share takes no more files than needed.
+    """
     n = common.partitions(prints.sparkSession)
     band = lambda i: F.shiftrightunsigned("mk_fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
     keys = [(F.shiftleft(F.lit(k).cast("long"), 32) + F.shiftleft(band(i), 16) + band(j))
             for k, (i, j) in enumerate(combinations(range(4), 2))]
     posted = prints.select("mk_fp", F.explode(F.array(*keys)).alias("mk_key"))
     sizes = posted.groupBy("mk_key").agg(F.count("*").alias("mk_n")).where("mk_n > 1")
-    shared = common.settle(posted.join(sizes, "mk_key"))
+    shared = common.settle(posted.join(sizes, "mk_key"), rows and len(keys) * rows)
     sliced = (shared.where(F.col("mk_n") <= block_cap).select("mk_key", "mk_fp")
               .repartition(n, "mk_key").sortWithinPartitions("mk_key")
               .mapInArrow(_link_batches, "a long, b long"))
@@ -184,8 +187,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = common.settle(docs.select(F.col(id_col).alias("mk_id"), F.col(text_col).alias("mk_text"))
                            .mapInArrow(_fingerprint_batches, "mk_id long, mk_fp long"))
-    distinct = common.settle(prints.groupBy("mk_fp").agg(F.min("mk_id").alias("mk_low")))
-    roots = components(links(distinct.select("mk_fp"), block_cap)).withColumnRenamed("v", "mk_fp")
+    rows = prints.count()
+    distinct = common.settle(prints.groupBy("mk_fp").agg(F.min("mk_id").alias("mk_low")), rows)
+    roots = components(links(distinct.select("mk_fp"), block_cap, rows)).withColumnRenamed("v", "mk_fp")
     placed = distinct.join(roots, "mk_fp", "left").select(
         "mk_fp", "mk_low", F.coalesce("root", "mk_fp").alias("mk_root"))
     lows = placed.groupBy("mk_root").agg(F.min("mk_low").alias("mk_component"))
@@ -207,7 +211,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = common.settle(
         marked.select("mk_row", "mk_own", F.col(id_col).alias("mk_id"), F.col(text_col).alias("mk_text"))
         .mapInArrow(_fingerprint_batches, "mk_row long, mk_own long, mk_id long, mk_fp long"))
-    roots = components(links(prints.select("mk_fp").distinct(), block_cap)).withColumnRenamed("v", "mk_fp")
+    roots = components(links(prints.select("mk_fp").distinct(), block_cap, prints.count()))
+    roots = roots.withColumnRenamed("v", "mk_fp")
     best = F.min(F.struct(F.col("mk_id").isNull(), "mk_own", "mk_row")).alias("mk_best")
     # Fingerprints first, so that the groups of a component are few rows by then.
     per_print = prints.groupBy("mk_fp").agg(best)

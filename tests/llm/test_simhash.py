@@ -1,11 +1,12 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
-from panelkit.llm import simhash
+from panelkit.llm import common, simhash
 
 
 def brute_print(text):
@@ -97,6 +98,26 @@ def test_query_on_a_table(spark):
     assert [r.component_id for r in got] == brute_components([r.doc_id for r in rows], prints)
 
 
+def test_rounds_write_no_more_files_than_their_edges_fill(spark, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    folder = Path(common.shared_folder(spark).removeprefix("file:"))
+    files = lambda: {f for f in folder.rglob("part-*")}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        there = files()
+        found = simhash.components(edges)
+        assert 0 < len(files() - there) < 2 * 40
+        assert {r.root for r in found.collect()} == {0} and found.count() == 101
+        monkeypatch.setattr(common, "FILE_ROWS", 8)
+        assert {r.root for r in simhash.components(edges).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (200, 199)]
     found = {r.v: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
