@@ -43,7 +43,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 KEPT = 600_000
 LONGEST = 64
 #: Pairs whose weight a worker remembers.
-PAIRS = 2_000_000
+PAIRS = 500_000
+#: Bytes of text encoded together, unless a single text has more.
+SLICE = 1 << 20
 #: Weight of a character written as bytes.
 FALLBACK = 1e6
 
@@ -181,6 +183,7 @@ class Transducer:
         self.written = [b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else
                         bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode()
                         for p, _, k in pieces]
+        self.table = pa.array(self.written, pa.large_binary())
         self.kept = _Kept(self)
 
     def merged(self, text: str) -> list[str]:
@@ -296,7 +299,7 @@ class Transducer:
 
     def decoded(self, ids: pa.Array, sizes: np.ndarray, none: pa.Array) -> pa.Array:
         """``decode`` of many: text i has the ids from sizes[i] to sizes[i + 1]; null where ``none`` is true."""
-        written = pa.array(self.written, pa.large_binary()).take(ids)
+        written = self.table.take(ids)
         ends = np.concatenate([[0], np.cumsum(pc.binary_length(written).to_numpy())])[sizes]
         buffer = written.buffers()[2]
         whole = memoryview(buffer) if buffer is not None else memoryview(b"")
@@ -337,6 +340,25 @@ def compiled(data: bytes) -> Transducer:
     return _compiled[data]
 
 
+def _encoded_batches(transducer: Transducer, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with what ``encoded`` adds to the texts in column ``at``, in slices of bounded size."""
+    for batch in batches:
+        for start, stop in common.slices(batch.column(at), SLICE):
+            part = batch.slice(start, stop - start)
+            column = part.column(at)
+            ids, sizes = [], [0]
+            for text in column.to_pylist():
+                own = transducer.encoded(text) if text else b""
+                ids.append(own)
+                sizes.append(sizes[-1] + len(own) // 4)
+            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+            none = column.is_null()
+            lists = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), flat, mask=none)
+            texts = transducer.decoded(flat, np.array(sizes), none)
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, texts, pc.equal(texts, column)],
+                                             names=[*part.schema.names, "mk_ids", "mk_decoded", "mk_same"])
+
+
 def encoded(docs: DataFrame, model_path: str = MODEL, text_col: str = "text") -> DataFrame:
     """``docs`` with ids (array of int), decoded (their text) and round_trip (does it equal the text?).
 
@@ -346,27 +368,15 @@ def encoded(docs: DataFrame, model_path: str = MODEL, text_col: str = "text") ->
     """
     with open(model_path, "rb") as file:
         data = docs.sparkSession.sparkContext.broadcast(file.read())
+    at = docs.columns.index(text_col)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = compiled(data.value)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            ids, sizes = [], [0]
-            for text in column.to_pylist():
-                own = transducer.encoded(text) if text else b""
-                ids.append(own)
-                sizes.append(sizes[-1] + len(own) // 4)
-            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            none = column.is_null()
-            lists = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), flat, mask=none)
-            texts = transducer.decoded(flat, np.array(sizes), none)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, texts, pc.equal(texts, column)],
-                                             names=[*batch.schema.names[:-1], "mk_ids", "mk_decoded", "mk_same"])
+        return _encoded_batches(compiled(data.value), at, batches)
 
     named = docs.toDF(*[f"mk_{i}" for i in range(len(docs.columns))])
-    schema = named.schema.add("mk_ids", T.ArrayType(T.IntegerType())).add("mk_decoded", "string").add("mk_same", "boolean")
-    out = named.select("*", F.col(f"mk_{docs.columns.index(text_col)}").alias("mk_text")).mapInArrow(rewrite, schema)
-    return out.toDF(*docs.columns, "ids", "decoded", "round_trip")
+    schema = T.StructType(list(named.schema)).add("mk_ids", T.ArrayType(T.IntegerType()))
+    schema = schema.add("mk_decoded", "string").add("mk_same", "boolean")
+    return named.mapInArrow(rewrite, schema).toDF(*docs.columns, "ids", "decoded", "round_trip")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

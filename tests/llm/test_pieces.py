@@ -150,6 +150,27 @@ def test_round_trip_of_tables(spark, odd_docs):
     assert len(table) == 200 and all(r.round_trip and r.n_ids == len(r.ids) for r in table)
 
 
+def test_a_task_encodes_in_slices(spark, monkeypatch):
+    """Ten thousand long texts come in one batch: what is made of them at once is bounded, and nothing comes twice."""
+    texts = [None, "", *[f"some {i} words " * 3000 for i in range(60)], None, "x" * (3 * pieces.SLICE), "end"]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, other int")
+    handed, kind = [], type(docs)
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema: handed.append((self, f)) or real(self, f, schema))
+    pieces.encoded(docs)
+    rows, task = handed[0]
+    # The documents' columns, the text once.
+    assert len(rows.columns) == 3
+    batch = rows.toArrow().combine_chunks().to_batches()[0]
+    assert batch.num_rows == len(texts)
+    out = list(task(iter([batch])))
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= pieces.SLICE for b in out)
+    got = [row for b in out for row in zip(*(c.to_pylist() for c in b.columns))]
+    assert [r[:3] for r in got] == [(i, t, i) for i, t in enumerate(texts)]
+    assert all((r[3] is None, r[4], r[5]) == (t is None, t, None if t is None else True) for r, t in zip(got, texts))
+    assert len(out) > 3 and list(task(iter([batch.slice(0, 0)]))) == []
+
+
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
         pieces.Model.parse(b"")
