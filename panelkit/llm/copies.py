@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm import common, graph, simhash
-from panelkit.llm.minhash import WORDS, Hasher
+from panelkit.llm.minhash import PERMUTATIONS, WORDS, Hasher
 
 #: Jaccard similarity of a link, as a fraction; minima of a band.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -43,9 +44,17 @@ CELLS, GUEST_SHINGLES, HITS = 1 << 19, 1 << 18, 1 << 18
 REMEMBERED = 1 << 18
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Each hash once, sorted."""
+    hashes = np.sort(hashes)
+    keep = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=keep[1:])
+    return hashes[keep]
+
+
 def shingle_set(hasher: Hasher, text: bytes) -> np.ndarray:
     """The distinct 64-bit hashes of a text's shingles, sorted; empty for a text without words."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *hasher.shingles(text)]))
+    return distinct(hasher.hashed([text])[0])
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -54,31 +63,27 @@ def set_id(shingles: np.ndarray) -> int:
 
 def set_signature(hasher: Hasher, shingles: np.ndarray) -> np.ndarray:
     """The signature of ``Hasher.signature`` from a set of shingle hashes."""
-    low = np.full(len(hasher.a), 0xFFFFFFFF, np.uint32)
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(x), 2048):
-        np.minimum(low, (hasher.a * x[None, at:at + 2048] + hasher.b).min(axis=1), out=low)
-    return low.astype(np.uint16)
+    return hasher.signatures(shingles, np.array([0, len(shingles)]))[0]
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band: its minima and number, mixed."""
+    """A 64-bit key of each band: its minima and number, mixed. Of one signature, or of many in rows."""
     keys = np.ascontiguousarray(signature).view(np.uint64)
-    return common.mixed(keys ^ common.mixed(np.arange(1, len(keys) + 1, dtype=np.uint64)))
+    return common.mixed(keys ^ common.mixed(np.arange(1, keys.shape[-1] + 1, dtype=np.uint64)))
 
 
 def _own_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text column, which is the last, becomes mk_set and mk_bands."""
     hasher = Hasher()
     for batch in batches:
-        ids, keys = [], []
-        for text in common.texts_of(batch.column(batch.num_columns - 1)):
-            shingles = shingle_set(hasher, text)
-            ids.append(set_id(shingles))
-            keys.append(bands(set_signature(hasher, shingles)).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            names=[*batch.schema.names[:-1], "mk_set", "mk_bands"])
+        ids, keys = [], [np.zeros((0, PERMUTATIONS // ROWS), np.uint64)]
+        for hashes, starts in hasher.slices(common.texts_of(batch.column(batch.num_columns - 1))):
+            ids += [set_id(distinct(hashes[a:b])) for a, b in pairwise(starts)]
+            keys.append(bands(hasher.signatures(hashes, starts)))
+        found = np.concatenate(keys).view(np.int64)
+        lists = pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * found.shape[1], found.reshape(-1))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.int64()), lists],
+                                         names=[*batch.schema.names[:-1], "mk_set", "mk_bands"])
 
 
 def _marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,16 +119,21 @@ def _set_batches(bits: np.ndarray) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(), set()
         for batch in batches:
-            for text in common.texts_of(batch.column(0)):
-                shingles = shingle_set(hasher, text)
-                own = set_id(shingles)
-                if own in seen or not in_map(bits, own):
-                    continue
-                if len(seen) < REMEMBERED:
-                    seen.add(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([own]), pa.array([len(shingles)], pa.int64()),
-                     pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))], names=["mk_set", "mk_n", "mk_shingles"])
+            for hashes, starts in hasher.slices(common.texts_of(batch.column(0))):
+                ids, sets = [], []
+                for a, b in pairwise(starts):
+                    shingles = distinct(hashes[a:b])
+                    own = set_id(shingles)
+                    if own in seen or not in_map(bits, own):
+                        continue
+                    if len(seen) < REMEMBERED:
+                        seen.add(own)
+                    ids.append(own)
+                    sets.append(shingles.view(np.int64))
+                if ids:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()),
+                         pa.array(sets, pa.list_(pa.int64()))], names=["mk_set", "mk_n", "mk_shingles"])
     return read
 
 
