@@ -1,12 +1,15 @@
 import heapq
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries as registry
 from panelkit import session
 from panelkit.models import boosting, classical
 from panelkit.models.perceptron import COLUMN_WEIGHTS, Perceptron
+from panelkit.operators import impute
 from panelkit.plans import evaluation
 
 
@@ -166,6 +169,59 @@ def test_the_table_makes_its_rows_once(spark, cohort):
     assert made_rows.value == cohort.count()
 
 
+def test_the_registered_table_fits_all_of_it(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(11)
+    kinds = ["click", "view", "error", "signup", "purchase"]
+    rows = [(i, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=int(rng.integers(6000))), i % 60,
+             kinds[int(rng.integers(5))], float(rng.uniform(1, 100)), '{"k": %d}' % rng.integers(100))
+            for i in range(900)] + [
+        (900 + u, pd.Timestamp("2024-01-05 06:00:00"), u, "purchase", 250.0, '{"k": 1}') for u in range(25)]
+    spark.createDataFrame(pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+                          ).write.parquet(str(tmp_path / "events.parquet"))
+    imputers, forests = [], []
+    fit, grow = impute.ChainedImputer.fit, classical.RandomForestClassifier.fit
+
+    def imputer_fit(self, *args):
+        imputers.append(fit(self, *args))
+        return self
+
+    def forest_fit(self, *args):
+        forests.append(self)
+        return grow(self, *args)
+
+    def benchmark(train, test, features, label, key, chosen=None):
+        every = chosen or classical.models()
+        assert len(every) == 9
+        return every["Random Forest"](train, test, features, label, key)
+
+    monkeypatch.setattr(impute.ChainedImputer, "fit", imputer_fit)
+    monkeypatch.setattr(classical.RandomForestClassifier, "fit", forest_fit)
+    monkeypatch.setattr(classical, "benchmark", benchmark)
+    assert registry.queries()["baseline_table"](spark, str(tmp_path)).count() > 0
+    [imputer], [forest] = imputers, forests
+    targets = [s.target for s in imputer.steps]
+    assert len(set(targets)) > 1 and len(targets) == 10 * len(set(targets))
+    assert forest.getMaxDepth() == 30 and forest.getNumTrees() == 100
+
+
+def test_the_machine_is_fitted_until_its_loss_settles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 2))
+    y = x[:, 0] * x[:, 1] + 0.1 * rng.normal(size=120) > 0
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))],
+                               "id int, a double, b double, y int").repartition(6)
+    machines, fit = [], classical.LinearSVC.fit
+
+    def machine_fit(self, rows, *args):
+        machines.append((self, rows.rdd.getNumPartitions(), fit(self, rows, *args)))
+        return machines[-1][-1]
+
+    monkeypatch.setattr(classical.LinearSVC, "fit", machine_fit)
+    assert classical.models()["SVM"](df, df, ["a", "b"], "y", "id").count() == 120
+    [(machine, tasks, model)] = machines
+    assert 20 < model.summary().totalIterations < machine.getMaxIter() and tasks == 1
+
+
 def test_stumps_bin_the_rows_once(spark):
     _, _, df = made(spark, 240)
     df = df.na.fill(0.0)
